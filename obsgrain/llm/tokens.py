@@ -28,10 +28,14 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each maximal run of bytes marked in `inside`, and each text's first word (one entry more than texts)."""
+def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Hash of each maximal run of bytes marked in `inside`, and each text's first word (one entry more than texts).
+
+    With `prefix`, a third array: the hash of each word's first so many bytes (of the whole word, if it is shorter).
+    """
+    none = (np.empty(0, np.uint64), np.zeros(len(offs), np.int64), np.empty(0, np.uint64))[: 3 if prefix else 2]
     if not data.size:
-        return np.empty(0, np.uint64), np.zeros(len(offs), np.int64)
+        return none
     word = inside[data]
     prev = np.empty_like(word)
     prev[0] = False
@@ -39,13 +43,14 @@ def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nd
     prev[offs[:-1][offs[:-1] < data.size]] = False
     starts = np.flatnonzero(word & ~prev)
     if not starts.size:
-        return np.empty(0, np.uint64), np.zeros(len(offs), np.int64)
+        return none
     head = int(starts[0])
     spans = np.diff(np.append(starts, data.size))
     rel = np.arange(head, data.size) - np.repeat(starts, spans)
     # runs end where the marked bytes do; what follows adds nothing to a run's sum
     value = np.where(word[head:], data[head:].astype(np.uint64) + np.uint64(1), np.uint64(0)) * powers(int(rel.max()) + 1)[rel]
-    return mix(np.add.reduceat(value, starts - head)), np.searchsorted(starts, offs)
+    out = mix(np.add.reduceat(value, starts - head)), np.searchsorted(starts, offs)
+    return (*out, mix(np.add.reduceat(np.where(rel < prefix, value, np.uint64(0)), starts - head))) if prefix else out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

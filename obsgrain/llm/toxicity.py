@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from obsgrain.llm.common import buffers, slices, texts
 from obsgrain.llm.tokens import ALNUM, words
 
-#: Hash buckets of words, size of an embedding, filter widths and filters of each width.
+#: Hash buckets of words (as many again are for their first PREFIX bytes), size of an embedding, filter widths and filters of each width.
+PREFIX = 4
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Bound of the training sample: labelled documents of each class.
 TRAIN_DOCS = 2000
@@ -34,16 +35,19 @@ class Model:
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word buckets of all texts and where each text's begin; case does not count."""
+    """The two buckets of each word of all texts, and where each text's words begin; case does not count.
+
+    A word's embedding is the sum of its own and its prefix's, so that compounds of a known stem are known too.
+    """
     data, offs = buffers(pc.utf8_lower(column))
-    hashes, first = words(data, offs, ALNUM)
-    return (hashes >> np.uint64(48)).astype(np.int64) % BUCKETS, first
+    hashes, first, heads = words(data, offs, ALNUM, PREFIX)
+    return np.stack([(hashes >> np.uint64(48)).astype(np.int64) % BUCKETS, BUCKETS + (heads >> np.uint64(48)).astype(np.int64) % BUCKETS]), first
 
 
 def _pool(model: Model, tok: np.ndarray, first: np.ndarray, places: bool = False):
     """Largest response of each filter in each text, and where it is; texts shorter than a filter get its response to what they have."""
-    n, m = len(first) - 1, len(tok)
-    x = np.concatenate([model.embed[tok], np.zeros((max(WIDTHS), SIZE), np.float32)])
+    n, m = len(first) - 1, tok.shape[1]
+    x = np.concatenate([model.embed[tok[0]] + model.embed[tok[1]], np.zeros((max(WIDTHS), SIZE), np.float32)])
     text = np.repeat(np.arange(n), np.diff(first))
     left = first[text + 1] - np.arange(m)
     full = np.flatnonzero(np.diff(first))
@@ -84,11 +88,11 @@ def scores(model: Model, tok: np.ndarray, first: np.ndarray) -> np.ndarray:
 def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int = 8, batch: int = 32, rate: float = 0.05) -> Model:
     """Learns from (text, label, language); the language serves the thresholds alone, never a score.
 
-    An embedding's first number starts as the log odds of its word among toxic documents, the rest at random. A fifth of
+    An embedding's first number starts as the log odds of its word or prefix among toxic documents, the rest at random. A fifth of
     the sample is kept to scale the output by logistic regression and to find each language's threshold.
     """
     rng = np.random.default_rng(seed)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), {w: rng.normal(0, 0.3, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32))
+    model = Model(rng.normal(0, 0.1, (2 * BUCKETS, SIZE)).astype(np.float32), {w: rng.normal(0, 0.3, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32))
     label = np.array([y for _, y, _ in sample], np.float32)
     if not len(sample) or label.min() == label.max():
         model.dense[:], model.out = 0, float(-8.0 if not len(sample) or label.max() == 0 else 8.0)
@@ -98,9 +102,9 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
     kept, learn = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(label[kept])) < 2 or len(set(label[learn])) < 2:
         kept = learn = order
-    docs_with = np.zeros((2, BUCKETS))
+    docs_with = np.zeros((2, 2 * BUCKETS))
     for i in learn:
-        docs_with[int(label[i]), np.unique(tok[first[i] : first[i + 1]])] += 1
+        docs_with[int(label[i]), np.unique(tok[:, first[i] : first[i + 1]])] += 1
     n1, n0 = label[learn].sum(), (1 - label[learn]).sum()
     odds = np.log((docs_with[1] + 0.5) / (n1 + 1)) - np.log((docs_with[0] + 0.5) / (n0 + 1))
     odds *= np.minimum(docs_with.sum(0) / 8, 1)
@@ -112,7 +116,7 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
         for chunk in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
             sizes = first[chunk + 1] - first[chunk]
             f = np.concatenate([[0], np.cumsum(sizes)])
-            t = tok[np.repeat(first[chunk] - f[:-1], sizes) + np.arange(f[-1])]
+            t = tok[:, np.repeat(first[chunk] - f[:-1], sizes) + np.arange(f[-1])]
             pooled, at, left = _pool(model, t, f, True)
             h = pooled + model.bias
             a = np.maximum(h, 0)
@@ -126,10 +130,10 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
                 for i in range(w):
                     use = ok & (left[np.maximum(place, 0)] > i) if len(left) else ok
                     q, c = np.nonzero(use)
-                    where = t[place[q, c] + i]
-                    np.add.at(g[i].T, c, model.embed[where] * part[q, c][:, None])
-                    rows.append(where)
-                    values.append(model.filters[w][i].T[c] * part[q, c][:, None])
+                    own, head = t[:, place[q, c] + i]
+                    np.add.at(g[i].T, c, (model.embed[own] + model.embed[head]) * part[q, c][:, None])
+                    rows += [own, head]
+                    values += [model.filters[w][i].T[c] * part[q, c][:, None]] * 2
                 grads.append(g)
             rows, values = np.concatenate(rows), np.concatenate(values)
             ids, back_to = np.unique(rows, return_inverse=True)
