@@ -161,6 +161,35 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, seed: int = 0, most_langs
     return fit(sample, seed)
 
 
+def predict(scorer: Scorer, data: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    langs = scorer.model.langs
+    if not langs:
+        return [UNKNOWN] * len(letters), np.zeros(len(letters))
+    p = scorer.texts(data, offs)
+    return [langs[b] if ok else UNKNOWN for b, ok in zip(p.argmax(1).tolist(), letters.tolist(), strict=True)], np.where(letters, p.max(1), 0.0)
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns, whose text is in a learned language; `und` ones go. Rows are decided where they lie, ids play no part."""
+    model_b = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model_b.value)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            column = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            whole = pa.RecordBatch.from_arrays([column], ["text"])
+            keep = []
+            for part in slices(whole, 1 << 20):
+                letters = pc.match_substring_regex(part.column(0), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+                said, _ = predict(scorer, *buffers(part.column(0)), letters)
+                keep += [x != UNKNOWN for x in said]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every whole text; one row per row of docs, no shuffle.
 
@@ -178,12 +207,7 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
                 column = part.column("text")
                 letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 data, offs = buffers(column)
-                if model.langs:
-                    p = scorer.texts(data, offs)
-                    best, score = p.argmax(1), np.where(letters, p.max(1), 0.0)
-                    said = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                else:
-                    score, said = np.zeros(part.num_rows), [UNKNOWN] * part.num_rows
+                said, score = predict(scorer, data, offs, letters)
                 ids = part.column("doc_id").cast(pa.int64())
                 held = [x is not None and zlib.crc32(str(x).encode()) % 4 == 2 for x in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(said, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(-(-np.diff(offs) // WINDOW))], ["doc_id", "held_out", "lang_pred", "score", "n_windows"])

@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsgrain.llm import bpe, bytecnn, exact, mixing, secrets, toxicity
+from obsgrain.llm import bpe, bytecnn, exact, fingerprints, licences, mixing, nearcopies, quotes, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +39,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.language_id(docs, bytecnn.train(docs))
 
 
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.quotation_links(table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,15 +56,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_near_copies": op2_near_copies,
+    "op3_licences": op3_licences,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_quotation_links": op7_quotation_links,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licences": licences.oracle(),
     "op5_exact_dedup": exact.ORACLE,
+    "op7_quotation_links": quotes.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
