@@ -192,10 +192,10 @@ def summed_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OBS_D.replace('obs AS', 'o AS')}, obs AS (SELECT * FROM o WHERE feature = 'z'), b AS (SELECT *, (x > 0)::INT AS bin FROM obs WHERE x IS NOT NULL), {_ENTROPY}, {_EXACT} SELECT n, round(i_raw, 6) AS i_raw, round(greatest(i_raw - i_null, 0), 6) AS i_corrected FROM mi")
 def presence_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = hurdle_z(spark, sf_dir)
+    obs = obs_d(spark, sf_dir).where("feature = 'z'")
     b = obs.where("x is not null").withColumn("bin", (F.col("x") > 0).cast("int"))
     s = info.entity_count(obs)
-    return rounded(info.corrected(info.mutual_information(b, s, ()).withColumn("one", F.lit(1)), info.exact_null(b, s, ()).withColumn("one", F.lit(1)), ("one",)).select("n", "i_raw", "i_corrected"))
+    return rounded(info.corrected(info.mutual_information(b, s), info.exact_null(b, s)).select("n", "i_raw", "i_corrected"))
 
 
 _HURDLE = (
