@@ -213,7 +213,7 @@ def harmonics(power: np.ndarray, freqs: np.ndarray, f0: float, top: float = 5000
     mag, off, sub, har = np.sqrt(power), [], 0.0, 0.0
     at = lambda f: mag[int(np.argmin(np.abs(freqs - f)))]
     for k in range(1, n + 1):
-        near = np.flatnonzero((freqs >= (k - 0.1) * f0 if k == 1 else freqs >= k * 0.9 * f0) & (freqs <= k * 1.1 * f0))
+        near = np.flatnonzero((freqs >= k * 0.9 * f0) & (freqs <= k * 1.1 * f0))
         if not near.size:
             continue
         best = near[mag[near].argmax()]
