@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
         F.col("doc_id").cast("long").alias("doc_id"),
         digest(normalised(F.col("text"))).alias("digest"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"),
-        F.monotonically_increasing_id().alias("row"),
+        F.concat_ws("-", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id().cast("string")).alias("row"),
         F.input_file_name().alias("locator"),
     )
 

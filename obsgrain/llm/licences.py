@@ -61,7 +61,7 @@ You should have received a copy of the GNU General Public License along with thi
 
 def normal_words(text: str) -> list[str]:
     """The driver's form of words(): lower case, runs of ASCII letters and digits and of other letters; a dot stays between digits."""
-    return re.sub(r"[^a-z0-9À-ɏ]+", " ", re.sub(r"([0-9])\.([0-9])", r"\1_\2", text.lower())).replace("_", "").split()
+    return re.sub(r"[^a-z0-9À-ɏ]+", " ", re.sub(r"([0-9])\.(?=[0-9])", r"\1", text.lower())).split()
 
 
 def words(text: Column) -> Column:
@@ -142,7 +142,7 @@ WITH t(k, name, b) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 c AS (SELECT r, unnest(list_distinct(list_concat([text], string_split_regex(text, '\n[ \t\r]*\n'), string_split(text, chr(10))))) AS p FROM d),
 w AS (
-  SELECT r, p, list_filter(string_split_regex(regexp_replace(lower(p), '([0-9])\.([0-9])', '\1\2', 'g'), '[^a-z0-9À-ɏ]+'), lambda x: x <> '') AS w FROM c),
+  SELECT r, p, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(p), '([0-9])\.([0-9])', '\1\2', 'g'), '([0-9])\.([0-9])', '\1\2', 'g'), '[^a-z0-9À-ɏ]+'), lambda x: x <> '') AS w FROM c),
 g AS (SELECT r, p, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w WHERE len(w) > 0),
 h AS (
   SELECT r, k, name, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g JOIN t
