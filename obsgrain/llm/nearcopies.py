@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import buffers, cut, hash_slots, in_slots, scratch, slices, texts
+from obsgrain.llm.common import bounded, buffers, cut, hash_slots, in_slots, scratch, slices, texts
 from obsgrain.llm.tokens import SPACE, mix, shingles, words
 
 #: Words of a shingle and least similarity of near copies.
@@ -23,6 +23,8 @@ BANDS, ROWS = 12, 3
 CELLS = 1 << 20
 #: How much rarity counts: weights are tf * (1 + RARITY * idf), idf in 0..1. Small, since a shingle that a large group of copies shares is frequent for that reason alone.
 RARITY = 0.25
+#: Size of a bucket up to which its pairs are listed; size of a block of a larger one.
+ALL, BLOCK = 16, 512
 _BLOCK = 1 << 14
 _SPACED = ~SPACE
 
@@ -149,39 +151,148 @@ def signed(docs: DataFrame, rarity, seed: int = 0) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def similarities(a: pa.Array, b: pa.Array, rarity: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts, from all their shingles. At most 4,096 pairs."""
-    sides = []
-    for column in (a, b):
-        sh, tf, text, _, _ = profile(column)
-        w = tf * np.exp(rarity[(sh & np.uint64(CELLS - 1)).astype(np.int64)].astype(float))
-        sides.append(((text.astype(np.uint64) << np.uint64(52)) | sh, w, text))
-    (ka, wa, ta), (kb, wb, tb) = sides
-    n = len(a)
+PROFILE = "doc_id long, sh array<long>, tf array<int>, w array<float>"
+
+
+def profiles(docs: DataFrame, rarity) -> DataFrame:
+    """doc_id, sh (distinct shingles, ascending), tf (how often each occurs) and w (its weight) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                sh, tf, text, _, _ = profile(part.column("text"))
+                offs = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32())
+                w = np.exp(_log_weights(sh, tf, rarity.value))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offs, pa.array(sh.astype(np.int64))), pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(w))], ["doc_id", "sh", "tf", "w"])
+
+    return docs.mapInArrow(run, PROFILE)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offs = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def similarities(sh_a: pa.Array, w_a: pa.Array, sh_b: pa.Array, w_b: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of profiles, from all their shingles. At most 4,096 pairs."""
+    n, sides = len(sh_a), []
+    for sh, w in ((sh_a, w_a), (sh_b, w_b)):
+        values, offs = _flat(sh)
+        pair = np.repeat(np.arange(n), np.diff(offs))
+        sides.append(((pair.astype(np.uint64) << np.uint64(52)) | values.astype(np.uint64), _flat(w)[0].astype(float), pair))
+    (ka, wa, pa_), (kb, wb, pb) = sides
     if not ka.size or not kb.size:
         return np.zeros(n)
     at = np.minimum(np.searchsorted(kb, ka), kb.size - 1)
     hit = kb[at] == ka
-    both = np.bincount(ta[hit], np.minimum(wa[hit], wb[at[hit]]), n)
-    return both / np.maximum(np.bincount(ta, wa, n) + np.bincount(tb, wb, n) - both, 1e-9)
+    both = np.bincount(pa_[hit], np.minimum(wa[hit], wb[at[hit]]), n)
+    return both / np.maximum(np.bincount(pa_, wa, n) + np.bincount(pb, wb, n) - both, 1e-9)
 
 
-def verified(pairs: DataFrame, said: DataFrame, rarity, similar: float = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b) whose texts, looked up in said (doc_id, text), are similar."""
+def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of the pairs (a, b) whose profiles, looked up in said, are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in slices(batch, 1 << 20, column="text_a"):
-                for part in slices(half, 1 << 20, column="text_b"):
-                    sim = similarities(part.column("text_a"), part.column("text_b"), rarity.value)
-                    yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], ["a", "b", "similarity"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sim = similarities(*(part.column(c) for c in ("sh_a", "w_a", "sh_b", "w_b")))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], ["a", "b", "similarity"])
 
-    side = lambda x: said.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similar).select("a", "b").distinct()
+    side = lambda x: said.select(F.col("doc_id").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("w").alias(f"w_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similar).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable over the edges (a, b). Least neighbours' labels, then a jump to the label's label, until nothing changes."""
+def block_links(buckets: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect nodes of each bucket (key, node, label, size) beyond the labels they have.
+
+    A bucket's nodes fall in blocks of about BLOCK; every two blocks meet in one task, which compares all their nodes by
+    matrix products and returns the links that join labels not joined before. Rows grow with nodes times blocks, not pairs.
+    """
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    spread = buckets.select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    cells = spread.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return cells.join(said.withColumnRenamed("doc_id", "node"), "node").groupBy("key", "low", "high").applyInArrow(_compare(similar), "a long, b long").distinct()
+
+
+def _compare(similar: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, keep = np.unique(table.column("node").to_numpy(), return_index=True)
+        table = table.take(pa.array(keep))
+        label = table.column("label").to_numpy()
+        a, b = similar_pairs(*(table.column(c).combine_chunks() for c in ("sh", "tf", "w")), similar)
+        parent = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(label[i]), find(label[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append(sorted((int(nodes[i]), int(nodes[j]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def similar_pairs(sh: pa.Array, tf: pa.Array, w: pa.Array, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows whose weighted Jaccard similarity is at least `similar`.
+
+    A shingle that occurs t times stands for t units of equal weight, so that the smaller of two weights is a sum of shared
+    units: a matrix product over the units of many rows, single additions over those of few.
+    """
+    values, offs = _flat(sh)
+    times, weight = _flat(tf)[0], _flat(w)[0].astype(float)
+    n = len(offs) - 1
+    row = np.repeat(np.arange(n), np.diff(offs))
+    total = np.bincount(row, weight, n)
+    unit = np.repeat(weight / times, times)
+    level = np.arange(len(unit)) - np.repeat(np.cumsum(times) - times, times)
+    name = mix(np.repeat(values.astype(np.uint64), times) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    row = np.repeat(row, times)
+    _, column, count = np.unique(name, return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), np.float64)
+    many = np.flatnonzero(count > 8)
+    place = np.full(len(count), -1)
+    place[many] = np.arange(len(many))
+    at = place[column]
+    for low in range(0, len(many), 2048):
+        use = (at >= low) & (at < low + 2048)
+        m = np.zeros((n, min(2048, len(many) - low)))
+        m[row[use], at[use] - low] = np.sqrt(unit[use])
+        both += m @ m.T
+    few = np.flatnonzero((count[column] > 1) & (count[column] <= 8))
+    few = few[np.argsort(column[few], kind="stable")]
+    for d in range(1, 8):
+        if len(few) <= d:
+            break
+        i, j = few[:-d], few[d:]
+        same = column[i] == column[j]
+        np.add.at(both, (row[i[same]], row[j[same]]), unit[i[same]])
+        np.add.at(both, (row[j[same]], row[i[same]]), unit[i[same]])
+    sim = both / np.maximum(total[:, None] + total[None] - both, 1e-9)
+    return np.nonzero(np.triu(sim >= similar - 1e-9, 1))
+
+
+#: Edges up to which one task joins them; more are joined by rounds of shuffles.
+ONE_TASK = 1 << 18
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, label): the least node reachable over the edges (a, b), which are already cut.
+
+    A counted, bounded number of edges is united in one task. Beyond it, labels spread in rounds: the least label among
+    neighbours, then a jump to the label's label, until nothing changes.
+    """
+    if edges.limit(one_task + 1).count() <= one_task:
+        return cut(edges.coalesce(1).mapInArrow(_unite, "node long, label long"))
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
@@ -194,6 +305,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> DataFrame:
     """Classes of near copies; one row per row of docs.
 
@@ -202,10 +332,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     share it share its class. A row without a doc_id gets the class of the texts with the same words, null if there is none
     with an id. A table without rows gives none; columns other than doc_id and text are not read.
 
-    Texts with the same words are one node. Nodes of a band's bucket are compared with leaders of the bucket, two of a large
-    one, all of one of up to eight; buckets whose nodes are not all connected by then are asked again with eight times as
-    many leaders, until every node has been a leader or is connected. So no pair of a bucket is left out, while a group of
-    copies, however large, costs a few comparisons a member.
+    Texts with the same words are one node. In buckets of up to ALL nodes, all are compared. In a larger one all are compared
+    with the node that has most neighbours, which connects a group of copies at the cost of one comparison a member; buckets
+    that are not connected by then are compared whole, in blocks. So no pair that shares a bucket is left out.
     """
     spark = docs.sparkSession
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
@@ -215,26 +344,24 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     member = sig.join(same, ["d1", "d2"])
     nodes = member.where("doc_id = exact_id and n > 0").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
     order = F.xxhash64("node", F.lit(seed))
-    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("h"), "node")).alias("lead")).where("size > 1").select("key", "size", F.col("lead.node").alias("lead"))
+    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     active = cut(nodes.join(sizes, "key"))
+    # the text that copies were made from shares more bands with them than they do with each other: it leads
+    reach = active.groupBy("node").agg(F.sum("size").alias("reach"))
+    lead = active.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", order.alias("h"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    active = cut(active.join(lead, "key"))
     path = scratch(spark, "near")
-    in_slots(rows.where("doc_id is not null"), "doc_id", cut(hash_slots(active, "node"))).write.parquet(path)
-    said = spark.read.parquet(path)
-    edges, labels, most = None, None, 2
-    u = F.pmod(order, F.lit(1 << 40)) / float(1 << 40)
-    while True:
-        named = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        small = F.lit(8 if most == 2 else most)
-        leads = named.where((F.col("node") == F.col("lead")) | (F.col("size") <= small) | (u < F.lit(float(most)) / F.col("size"))).select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        tried = leads.join(named, "key").where("label != leader_label").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        found = verified(tried, said, rarity, similar)
-        edges = cut(found if edges is None else edges.unionByName(found))
-        labels = components(edges)
-        still = active.where(F.col("size") > small).join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("low"), F.max(F.coalesce("label", "node")).alias("high")).where("low < high").select("key")
-        active = cut(active.join(still, "key", "left_semi"))
-        if active.isEmpty():
-            break
-        most *= 8
+    profiles(in_slots(rows.where("doc_id is not null"), "doc_id", cut(hash_slots(active, "node"))), rarity).write.parquet(path)
+    said = spark.read.schema(PROFILE).parquet(path)
+    leads = active.where((F.col("node") == F.col("lead")) | (F.col("size") <= ALL)).select("key", F.col("node").alias("leader"))
+    tried = leads.join(active, "key").where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    edges = cut(verified(tried, said, similar))
+    labels = bounded(components(edges))
+    named = active.where(F.col("size") > ALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    still = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    rest = cut(block_links(named.join(still, "key", "left_semi"), said, similar))
+    if not rest.isEmpty():
+        labels = bounded(components(edges.unionByName(rest)))
     out = member.select("doc_id", "exact_id").join(labels.withColumnRenamed("node", "exact_id"), "exact_id", "left")
     return out.select("doc_id", F.coalesce("label", "exact_id").alias("class_id"), "exact_id")
 
