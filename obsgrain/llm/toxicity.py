@@ -71,6 +71,13 @@ def _pool(model: Model, tok: np.ndarray, first: np.ndarray, places: bool = False
     return np.concatenate(best, 1), at, left
 
 
+def _take(tok: np.ndarray, first: np.ndarray, texts_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and offsets of some of the texts."""
+    sizes = first[texts_ + 1] - first[texts_]
+    f = np.concatenate([[0], np.cumsum(sizes)])
+    return tok[:, np.repeat(first[texts_] - f[:-1], sizes) + np.arange(f[-1])], f
+
+
 def logits(model: Model, tok: np.ndarray, first: np.ndarray) -> np.ndarray:
     pooled, _, _ = _pool(model, tok, first)
     return np.maximum(pooled + model.bias, 0) @ model.dense + model.out
@@ -97,7 +104,10 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
     if not len(sample) or label.min() == label.max():
         model.dense[:], model.out = 0, float(-8.0 if not len(sample) or label.max() == 0 else 8.0)
         return model
-    tok, first = tokens(pa.array([t for t, _, _ in sample], pa.string()))
+    # in small parts: hashing needs many times the room of a text
+    parts = [tokens(pa.array([t for t, _, _ in sample[k : k + 64]], pa.string())) for k in range(0, len(sample), 64)]
+    tok = np.concatenate([t for t, _ in parts], 1)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     order = rng.permutation(len(sample))
     kept, learn = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(label[kept])) < 2 or len(set(label[learn])) < 2:
@@ -114,9 +124,7 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
     balance = np.where(label > 0, len(learn) / (2 * n1), len(learn) / (2 * n0))
     for _ in range(epochs):
         for chunk in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
-            sizes = first[chunk + 1] - first[chunk]
-            f = np.concatenate([[0], np.cumsum(sizes)])
-            t = tok[:, np.repeat(first[chunk] - f[:-1], sizes) + np.arange(f[-1])]
+            t, f = _take(tok, first, chunk)
             pooled, at, left = _pool(model, t, f, True)
             h = pooled + model.bias
             a = np.maximum(h, 0)
@@ -146,7 +154,7 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
                 p -= rate * g / np.sqrt(s)
             seen_out += float(d.sum()) ** 2
             model.out -= rate * float(d.sum()) / np.sqrt(seen_out)
-    z, y = logits(model, tok, first)[kept], label[kept]
+    z, y = np.concatenate([logits(model, *_take(tok, first, chunk)) for chunk in np.array_split(kept, len(kept) // 64 + 1)]), label[kept]
     model.scale = _platt(z, y)
     p = _sigmoid(model.scale[0] * z + model.scale[1])
     langs = np.array([sample[i][2] or "" for i in kept])
