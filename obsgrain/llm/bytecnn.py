@@ -142,8 +142,8 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, seed: int = 0, most_langs: int = 200) -> Model:
     """Fits on at most per_lang documents of each of the most frequent languages (at most most_langs), chosen by a hash of the text.
 
-    Rows without a language, without text, or held out are not learned from. The sample that reaches the driver is
-    bounded by both parameters and by 4,000 code points taken evenly spaced windows of; ties break by text.
+    Rows without a language, without text, or held out are not learned from. What reaches the driver is bounded by both
+    parameters and TRAIN_WINDOWS windows a text, evenly spaced over the whole of it; ties break by text.
     """
     rows = texts(docs.where("lang is not null"), "lang", "doc_id").where((F.length("text") > 0) & ~held_out())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
