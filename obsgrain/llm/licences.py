@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -89,29 +90,67 @@ def bounds(least: float, n: int) -> tuple[float, float]:
     return n * least / (2 - least), n * (2 - least) / least
 
 
+def _anchors(text: str, least: float) -> list[str]:
+    """Words of a template such that a text without any of them has too few of its bigrams for a match; none if a text may have no such word.
+
+    Longest words first, since these are rare.
+    """
+    w = normal_words(text)
+    left = {(a, b) for a, b in zip(w, w[1:], strict=False)} or {(x,) for x in w}
+    need, out = bounds(least, len(left))[0], []
+    for x in sorted(set(w), key=lambda x: (-len(x), x)):
+        if len(left) < need:
+            break
+        out.append(x)
+        left = {g for g in left if x not in g}
+    return out if len(left) < need else []
+
+
+def _window(g: Column, k: int, name: str, template: list[str], length: int, least: float) -> Column:
+    """The best window of a template in the bigrams of a text, as an array of one hit or none.
+
+    A window has as many bigrams as the template's text. Only windows with enough positions of its bigrams are compared.
+    """
+    n, t, need = len(template), F.lit(template), max(1, math.ceil(bounds(least, len(template))[0] - 1e-9))
+    at = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(t, x), i)), lambda i: i.isNotNull())
+    # `need` positions in a row that fit into one window, and the starts of the windows that hold them
+    dense = lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - (need - 1), F.lit(0))), lambda first, j: F.struct(first.alias("first"), F.get(p, j + (need - 1)).alias("last")))
+    near = F.filter(dense(at), lambda d: d["last"] - d["first"] < length)
+    low = lambda d: F.greatest(d["last"] - (length - 1), F.lit(0))
+    high = lambda d: F.least(d["first"], F.size(g) - length)
+    starts = F.array_distinct(F.flatten(F.transform(near, lambda d: F.when(low(d) <= high(d), F.sequence(low(d), high(d))).otherwise(F.array().cast("array<int>")))))
+    dice = F.transform(starts, lambda i: F.transform(F.array(F.slice(g, i + 1, length)), lambda b: F.lit(-2.0) * F.size(F.array_intersect(b, t)) / (F.size(F.array_distinct(b)) + n))[0])
+    return F.transform(F.filter(F.array(F.array_min(dice)), lambda x: x <= -least), lambda x: F.struct(x.alias("less"), F.lit(k).alias("k"), F.lit(name).alias("name")))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """Licences of every whole text; one row per row of docs.
 
     Columns: doc_id, licence (the best match's, null if none), dice (its coefficient, 0 if none), n_matches (pairs of passage
     and template), licences (all matched names, sorted, comma-joined). Passages are the whole text, its paragraphs (between
-    empty lines) and its lines. Ties go to the earlier template. A null or empty text has no match; a null doc_id stays null;
+    empty lines) and its lines. For a licence that none of them matches, every window of a template's length in the words of the
+    text is a passage too, whatever lines or paragraphs it covers; a template's best window counts as one match. Ties go
+    to the earlier template. A null or empty text has no match; a null doc_id stays null;
     repeated rows give repeated rows; a table without rows gives none; columns other than doc_id and text are not read.
 
     Size bounds on the number of words drop, for each template, passages that cannot reach `least` before any bigram is
-    built; what is left is compared within its row. No shuffle; the templates, a fixed list, travel in the plan.
+    built; what is left is compared within its row. Windows are built only in texts that have one of a template's anchor
+    words, and then enough of its bigrams. No shuffle; the templates, a fixed list, travel in the plan.
     """
-    sets = _sets(tuple(templates or TEMPLATES))
+    listed = tuple(templates or TEMPLATES)
+    sets = _sets(listed)
     text = F.coalesce("text", F.lit(""))
     cuts = F.array_distinct(F.concat(F.array(text), F.split(text, "\n[ \t\r]*\n"), F.split(text, "\n")))
     # the number of words bounds that of bigrams from above, and no bigram is shorter than three letters
     fewest = min(bounds(least, len(s))[0] for _, _, s in sets)
     most = max(bounds(least, len(s))[1] for _, _, s in sets)
-    said = F.transform(cuts, lambda p: words(p))
+    # used twice: kept in a column, so that words are made once; the whole text comes first
+    rows = docs.select("doc_id", F.transform(cuts, lambda p: words(p)).alias("said"))
     # so many different words make at least as many different bigrams, less one
-    said = F.filter(said, lambda w: (F.size(w) >= max(1, fewest)) & (F.size(F.array_distinct(w)) <= most + 1))
-    rows = docs.select("doc_id", F.transform(said, lambda w: bigrams(w)).alias("passages"))
+    said = F.filter("said", lambda w: (F.size(w) >= max(1, fewest)) & (F.size(F.array_distinct(w)) <= most + 1))
+    rows = rows.select("doc_id", F.transform(said, lambda w: bigrams(w)).alias("passages"), _sequence(F.get("said", F.lit(0)), listed, least).alias("g"))
     # passages with more different bigrams than any template allows, or fewer, are gone
-    rows = rows.select("doc_id", F.filter("passages", lambda b: (F.size(b) >= fewest) & (F.size(b) <= most)).alias("passages"))
+    rows = rows.select("doc_id", F.filter("passages", lambda b: (F.size(b) >= fewest) & (F.size(b) <= most)).alias("passages"), "g", F.array_intersect("g", F.lit(sorted({x for _, _, t in sets for x in t}))).alias("had"))
 
     def against(k: int, name: str, template: list[str]) -> Column:
         low, high = bounds(least, len(template))
@@ -120,7 +159,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
 
     found = [against(*s) for s in sets]
     hits = F.filter(F.concat(*found), lambda x: x["less"] <= -least)
-    rows = rows.select("doc_id", hits.alias("hits"))
+    rows = rows.select("doc_id", hits.alias("hits"), "g", "had")
+    none = F.array().cast("array<struct<less:double,k:int,name:string>>")
+    more = []
+    for (k, name, template), (_, said_by) in zip(sets, listed, strict=True):
+        enough = F.size(F.array_intersect("had", F.lit(template))) >= bounds(least, len(template))[0] - 1e-9
+        length = max(len(normal_words(said_by)) - 1, 1)
+        more.append(F.when((F.size("had") > 0) & enough & ~F.exists("hits", lambda x: x["name"] == name), _window(F.col("g"), k, name, template, length, least)).otherwise(none))
+    rows = rows.select("doc_id", F.concat("hits", *more).alias("hits"))
     best = F.array_min("hits")
     return rows.select(
         "doc_id", best["name"].alias("licence"), F.round(F.coalesce(-best["less"], F.lit(0.0)), 6).alias("dice"), F.size("hits").cast("long").alias("n_matches"),
@@ -128,6 +174,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     )
 
 
+def _sequence(w: Column, templates: tuple[tuple[str, str], ...], least: float) -> Column:
+    """All bigrams of a text's words in order, or none if it has no template's anchor; words too if a template is a single word."""
+    anchors = [_anchors(t, least) for _, t in templates]
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    g = F.concat(pairs(w), w) if any(len(normal_words(t)) == 1 for _, t in templates) else pairs(w)
+    if not all(anchors):
+        return g
+    return F.when(F.arrays_overlap(w, F.lit(sorted({x for a in anchors for x in a}))), g).otherwise(F.array().cast("array<string>"))
+
+
 def templates_table(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """k, name and bigrams of each template."""
     return spark.createDataFrame(_sets(tuple(templates or TEMPLATES)), "k int, name string, bigrams array<string>")

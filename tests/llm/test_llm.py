@@ -225,6 +225,31 @@ def test_licences(spark, docs, rows):
     assert got[201]["licence"] == got[202]["licence"] == "MIT" and got[203]["licence"] == "CC-BY-NC-4.0" and got[204]["licence"] is None and got[205]["licence"] == "GPL-3.0"
 
 
+def test_licences_in_any_layout(spark):
+    """Blank lines between a licence's paragraphs, other line breaks and a place inside a line, in longer documents."""
+    mit, gpl, apache = licences.TEMPLATES[21][1], licences.TEMPLATES[24][1], licences.TEMPLATES[23][1]
+    code, w = "\n\n".join(f"def f{k}(x{k}):\n    return x{k} + {k}" for k in range(300)), mit.split()
+    cases = [
+        (0, "\n\n".join(mit.split("\n")) + "\n\n" + code, "MIT", 1.0), (1, code + "\n\n" + "\n\n".join(gpl.split("\n")) + "\n\n" + code, "GPL-3.0", 1.0), (2, code + "\n" + "\n".join("# " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)) + "\n" + code, "MIT", None),
+        (3, "This page was written by the team. Released under the MIT License. See the site for all the rest.", "MIT", 1.0), (4, prose(2, 300) + " " + apache.replace("\n", " ") + " " + prose(3, 300), "Apache-2.0", 1.0),
+        (5, prose(4, 50) + " licensed under CC BY-SA 4.0 " + prose(5, 50), "CC-BY-SA-4.0", 1.0), (6, prose(4, 50) + " license general reserved licensed under " + prose(5, 50), None, 0.0), (7, prose(6, 90) + " " + mit.replace("free of charge", "gratis") + " " + prose(7, 90), "MIT", None),
+        (8, prose(8, 300) + " " + " ".join(w[: len(w) // 2]) + " " + prose(9, 300), None, 0.0),
+    ]
+    got = by_id(licences.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")))
+    for i, text, licence, dice in cases:
+        assert got[i]["licence"] == licence, i
+        s, best = licences.normal_words(text), 0.0
+        s = [f"{a} {b}" for a, b in zip(s, s[1:], strict=False)]
+        for (k, _, t), (_, said) in zip(licences._sets(tuple(licences.TEMPLATES)), licences.TEMPLATES, strict=True):
+            n = len(licences.normal_words(said)) - 1
+            best = max([best, *(2 * len(set(s[a : a + n]) & set(t)) / (len(set(s[a : a + n])) + len(t)) for a in range(len(s) - n + 1))])
+        passage = brute_licence(text)
+        want = passage[1] if passage[0] else best if best >= licences.LEAST else 0.0
+        assert got[i]["dice"] == pytest.approx(want, abs=1e-6) and dice in (None, got[i]["dice"]), i
+    one = licences.scan(spark.createDataFrame([(0, "some words and then unlicense here"), (1, "none of it")], "doc_id long, text string"), [("Unlicense", "Unlicense")])
+    assert [r["licence"] for r in one.orderBy("doc_id").collect()] == ["Unlicense", None]
+
+
 # -- 4 toxicity
 
 
