@@ -27,39 +27,67 @@ def lines(messages: DataFrame) -> DataFrame:
     return split.select("conv_id", "turn", "line", level(F.col("raw")).alias("level"), normalised(F.col("raw")).alias("words")).where("words != ''")
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, message (hash of the row), level and hash of every passage.
-
-    A passage is a maximal run of lines of one level; its hash is the SHA-256 of its normalised lines joined by one space.
-    Own passages (level 0) are, besides whole runs, every single line, since quotes often take part of a message. All
-    passages of a message are found within its row.
-    """
+def _runs(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, text, own (normalised lines of level 0) and runs (level and normalised lines of each maximal run of one level)."""
     rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(level(x).alias("level"), normalised(x).alias("words")))
     rows = F.filter(rows, lambda x: x["words"] != "")
-    empty = F.lit(None).cast("array<struct<level:int,words:string>>")
+    kind = "array<struct<level:int,lines:array<string>>>"
+    last = lambda done: F.element_at(done, F.greatest(F.size(done), F.lit(1)))
     runs = F.aggregate(
         rows,
-        F.coalesce(empty, F.array().cast("array<struct<level:int,words:string>>")),
+        F.coalesce(F.lit(None).cast(kind), F.array().cast(kind)),
         lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1))).getField("level") == x["level"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(done, F.greatest(F.size(done), F.lit(1))).getField("words"), x["words"]).alias("words")))),
-        ).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["words"].alias("words"))))),
+            (F.size(done) > 0) & (last(done).getField("level") == x["level"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(last(done).getField("lines"), F.array(x["words"])).alias("lines")))),
+        ).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), F.array(x["words"]).alias("lines"))))),
     )
-    own = F.filter(rows, lambda x: x["level"] == 0)
-    found = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(runs, own))).alias("p"))
-    return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.sha2("p.words", 256).alias("hash"))
+    own = F.transform(F.filter(rows, lambda x: x["level"] == 0), lambda x: x["words"])
+    return messages.select("conv_id", "turn", "text", own.alias("own"), runs.alias("runs"))
+
+
+def quoted(runs: DataFrame) -> DataFrame:
+    """conv_id, turn, level, hash and lines of every quoted run; the hash is the SHA-256 of its normalised lines joined by one space."""
+    found = runs.select("conv_id", "turn", F.explode(F.array_distinct(F.filter("runs", lambda r: r["level"] > 0))).alias("p"))
+    return found.select("conv_id", "turn", F.col("p.level").alias("level"), F.sha2(F.concat_ws(" ", "p.lines"), 256).alias("hash"), F.col("p.lines").alias("lines"))
+
+
+def originals(runs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, hash and origin (earliest turn) of every passage of own words that a quote may repeat.
+
+    Passages are the whole own runs, the paragraphs (between empty lines), every single line, and for every number of lines
+    that some quote of the conversation has, all stretches of so many consecutive own lines. So a quote of any lines of a
+    message has its hash among them; a quote wrapped anew is found if it is a whole run or paragraph. All passages of a message
+    are found within its row.
+    """
+    spans = quotes.select("conv_id", F.size("lines").alias("n")).groupBy("conv_id").agg(F.collect_set("n").alias("spans"))
+    rows = runs.where(F.size("own") > 0).join(spans, "conv_id")
+    whole = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.concat_ws(" ", r["lines"]))
+    said = lambda p: F.filter(F.transform(F.filter(F.split(p, "\n", -1), lambda x: level(x) == 0), lambda x: normalised(x)), lambda x: x != "")
+    paragraphs = F.transform(F.split(F.coalesce("text", F.lit("")), "\n[\\x20\\x09-\\x0D]*\n", -1), lambda p: F.concat_ws(" ", said(p)))
+    starts = lambda n: F.when(F.size("own") >= n, F.sequence(F.lit(1), F.size("own") - n + 1)).otherwise(F.array().cast("array<int>"))
+    stretches = F.flatten(F.transform("spans", lambda n: F.transform(starts(n), lambda k: F.concat_ws(" ", F.slice("own", k, n)))))
+    found = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, F.col("own"), paragraphs, stretches))).alias("words")).where("words != ''")
+    return found.select("conv_id", "turn", F.sha2("words", 256).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
 
 
 def linked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(quotes, links): every quoted passage, and those found in an earlier message of the conversation, with the earliest such turn.
+    """(quotes, links): every quoted run, and those found in an earlier message of the conversation, with the earliest such turn.
 
-    Originals are merged to one row per conversation and passage before the join, so each quote meets at most one.
+    A run that no message has as a whole, since lines were altered or added, is linked by its lines: each counts for the
+    earliest message with it, and the message with most of them, the earlier one if two have as many, is the origin if they
+    are half of the run at least. Originals are merged to one row per conversation and passage before the joins, so each
+    quote and each line meets at most one.
     """
-    said = passages(messages)
-    quotes = said.where("level > 0")
-    firsts = said.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    links = quotes.join(firsts, ["conv_id", "hash"]).where(F.col("origin") < F.col("turn"))
-    return quotes, links
+    runs = _runs(messages)
+    quotes = quoted(runs)
+    firsts = originals(runs, quotes)
+    found = quotes.join(firsts, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    whole = found.where("origin is not null").select("conv_id", "hash", "turn", "level", "origin")
+    rest = found.where("origin is null and size(lines) > 1").select("conv_id", "turn", "level", F.col("hash").alias("run"), F.size("lines").alias("n"), F.explode("lines").alias("words"))
+    rest = rest.withColumn("hash", F.sha2("words", 256)).join(firsts, ["conv_id", "hash"]).where(F.col("origin") < F.col("turn"))
+    rest = rest.groupBy("conv_id", "turn", "level", "run", "n", "origin").agg(F.count(F.lit(1)).alias("hits"))
+    rest = rest.groupBy("conv_id", "turn", "level", "run", "n").agg(F.max(F.struct("hits", (-F.col("origin")).alias("back"))).alias("p")).where("2 * p.hits >= n")
+    return quotes, whole.unionByName(rest.select("conv_id", F.col("run").alias("hash"), "turn", "level", (-F.col("p.back")).alias("origin")))
 
 
 def replies(messages: DataFrame) -> DataFrame:

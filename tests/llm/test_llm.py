@@ -364,6 +364,18 @@ def test_quotes(spark):
     assert quotes.quotation_links(d.limit(0)).count() == 0
 
 
+def test_quotes_of_parts(spark):
+    """Some lines or one paragraph of a message, altered and added lines, a paragraph wrapped anew."""
+    talk = [
+        (1, 0, "b"), (1, 1, "a\nb\nc"), (1, 2, "> a\n> b\nyes"), (1, 3, "one\ntwo\n\nthree\nfour\n\nfive"), (1, 4, "> three\n> four\nright"), (1, 5, "> one\n> two\n>\n> three\n> four\nboth"), (1, 6, "> one\n> 2\n> three\nchanged"), (1, 7, "> one\n> two\n> new\nadded"),
+        (1, 8, "> three four\nwrapped"), (1, 9, "> c\n> a\n> x\n> y\n> z\nfew"), (1, 10, "> later\n> on\nno"), (1, 11, "later\non\nthen"), (2, 0, "> a\n> b\nelsewhere"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.quotation_links(spark.createDataFrame([(c, k, "user", x) for c, k, x in talk], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, k]["reply_to"] for k in range(12)] == [None, None, 1, None, 3, 3, 3, 3, 3, None, None, None] and got[2, 0]["reply_to"] is None
+    assert [got[1, k]["n_linked"] for k in range(12)] == [0, 0, 1, 0, 1, 1, 1, 1, 1, 0, 0, 0] and all(got[1, k]["n_quotes"] == (k in (2, 4, 5, 6, 7, 8, 9, 10)) for k in range(12))
+    assert got[1, 2]["text"] == "yes" and got[1, 2]["anchor"] == 1
+
+
 # -- 8 mixing
 
 
