@@ -180,6 +180,13 @@ def mi_hash_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(info.hashed_null(info.quantile_bins(obs, 5), info.entity_count(obs), _PERMS))
 
 
+@query(None)
+def mi_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null of all features over the reference's 200 permutations; mi_hash_null is the part of it that SQL repeats."""
+    obs = obs_d(spark, sf_dir)
+    return rounded(info.hashed_null(info.quantile_bins(obs, 5), info.entity_count(obs), 200))
+
+
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {OBS_D}, {_bins(n)}, {_ENTROPY}, {_EXACT} SELECT {n}::BIGINT AS nbin, round(sum(greatest(i_raw - i_null, 0)), 6) AS summed, count(*)::BIGINT AS features FROM mi)" for n in (2, 5)))
 def summed_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs, out = obs_d(spark, sf_dir), None
@@ -303,12 +310,12 @@ def effective_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def pr_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.interval(resample.pr_bootstrap(spectrum.entity_means(obs_d(spark, sf_dir)), 200))
+    return resample.interval(resample.pr_bootstrap(spectrum.entity_means(obs_d(spark, sf_dir)), 1000))
 
 
 @query(None)
 def pr_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.interval(resample.pr_null(obs_d(spark, sf_dir), 20))
+    return resample.interval(resample.pr_null(obs_d(spark, sf_dir), 200))
 
 
 _ORDER = "ord AS (SELECT stratum, entity, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || entity), entity) AS rank FROM (SELECT DISTINCT stratum, entity FROM obs))"

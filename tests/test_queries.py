@@ -1,12 +1,16 @@
 """Every query with an oracle, against DuckDB on the smallest tables."""
 
+import collections
+import hashlib
 import math
 import os
 
 import duckdb
 import pytest
 
+from obsgrain.operators import info, resample
 from obsgrain.plans import catalogue
+from obsgrain.plans.tables import obs_d
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -44,3 +48,24 @@ def test_against_duckdb(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_permutation_null_of_all_features(spark, sf):
+    obs = obs_d(spark, sf)
+    got = {r["feature"]: r["i_null"] for r in catalogue.QUERIES["mi_permutation_null"](spark, sf).collect()}
+    s, rows = info.entity_count(obs).first()["s"], collections.defaultdict(list)
+    for r in info.quantile_bins(obs, 5).collect():
+        rows[r["feature"]].append((r["obs_id"], r["entity"], r["bin"]))
+    assert set(got) == set(rows) == {r[0] for r in obs.select("feature").distinct().collect()} and len(got) == 27
+    for feature, cells_ in rows.items():
+        labels, total = [e for _, e, _ in sorted(cells_)], 0.0
+        for p in range(200):
+            dealt = sorted((hashlib.md5(f"0:{p}:{i}".encode()).hexdigest(), i, b) for i, _, b in cells_)
+            both, bins = collections.Counter((b, e) for (_, _, b), e in zip(dealt, labels, strict=True)), collections.Counter(b for _, _, b in dealt)
+            total += math.log2(s) + sum(c * math.log2(c / bins[b]) for (b, _), c in both.items()) / len(labels)
+        assert got[feature] == pytest.approx(total / 200, abs=2e-6), feature
+
+
+def test_replicates_as_in_the_reference(spark, sf, monkeypatch):
+    monkeypatch.setattr(resample, "interval", lambda replicates: replicates)
+    assert catalogue.QUERIES["pr_null"](spark, sf).count() == 200 and catalogue.QUERIES["pr_bootstrap"](spark, sf).count() == 1000
