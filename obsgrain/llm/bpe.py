@@ -18,8 +18,10 @@ from obsgrain.llm.common import rank_file, slices, texts
 
 #: Fixed value: the public pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Code points from which a text is encoded in parts.
-PART = 1 << 16
+#: Code points from which a text is encoded in parts, and from which a run of white space is one of its own.
+PART, RUN = 1 << 16, 1 << 14
+#: Fixed value: what the pattern's \\s matches (Unicode White_Space).
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space can only begin a match of PATTERN, and no match has letters and ASCII digits together, so a match
 # ends wherever one of these does; nothing in PATTERN looks behind.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\r\t])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -44,11 +46,35 @@ def parts(text: str, most: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(text: str, enc: tiktoken.Encoding, most: int = PART) -> np.ndarray:
-    """Token ids, the same as encoding the whole text at once."""
+@functools.lru_cache(maxsize=8)
+def _long_run(least: int) -> re.Pattern:
+    return re.compile(f"[{WHITE}]{{{least},}}")
+
+
+def _whole(text: str, enc: tiktoken.Encoding) -> np.ndarray:
+    return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+
+def encode(text: str, enc: tiktoken.Encoding, most: int = PART, run: int = RUN) -> np.ndarray:
+    """Token ids, the same as encoding the whole text at once.
+
+    A long run of white space never reaches the pattern, whose look-ahead would track back over all of it: a match begins
+    where the run does and covers it but for its last character, or all of it at the end of the text. That match is merged
+    as one piece.
+    """
     if len(text) <= most:
-        return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.uint32)
-    return np.concatenate([np.asarray(enc.encode_to_numpy(x, disallowed_special=()), np.uint32) for x in parts(text, most)])
+        return _whole(text, enc)
+    out, at = [], 0
+    for found in _long_run(max(run, 2)).finditer(text):
+        start, end = found.span()
+        stop = end if end == len(text) else end - 1
+        if at < start:
+            out += [_whole(x, enc) for x in parts(text[at:start], most)]
+        out.append(np.asarray(enc._core_bpe.encode_single_piece(text[start:stop].encode()), np.uint32))
+        at = stop
+    if at < len(text):
+        out += [_whole(x, enc) for x in parts(text[at:], most)]
+    return np.concatenate(out)
 
 
 @functools.lru_cache(maxsize=1)
@@ -69,7 +95,9 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Dat
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, round_trip (the decoded bytes are the text's) and,
     if with_ids, ids array<int>. A null or empty text has no tokens and both digests of nothing; a null doc_id stays
-    null; repeated rows give repeated rows; columns of docs other than doc_id and text are not read.
+    null; repeated rows give repeated rows; columns of docs other than doc_id and text are not read. A very long text is
+    encoded in parts, whatever it consists of; it is held in memory as a whole, with its ids. The rank file is opened by each
+    task, so it must lie at the same path on all machines.
     """
     path = path or rank_file()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"

@@ -439,6 +439,25 @@ def test_bpe_parts_are_safe(text):
         assert "".join(bpe.parts(text, most)) == text and bpe.encode(text, enc, most).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "\u3000", " \n", "\r\n", "a", "\u4e2d", "-", "7", "a "])
+def test_bpe_of_long_runs(unit):
+    """5 MB of one thing: what a run of it gives is what the library gives for its matches, and the round trip is exact."""
+    enc = bpe.encoding(bpe.rank_file())
+    for most, run in ((4, 2), (7, 3)):
+        for text in ("x" + unit * 40, "x" + unit * 41 + " y" + unit * 33 + "z", unit * 29):
+            assert bpe.encode(text, enc, most, run).tolist() == enc.encode_ordinary(text)
+    long = "start" + unit * (5_000_000 // len(unit.encode())) + " end"
+    ids = bpe.encode(long, enc)
+    assert enc.decode_bytes(ids.tolist()) == long.encode()
+    middle = "x" + unit * 60_000 + "y"
+    assert bpe.encode(middle, enc, 1 << 10, 1 << 9).tolist() == enc.encode_ordinary(middle)
+
+
+def test_bpe_pattern_is_the_published_one():
+    published = pytest.importorskip("public_tokenizers")
+    assert bpe.PATTERN == published.PATTERN
+
+
 # -- 10 secrets
 
 
