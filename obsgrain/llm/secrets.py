@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import string
 from collections.abc import Iterator
-from re import _constants as K
-from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from obsgrain.llm.common import buffers, slices, texts
 
-#: Fixed values: (kind, pattern, group whose length counts, least length). The first three are the base kinds.
+#: Fixed values: (kind, pattern, group whose length counts, least length). The first three are the base kinds. A pattern that
+#: begins with an open run looks behind for the run's start, so that a long run is tried once and not at each of its places.
 RULES = [
     ("assign", r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -24,9 +24,9 @@ RULES = [
     ("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     ("maps", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
-    ("login", r"[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]+@", 0, 0),
+    ("login", r"(?<![a-z])[a-z]+://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]+@", 0, 0),
 ]
 BASE = ("assign", "access", "hex")
 
@@ -34,56 +34,164 @@ BASE = ("assign", "access", "hex")
 _MOST = 64
 
 
+#: A node of a parsed pattern: (kind, value). Kinds: chars (the characters that may stand there, None if many), group (its
+#: alternatives, each a list of nodes), repeat (least, most, node) and empty (what matches no text: anchors, look-arounds).
+Node = tuple[str, object]
+
+
+class _Parser:
+    """Reads the part of the pattern language that rules use; raises ValueError at anything else."""
+
+    _TAKE = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "0": "\0"}
+
+    def __init__(self, pattern: str):
+        self.s, self.at = pattern, 0
+
+    def peek(self, n: int = 1) -> str:
+        return self.s[self.at : self.at + n]
+
+    def take(self, n: int = 1) -> str:
+        got = self.peek(n)
+        if len(got) < n:
+            raise ValueError("the pattern ends too early")
+        self.at += n
+        return got
+
+    def whole(self) -> list[list[Node]]:
+        out = self.alternatives()
+        if self.peek():
+            raise ValueError("a bracket too many")
+        return out
+
+    def alternatives(self) -> list[list[Node]]:
+        out: list[list[Node]] = [[]]
+        while self.peek() not in ("", ")"):
+            if self.peek() == "|":
+                self.take()
+                out.append([])
+            else:
+                out[-1].append(self.repeated(self.atom()))
+        return out
+
+    def repeated(self, node: Node) -> Node:
+        found = re.compile(r"([*+?]|\{(\d*)(,?)(\d*)\})[?+]?").match(self.s, self.at)
+        if not found or (found[1][0] == "{" and not (found[2] or found[4])):
+            return node
+        self.at = found.end()
+        if found[1][0] != "{":
+            return "repeat", ({"*": 0, "+": 1, "?": 0}[found[1]], 1 if found[1] == "?" else None, node)
+        low = int(found[2] or 0)
+        return "repeat", (low, (int(found[4]) if found[4] else None) if found[3] else low, node)
+
+    def atom(self) -> Node:
+        c = self.take()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return "chars", self.klass()
+        if c in "^$":
+            return "empty", None
+        if c == ".":
+            return "chars", None
+        if c == "\\":
+            if self.peek() and self.peek() in "bBAZ":
+                self.take()
+                return "empty", None
+            return "chars", self.escaped()
+        if c in "*+?":
+            raise ValueError("nothing to repeat")
+        return "chars", {c}
+
+    def escaped(self) -> set[str] | None:
+        c = self.take()
+        if c in "dDwWsS":
+            return None
+        if c in "xu":
+            return {chr(int(self.take(2 if c == "x" else 4), 16))}
+        if c in self._TAKE:
+            return {self._TAKE[c]}
+        if c in string.ascii_letters + string.digits:
+            raise ValueError(f"\\{c} is not read")
+        return {c}
+
+    def klass(self) -> set[str] | None:
+        """The characters of a class if they are few; a negated or open one is None."""
+        negated = self.peek() == "^"
+        if negated:
+            self.take()
+        out: set[str] = set()
+        many, first = negated, True
+        while first or self.peek() != "]":
+            first = False
+            low = {c} if (c := self.take()) != "\\" else self.escaped()
+            if self.peek() == "-" and self.peek(2) != "-]" and low:
+                self.take()
+                high = {c} if (c := self.take()) != "\\" else self.escaped()
+                if not high:
+                    raise ValueError("a range to a class")
+                a, b = ord(min(low)), ord(min(high))
+                many |= b - a >= 8
+                low = {chr(x) for x in range(a, min(b, a + 8) + 1)}
+            many |= low is None
+            out |= low or set()
+        self.take()
+        return None if many or len(out) > 16 else out
+
+    def group(self) -> Node:
+        kind = re.compile(r"\?(?:P<\w+>|([a-z]+):|(:)|(<?[=!])|>)|(?!\?)").match(self.s, self.at)
+        # letters beyond ASCII may fold to ASCII ones unless the flag a is set
+        if not kind or (kind[1] and ("i" in kind[1]) and "a" not in kind[1]) or (kind[1] and "x" in kind[1]):
+            raise ValueError("a group that is not read")
+        self.at = kind.end()
+        inner = self.alternatives()
+        if self.take() != ")":
+            raise ValueError("a bracket too few")
+        return ("empty", None) if kind[3] else ("group", inner)
+
+
 def trigram_query(pattern: str) -> list[frozenset[bytes]] | None:
     """A disjunction of trigram sets, lower case: whatever matches has all trigrams of one set. None: no trigram is mandatory.
 
-    Follows the parsed pattern: literals and small character classes extend the known strings, alternatives multiply them,
-    anything open ends them. Only ASCII letters are folded, in the index as here.
+    Literals and small character classes extend the known strings, alternatives multiply them, anything open ends them. Only
+    ASCII letters are folded, in the index as here. A pattern that the parser does not read has no mandatory trigrams.
     """
 
     def trigrams(s: bytes) -> frozenset[bytes]:
         return frozenset(s[i : i + 3] for i in range(len(s) - 2))
 
-    def walk(tree, states: list[tuple[frozenset[bytes], bytes]]) -> list[tuple[frozenset[bytes], bytes]]:
+    def stop(states: list[tuple[frozenset[bytes], bytes]]) -> list[tuple[frozenset[bytes], bytes]]:
+        return [(have | trigrams(s), b"") for have, s in states]
+
+    def walk(nodes: list[Node], states: list[tuple[frozenset[bytes], bytes]]) -> list[tuple[frozenset[bytes], bytes]]:
         """states: (trigrams so far, the string known to end here)."""
-        stop = lambda out: [(have | trigrams(s), b"") for have, s in out]
-        for op, arg in tree:
-            if op is K.LITERAL:
-                states = [(have, s + chr(arg).lower().encode()) for have, s in states]
-            elif op is K.IN and (chars := small(arg)):
-                states = [(have, s + c) for (have, s), c in itertools.product(states, chars)]
-            elif op is K.SUBPATTERN:
-                states = walk(arg[3], states)
-            elif op is K.BRANCH:
-                states = [x for branch in arg[1] for x in walk(branch, states)]
-            elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
-                low, high, inner = arg
+        for kind, value in nodes:
+            if kind == "chars":
+                said = sorted({lower(c) for c in value}) if value else []
+                states = [(have, s + c) for (have, s), c in itertools.product(states, said)] if 0 < len(said) <= 8 else stop(states)
+            elif kind == "group":
+                states = [x for branch in value for x in walk(branch, states)]
+            elif kind == "repeat":
+                low, high, inner = value
                 if (low, high) == (0, 1):
-                    states = states + walk(inner, states)
+                    states = states + walk([inner], states)
                 else:
                     for _ in range(min(low, 8)):
-                        states = walk(inner, states)
-                    if high != low:
+                        states = walk([inner], states)
+                    if high != low or low > 8:
                         states = stop(states)
-            elif op is not K.AT:
-                states = stop(states)
             states = list(dict.fromkeys(states))
             if len(states) > _MOST:
-                states = list(dict.fromkeys((have, b"") for have, _ in stop(states)))
+                states = list(dict.fromkeys(stop(states)))
         return states
 
-    def small(items) -> list[bytes] | None:
-        out: set[bytes] = set()
-        for op, arg in items:
-            if op is K.LITERAL:
-                out.add(chr(arg).lower().encode())
-            elif op is K.RANGE and arg[1] - arg[0] < 8:
-                out |= {chr(c).lower().encode() for c in range(arg[0], arg[1] + 1)}
-            else:
-                return None
-        return sorted(out) if len(out) <= 8 else None
+    def lower(c: str) -> bytes:
+        return (c.lower() if c in string.ascii_uppercase else c).encode()
 
-    sets = {have | trigrams(s) for have, s in walk(parser.parse(pattern), [(frozenset(), b"")])}
+    try:
+        parsed = _Parser(pattern).whole()
+    except ValueError:
+        return None
+    sets = {have | trigrams(s) for have, s in walk([("group", parsed)], [(frozenset(), b"")])}
     return None if frozenset() in sets else sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)
 
 
@@ -131,7 +239,8 @@ def secrets(docs: DataFrame, rules: list[tuple[str, str, int, int]] | None = Non
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_extra. A null or empty text has no spans: counts 0,
     the digest of the empty string, spans ''. A null doc_id stays null; repeated rows give repeated rows; columns of docs
-    other than doc_id and text are not read.
+    other than doc_id and text are not read. Every rule reads a text once from end to end, so a very long text costs time in
+    proportion; it is held in memory as a whole. An index serves one block of texts (about 2 MB) and is dropped with it.
     """
     rules = RULES if rules is None else rules
 

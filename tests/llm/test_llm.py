@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -491,6 +492,33 @@ def test_trigram_queries():
         assert q is None or all(q), kind
 
 
+@pytest.mark.parametrize("pattern", ["a{2,3}bcd", r"(?:x|yz)\.\x41\d+foo", "(?P<n>ab)c?def", r"[ab]cd[^x]efg", "(?=abc)xyz", r"(?<!\w)tok(en)?s{2}", r"\bkey[-_]?id\b", "ab.*cde$", "[]a]bcd", "(?ia:AbC)d", "abc{0}def", "a{9}b", r"[a\-]bcd", "(abc|)def"])
+def test_trigram_queries_lose_no_match(pattern):
+    """Every string that a pattern matches holds all trigrams of one of its sets."""
+    query = secrets.trigram_query(pattern)
+    rng, letters, hits = np.random.default_rng(0), "abcdefgxyzABC.A1kiost-_]n", 0
+    seeds = ["aabcd", "aaabcd", "x.A12foo", "yz.A1foo", "abcdef", "abdef", "acdqefg", "bcd-efg", "xyz", "tokss", " tokenss", "key_id", "keyid", "ab--cde", "]bcd", "abcd", "ABCd", "aBcd", "abdef", "a" * 9 + "b", "-bcd", "def", "abcdef"]
+    for t in [*seeds, *("".join(rng.choice(list(letters), 12)) for _ in range(2000))]:
+        if re.search(pattern, t):
+            hits += 1
+            low = t.lower().encode()
+            assert query is None or any(all(g in low for g in s) for s in query), t
+    assert hits or pattern == "(?=abc)xyz"
+
+
+def test_patterns_that_are_not_read_scan_fully():
+    assert all(secrets.trigram_query(p) is None for p in ("(?i:secret)", r"(abc)\1", "(?(1)a|b)", "(abc", "abc)", "*abc"))
+
+
+@pytest.mark.parametrize("unit", ["a", "eyJ", "eyJa.", "a://", "a://b:c", "password ", "token=", "-----BEGIN ", "-----BEGIN PRIVATE ", "AKIA", "f" * 23 + " ", "ghp_", "xoxb-", "AIza", "\u00fc", "api_key:'", "0a", "secret" + " " * 50])
+def test_secrets_take_time_in_proportion(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    for _, pattern, group, least in secrets.RULES:
+        secrets.matches(re.compile(pattern), group, least, text)
+    assert time.process_time() - began < 2
+
+
 # -- empty tables
 
 
