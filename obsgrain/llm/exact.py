@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType
 
-from obsgrain.llm.common import bounded, cut, hash_slots, in_slots, scratch
+from obsgrain.llm.common import bounded, cut, scratch
 
 #: What does not count when texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -23,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: What the stream carries of a row; file and at say where its content lies.
+ARRIVAL = "doc_id long, digest string, text_sha256 string, points long, file string, at long"
 
 
 def normalised(text: Column) -> Column:
@@ -33,23 +36,68 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _files(spark, path)
+    return fs.exists(p)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs such that each row has a place (file and row number in it): a plain Parquet scan as it is, anything else as a written copy."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower() == "parquet" and "_metadata" not in docs.columns:
+        return docs
+    path = scratch(docs.sparkSession, "located")
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+
+
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """What the stream carries of each document: its id, digest, length in code points, a row number and where its content lies."""
+    """What the stream carries of each located document: its id, digests, length in code points and place."""
+    bare = normalised(F.col("text"))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        digest(normalised(F.col("text"))).alias("digest"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"),
-        F.concat_ws("-", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id().cast("string")).alias("row"),
-        F.input_file_name().alias("locator"),
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), digest(bare).alias("digest"), (F.lit(None).cast("string") if digest is sha256 else sha256(bare)).alias("text_sha256"),
+        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"), *_place(),
+    )
+
+
+def land(rows: DataFrame, state_dir: str) -> str:
+    """Lands arrivals under a name made of what they are; the same rows landed before are not landed again. Returns that name.
+
+    Files are written aside and moved when they are whole, so a landing that was broken off leaves nothing to the stream.
+    """
+    spark = rows.sparkSession
+    aside = f"{state_dir}/aside-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    h = F.xxhash64("doc_id", "digest", "points", "file", "at")
+    made = spark.read.schema(rows.schema).parquet(aside).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")).first()
+    run = f"{made['n']}-{(made['x'] or 0) & ((1 << 64) - 1):016x}-{made['s'] or 0:x}"
+    fs, source = _files(spark, aside)
+    _, target = _files(spark, f"{state_dir}/arrivals/run={run}")
+    if fs.exists(target):
+        fs.delete(source, True)
+    else:
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"cannot move {aside}")
+    return run
 
 
 def keyed(stream: DataFrame) -> DataFrame:
-    """The stateful operator: for each digest the row that stays (most code points, then smallest id), its locator, and how many came.
+    """The stateful operator: for each digest the row that stays (most code points, then smallest id), with its place, and how many came.
 
     Partial sums are made before the shuffle, so a digest that a third of all rows share arrives as one row a task.
     """
-    rank = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "locator")
+    rank = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "run", "file", "at")
     return stream.groupBy("digest").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -73,81 +121,92 @@ def consume(spark: SparkSession, stream: DataFrame, state_dir: str) -> DataFrame
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
-    changed = spark.read.option("basePath", out).schema(keyed(stream).schema.add("batch", IntegerType())).parquet(f"{out}/batch=*") if _any(spark, out) else spark.createDataFrame([], keyed(stream).schema.add("batch", IntegerType()))
+    schema = keyed(stream).schema.add("batch", IntegerType())
+    changed = spark.read.option("basePath", out).schema(schema).parquet(f"{out}/batch=*") if exists(spark, out) else spark.createDataFrame([], schema)
     return changed.groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "batch").alias("last")).select("digest", "last.*")
 
 
-def _any(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Groups of equal texts; one row per row of docs.
+    """Groups of equal texts; one row per row of docs (and of all that came before with the same state_dir).
 
-    Columns: doc_id, keep_id, group_size, kept, text_sha256. A null text counts as empty; all empty texts are one group. Of
-    rows that tie in length, the smallest id stays, a null id last; of repeated rows one stays. A table without rows gives
-    none. Columns other than doc_id and text are not read.
+    Columns: doc_id, keep_id, group_size, kept, text_sha256, then file and at, where the row lies. A null text counts as
+    empty; all empty texts are one group. Of rows that tie in length, the smallest id stays, a null id last; of repeated rows
+    one stays, told apart by their places. A table without rows gives none. Columns other than doc_id and text are not read.
+    A very long text costs what it is long; only its digest is in the stream.
 
-    The narrow arrivals are landed as files of the shared folder and streamed from there. A digest met more than once is a
-    hit: the full bytes of all texts whose digest may be one (a fixed number of hash slots tells, without moving texts) are
-    compared, equal bytes being merged before the shuffle; should texts of one digest differ, they are told apart.
+    The narrow arrivals are landed as files of the shared folder and streamed from there; called again for the same
+    documents, as after a crash, it counts none twice. A digest met more than once is a hit: the texts of all rows under it
+    are fetched by their places and their full bytes compared; should texts of one digest differ, they are told apart.
     """
     spark = docs.sparkSession
     state_dir = state_dir or scratch(spark, "exact")
-    rows = arrivals(docs, digest)
-    rows.write.mode("append").parquet(f"{state_dir}/arrivals")
-    landed = spark.read.schema(rows.schema).parquet(f"{state_dir}/arrivals")
-    stream = spark.readStream.schema(StructType(rows.schema.fields)).option("maxFilesPerTrigger", files_per_batch).parquet(f"{state_dir}/arrivals")
+    docs = located(docs)
+    run = land(arrivals(docs, digest), state_dir)
+    schema = f"{ARRIVAL}, run string"
+    landed = spark.read.schema(schema).parquet(f"{state_dir}/arrivals")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{state_dir}/arrivals")
     state = cut(consume(spark, stream, state_dir))
-    split = collisions(docs, state, digest)
-    clean = landed.join(state, "digest")
-    out = clean.select("doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("stays.row")).alias("kept"), "digest")
+    sha = F.col("digest") if digest is sha256 else F.col("text_sha256")
+    same = F.struct("run", "file", "at") == F.struct("stays.run", "stays.file", "stays.at")
+    out = landed.join(state, "digest").select("doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), same.alias("kept"), sha.alias("text_sha256"), "file", "at", "digest")
+    split = collisions(docs, landed, state, run, digest)
     if split is None:
-        return out.withColumnRenamed("digest", "text_sha256") if digest is sha256 else out.join(_digests(docs), "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    apart = _apart(docs, split, digest)
-    rest = out.join(bounded(split), "digest", "left_anti")
-    rest = rest.join(_digests(docs), "doc_id") if digest is not sha256 else rest.withColumn("text_sha256", F.col("digest"))
-    return rest.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").unionByName(apart)
+        return out.drop("digest")
+    return out.join(bounded(split), "digest", "left_anti").drop("digest").unionByName(_apart(docs, landed.join(bounded(split), "digest", "left_semi"), run, digest))
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(normalised(F.col("text"))).alias("text_sha256"))
+def _keyed_places(rows: DataFrame, *more: str) -> DataFrame:
+    """Places as two numbers: a hash of the file's name and the row number in it."""
+    return rows.select(F.xxhash64("file").alias("__file"), F.col("at").alias("__at"), *more)
 
 
-def _known(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(F.col("text"), F.lit(""))).alias("points"), normalised(F.col("text")).alias("bytes")).withColumn("digest", digest(F.col("bytes")))
+def fetched(docs: DataFrame, rows: DataFrame, run: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """What lies at the places of rows (run, file, at): doc_id, points, bytes and digest, with the place and the run.
 
-
-def collisions(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame | None:
-    """Digests under which different texts lie, or None if the bytes of all hits agree."""
-    hits = in_slots(_known(docs, digest), "digest", cut(hash_slots(state.where("group_size > 1"), "digest")))
-    several = cut(hits.groupBy("digest", "bytes").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("n")).where("n > 1").select("digest"))
+    Rows of this run are in docs, older ones in the files they name. Places are two numbers; up to a checked number of them
+    they are broadcast and no other text is moved, beyond it both sides are shuffled by place, each of which occurs once, so
+    that no group of copies meets in one task.
+    """
+    spark, rows = docs.sparkSession, cut(rows.select("run", "file", "at"))
+    own = bounded(_keyed_places(rows.where(F.col("run") == run)))
+    at = lambda scan: scan.select(*_place(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    here = (F.xxhash64("file") == F.col("__file")) & (F.col("at") == F.col("__at"))
+    out = at(docs).join(own, here, "left_semi").withColumn("run", F.lit(run))
+    older = rows.where(F.col("run") != run)
+    files = [unquote(r["file"]) for r in older.select("file").distinct().toLocalIterator()]
+    if files:
+        scan = spark.read.schema(docs.select("doc_id", "text").schema).parquet(*files)
+        out = out.unionByName(at(scan).join(bounded(_keyed_places(older, "run")), here).drop("__file", "__at"))
+    return out.withColumn("points", F.length(F.coalesce("text", F.lit(""))).cast("long")).withColumn("bytes", normalised(F.col("text"))).drop("text").withColumn("digest", digest(F.col("bytes")))
+
+
+def collisions(docs: DataFrame, landed: DataFrame, state: DataFrame, run: str, digest: Callable[[Column], Column]) -> DataFrame | None:
+    """Digests under which different texts lie, or None if the bytes of all hits agree. Equal bytes are merged before the shuffle."""
+    hits = landed.join(bounded(cut(state.where("group_size > 1").select("digest"))), "digest", "left_semi")
+    texts = fetched(docs, hits, run, digest).groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    several = cut(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     return None if several.isEmpty() else several
 
 
-def _apart(docs: DataFrame, split: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """The result for digests under which different texts lie, grouped by the bytes themselves."""
-    rows = _known(docs, digest).join(bounded(split), "digest", "left_semi")
-    rank = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+def _apart(docs: DataFrame, rows: DataFrame, run: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """The result for rows under whose digests different texts lie, grouped by the bytes themselves."""
+    rows = fetched(docs, rows, run, digest)
+    rank = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "run", "file", "at")
     groups = rows.groupBy("bytes").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "bytes").select("doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("stays.doc_id")).alias("kept"), sha256(F.col("bytes")).alias("text_sha256"))
+    same = F.struct("run", "file", "at") == F.struct("stays.run", "stays.file", "stays.at")
+    return rows.join(groups, "bytes").select("doc_id", F.col("stays.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), same.alias("kept"), sha256(F.col("bytes")).alias("text_sha256"), "file", "at")
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns. found: the result of exact_dedup for docs.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all columns: one of each group of equal texts, told apart by their places, not by id.
 
-    Only ids are looked up, never texts; rows without an id cannot be told apart and stay. Of repeated rows one stays.
+    Null texts are a group with empty ones; rows without an id and repeated rows are treated like any others; a table
+    without rows gives none. The places of dropped rows are broadcast up to a checked number, else both sides are shuffled.
     """
-    found = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("keep_id")).alias("__again")))
-    out = docs.join(found.where(~F.col("__again")).select("__id"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    again = found.where("__again").select("__id").distinct()
-    if again.isEmpty():
-        return out
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    first = Window.partitionBy(F.col("doc_id"), F.xxhash64(normalised(F.col("text")))).orderBy(F.length("text").desc(), "text")
-    once = out.join(again, same, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return out.join(again, same, "left_anti").unionByName(once)
+    docs = located(docs)
+    gone = bounded(cut(_keyed_places(exact_dedup(docs).where(~F.col("kept")))))
+    here = (F.xxhash64("_metadata.file_path") == F.col("__file")) & (F.col("_metadata.row_index") == F.col("__at"))
+    return docs.join(gone, here, "left_anti")
 
 
 ORACLE = r"""
