@@ -43,23 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, already cut, with a broadcast hint if it has at most so many rows; beyond that Spark shuffles it."""
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, already cut, with a broadcast hint if it has at most so many rows (BROADCAST_ROWS); beyond that Spark shuffles it."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def hash_slots(ids: DataFrame, column: str, slots: int = BROADCAST_ROWS) -> DataFrame:
-    """Which of a fixed number of hash slots the column's values fall in: at most `slots` rows whatever the input."""
-    return ids.select(F.pmod(F.xxhash64(column), F.lit(slots)).alias("__slot")).distinct()
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt: str | None = None, salts: int = 16) -> DataFrame:
+    """left joined with a narrow table, already cut, that has each key once.
 
-
-def in_slots(df: DataFrame, column: str, taken: DataFrame, slots: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of df whose value may be among those of hash_slots: a prefilter that moves no row of df."""
-    return (
-        df.withColumn("__slot", F.pmod(F.xxhash64(column), F.lit(slots)))
-        .join(F.broadcast(taken), "__slot", "left_semi")
-        .drop("__slot")
-    )
+    Up to BROADCAST_ROWS rows right is broadcast and left is not moved. Beyond that both are shuffled; a key that many rows
+    of left share is spread over so many tasks by a hash of the column `salt`, right being repeated for each of them.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    if not salt:
+        return left.join(right, on, how)
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    return spread.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "__salt"], how).drop("__salt")
 
 
 def texts(df: DataFrame, *keep: str) -> DataFrame:

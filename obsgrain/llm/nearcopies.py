@@ -12,19 +12,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import bounded, buffers, cut, hash_slots, in_slots, scratch, slices, texts
+from obsgrain.llm.common import bounded, buffers, cut, lookup, scratch, slices, texts
+from obsgrain.llm.exact import located
 from obsgrain.llm.tokens import SPACE, mix, shingles, words
 
 #: Words of a shingle and least similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair of similarity 0.8 shares one of 12 bands of 3 samples with probability 0.9998.
 BANDS, ROWS = 12, 3
-#: Cells of the document-frequency sketch: 4 MB whatever the corpus.
+#: Cells of the document-frequency sketch, whatever the corpus; what other shingles add to a cell on average is taken off.
 CELLS = 1 << 20
-#: How much rarity counts: weights are tf * (1 + RARITY * idf), idf in 0..1. Small, since a shingle that a large group of copies shares is frequent for that reason alone.
-RARITY = 0.25
-#: Size of a bucket up to which its pairs are listed; size of a block of a larger one.
-ALL, BLOCK = 16, 512
+#: A shingle in fewer than one of so many documents is as rare as any. So the sketch's error, which is a fixed share of the
+#: corpus, matters as little in a large one as in a small one.
+RAREST = 1000
+#: Weights are tf * (1 + RARITY * idf), idf = ln(min(RAREST, documents / documents with it)) / ln(RAREST), in 0..1.
+RARITY = 1.0
+#: Size of a bucket up to which its pairs are listed; size of a block of a larger one; pairs of one leader that meet in a task.
+ALL, BLOCK, FAN = 16, 512, 256
 _BLOCK = 1 << 14
 _SPACED = ~SPACE
 
@@ -45,8 +49,19 @@ def profile(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return keys & np.uint64((1 << 52) - 1), tf, (keys >> np.uint64(52)).astype(np.int64), hashes, first
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents with a shingle in each cell of the sketch, and documents with words; over all of docs.
+def _packed(x: np.ndarray) -> tuple[int, bytes]:
+    """Counts in the fewest bytes each, and how many those are."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return width, x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(width: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}").astype(np.int64)
+
+
+def _sketch(rows: DataFrame, read) -> tuple[np.ndarray, int]:
+    """Rows with a shingle in each cell, and rows with shingles. read(batch) yields (shingles, number of rows that have any).
 
     Every task counts its own rows in blocks of cells; blocks are added in groups of at most 64 until one row a block is left.
     """
@@ -56,36 +71,51 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
         cells, n = np.zeros(CELLS, np.int64), 0
         for batch in batches:
-            for part in slices(batch, 1 << 20):
-                sh, _, text, _, _ = profile(part.column("text"))
+            for sh, full in read(batch):
                 cells += np.bincount((sh & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                n += len(np.unique(text))
+                n += full
         if n:
-            blocks = [b.astype(np.int32).tobytes() for b in cells.reshape(-1, _BLOCK)]
+            blocks = [_packed(b) for b in cells.reshape(-1, _BLOCK)]
             k = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([k] * len(blocks), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], ["block", "part", "n", "cells"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([k] * len(blocks), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([w for w, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())],
+                ["block", "part", "n", "width", "cells"],
+            )
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows["cells"])
-        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // 64, "n": [rows["n"].sum()], "cells": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+        width, raw = _packed(sum(_unpacked(w, x) for w, x in zip(rows["width"], rows["cells"], strict=True)))
+        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // 64, "n": [rows["n"].sum()], "width": [width], "cells": [raw]})
 
-    schema = "block int, part int, n long, cells binary"
-    tasks = max(1, docs.rdd.getNumPartitions())
-    sums = docs.select("text").mapInArrow(count, schema)
+    schema = "block int, part int, n long, width int, cells binary"
+    tasks = max(1, rows.rdd.getNumPartitions())
+    sums = rows.mapInArrow(count, schema)
     while tasks > 1:
         sums = sums.groupBy("block", F.floor(F.col("part") / 64).alias("group")).applyInPandas(add, schema)
         tasks = -(-tasks // 64)
-    rows = sums.collect()  # one row a block: CELLS numbers in all
+    found = sums.collect()  # one row a block: CELLS numbers in all
     cells = np.zeros((CELLS // _BLOCK, _BLOCK), np.int64)
-    for r in rows:
-        cells[r["block"]] += np.frombuffer(r["cells"], np.int32)
-    return cells.ravel(), max([0, *(r["n"] for r in rows)])
+    for r in found:
+        cells[r["block"]] += _unpacked(r["width"], r["cells"])
+    return cells.ravel(), max([0, *(r["n"] for r in found)])
+
+
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents with a shingle in each cell of the sketch, and documents with words; over all of docs."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        for part in slices(batch, 1 << 20):
+            sh, _, text, _, _ = profile(part.column("text"))
+            yield sh, len(np.unique(text))
+
+    return _sketch(docs.select("text"), read)
 
 
 def log_rarity(cells: np.ndarray, n: int) -> np.ndarray:
-    """ln(1 + RARITY * idf) for each cell."""
-    idf = np.log((n + 1) / (np.minimum(cells, n) + 1)) / np.log(n + 1) if n else np.zeros(len(cells))
-    return np.log1p(RARITY * idf).astype(np.float32)
+    """ln(1 + RARITY * idf) for each cell. The mean of all cells, which is what other shingles add, is taken off first."""
+    if not n:
+        return np.zeros(len(cells), np.float32)
+    own = np.clip(cells - cells.mean(), 1, n)
+    return np.log1p(RARITY * np.log(np.minimum(n / own, RAREST)) / np.log(RAREST)).astype(np.float32)
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +220,10 @@ def similarities(sh_a: pa.Array, w_a: pa.Array, sh_b: pa.Array, w_b: pa.Array) -
 
 
 def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b) whose profiles, looked up in said, are similar."""
+    """Those of the pairs (a, b, salt) whose profiles, looked up in said, are similar, as (a, b) with a < b.
+
+    Many pairs may have the same a: its profile is sent once for each of its salts, so they meet in as many tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +233,60 @@ def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], ["a", "b", "similarity"])
 
     side = lambda x: said.select(F.col("doc_id").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("w").alias(f"w_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similar).select("a", "b").distinct()
+    leaders = pairs.select("a", "salt").distinct().join(side("a"), "a")
+    found = pairs.join(side("b"), "b").join(leaders, ["a", "salt"]).mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similar)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b, salt) to compare in each bucket (key, node, size, lead): all in one of up to ALL nodes, else those with its leader."""
+    nodes = buckets.where(F.col("size") <= ALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("n"))
+    listed = F.flatten(F.transform("n", lambda x, k: F.transform(F.slice("n", k + 2, F.greatest(F.size("n") - k - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    small = nodes.select(F.explode(listed).alias("p")).select("p.a", "p.b", F.lit(0).cast("long").alias("salt"))
+    large = buckets.where((F.col("size") > ALL) & (F.col("lead") != F.col("node"))).select(F.col("lead").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / FAN)).alias("salt"))
+    return small.unionByName(large).groupBy("a", "b").agg(F.min("salt").alias("salt"))
+
+
+def led(buckets: DataFrame, seed: int = 0) -> DataFrame:
+    """Buckets (key, node, size) with each one's leader: the node that meets most others, which copies were often made from."""
+    reach = buckets.groupBy("node").agg(F.sum("size").alias("reach"))
+    order = F.xxhash64("node", F.lit(seed))
+    lead = buckets.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", order.alias("h"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    return lookup(buckets, cut(lead), ["key"], salt="node")
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of larger buckets, with label, of those buckets whose nodes are not all in one component."""
+    named = lookup(buckets.where(F.col("size") > ALL), labels, ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+    still = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    return lookup(named, cut(still), ["key"], "left_semi", salt="node")
+
+
+def prefixes(said: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(node, key): each profile's rarest shingles, the fewest such that the others weigh less than `similar` of all.
+
+    Texts of at least that similarity share one of them: in the common order of shingles, were no prefix shingle shared, all
+    shared ones would lie beyond the prefix that ends first and weigh too little. Rarity is counted among the given profiles.
+    """
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        yield _flat(batch.column("sh"))[0].astype(np.uint64), batch.num_rows
+
+    cells = said.sparkSession.sparkContext.broadcast(_sketch(said.select("sh"), read)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sh, offs = _flat(batch.column("sh"))
+            w = _flat(batch.column("w"))[0].astype(float)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+            order = np.lexsort((sh, cells.value[sh & (CELLS - 1)], row))
+            before = np.cumsum(w[order]) - w[order]
+            total = np.bincount(row, w, batch.num_rows)
+            behind = total[row] - (before - np.repeat(before[offs[:-1][np.diff(offs) > 0]], np.diff(offs)[np.diff(offs) > 0]))
+            keep = order[behind >= similar * total[row] * (1 - 1e-6)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[keep])), pa.array(sh[keep])], ["node", "key"])
+
+    return said.select("doc_id", "sh", "w").mapInArrow(run, "node long, key long")
 
 
 def block_links(buckets: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -285,21 +371,22 @@ def similar_pairs(sh: pa.Array, tf: pa.Array, w: pa.Array, similar: float = SIMI
 ONE_TASK = 1 << 18
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, label): the least node reachable over the edges (a, b), which are already cut.
 
     A counted, bounded number of edges is united in one task. Beyond it, labels spread in rounds: the least label among
     neighbours, then a jump to the label's label, until nothing changes.
     """
+    one_task = ONE_TASK if one_task is None else one_task
     if edges.limit(one_task + 1).count() <= one_task:
         return cut(edges.coalesce(1).mapInArrow(_unite, "node long, label long"))
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        near = lookup(both, labels.select(F.col("node").alias("other"), "label"), ["other"], salt="node").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        after = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", "to").alias("label")))
+        after = cut(lookup(step, jump, ["label"], "left", salt="node").select("node", "was", F.least("label", "to").alias("label")))
         labels = after.select("node", "label")
         if after.where("was != label").isEmpty():
             return labels
@@ -330,46 +417,62 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     Columns: doc_id, class_id (the least doc_id of its class), exact_id (the least doc_id with the same words). Texts without
     words (null, empty) are one class; a text of fewer than five words is one shingle. A doc_id names a document: rows that
     share it share its class. A row without a doc_id gets the class of the texts with the same words, null if there is none
-    with an id. A table without rows gives none; columns other than doc_id and text are not read.
+    with an id. A table without rows gives none; columns other than doc_id and text are not read. A very long text is one
+    row with a profile in proportion.
 
     Texts with the same words are one node. In buckets of up to ALL nodes, all are compared. In a larger one all are compared
-    with the node that has most neighbours, which connects a group of copies at the cost of one comparison a member; buckets
-    that are not connected by then are compared whole, in blocks. So no pair that shares a bucket is left out.
+    with the node that meets most others, which connects a group of copies at the cost of one comparison a member. Nodes of
+    buckets that are not connected by then meet again by their rarest shingles, of which texts of that similarity share one;
+    what is large and not connected even so is compared whole, in blocks. So no pair that shares a bucket is left out.
     """
     spark = docs.sparkSession
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     rarity = spark.sparkContext.broadcast(log_rarity(*frequencies(rows)))
     sig = cut(signed(rows, rarity, seed))
-    same = sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("exact_id"))
-    member = sig.join(same, ["d1", "d2"])
-    nodes = member.where("doc_id = exact_id and n > 0").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
-    order = F.xxhash64("node", F.lit(seed))
-    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    active = cut(nodes.join(sizes, "key"))
-    # the text that copies were made from shares more bands with them than they do with each other: it leads
-    reach = active.groupBy("node").agg(F.sum("size").alias("reach"))
-    lead = active.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", order.alias("h"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
-    active = cut(active.join(lead, "key"))
+    copies = cut(sig.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    member = lookup(sig, copies.withColumn("copied", F.lit(True)), ["d1", "d2"], "left", salt="doc_id")
+    member = member.select("doc_id", F.when(F.col("copied"), F.col("least")).otherwise(F.col("doc_id")).alias("exact_id"), "n", "keys", F.coalesce("copied", F.lit(False)).alias("copied"))
+    own = member.where("doc_id = exact_id and n > 0").select(F.col("doc_id").alias("node"), "keys", "copied")
+    # a text with copies may have several rows of the id that stands for it
+    nodes = own.where("not copied").select("node", "keys").unionByName(own.where("copied").groupBy("node").agg(F.first("keys").alias("keys"))).select("node", F.explode("keys").alias("key"))
+    sizes = cut(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    active = cut(lookup(nodes, sizes, ["key"], salt="node"))
     path = scratch(spark, "near")
-    profiles(in_slots(rows.where("doc_id is not null"), "doc_id", cut(hash_slots(active, "node"))), rarity).write.parquet(path)
+    profiles(lookup(rows.where("doc_id is not null"), cut(active.select(F.col("node").alias("doc_id")).distinct()), ["doc_id"], "left_semi"), rarity).write.parquet(path)
     said = spark.read.schema(PROFILE).parquet(path)
-    leads = active.where((F.col("node") == F.col("lead")) | (F.col("size") <= ALL)).select("key", F.col("node").alias("leader"))
-    tried = leads.join(active, "key").where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    edges = cut(verified(tried, said, similar))
-    labels = bounded(components(edges))
-    named = active.where(F.col("size") > ALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    still = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    rest = cut(block_links(named.join(still, "key", "left_semi"), said, similar))
+    active = cut(led(active, seed))
+    edges = cut(verified(candidates(active), said, similar))
+    labels = components(edges)
+    rest = cut(unsettled(active, labels).select("node").distinct())
     if not rest.isEmpty():
-        labels = bounded(components(edges.unionByName(rest)))
-    out = member.select("doc_id", "exact_id").join(labels.withColumnRenamed("node", "exact_id"), "exact_id", "left")
+        # (rows of one doc_id with different texts are compared by any of them)
+        again = prefixes(lookup(said, rest.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi"), similar).distinct()
+        met = cut(again.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        again = cut(led(cut(lookup(cut(again), met, ["key"], salt="node")), seed))
+        edges = cut(edges.unionByName(verified(candidates(again), said, similar)).distinct())
+        labels = components(edges)
+        last = cut(block_links(unsettled(again, labels), said, similar))
+        if not last.isEmpty():
+            labels = components(edges.unionByName(last))
+    out = lookup(member.select("doc_id", "exact_id"), labels.withColumnRenamed("node", "exact_id"), ["exact_id"], "left", salt="doc_id")
     return out.select("doc_id", F.coalesce("label", "exact_id").alias("class_id"), "exact_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay, one document of each class (the one that gives the class its id). found: the result of near_copies.
 
-    Only ids are looked up; rows without an id stay.
+    Only ids are looked up; rows without an id stay; of several rows of the id that stays, the first by place stays.
     """
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    found = cut(found)
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
+    again = cut(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id"))
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    if again.isEmpty():
+        return docs.join(bounded(cut(gone)), same, "left_anti")
+    docs = located(docs)
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    places = docs.select("doc_id", place.alias("__place")).join(bounded(again), same)
+    first = places.groupBy("__id").agg(F.min("__place").alias("__first"))
+    extra = cut(places.join(bounded(cut(first)), "__id").where("__place != __first").select(F.col("__place.__f").alias("__f"), F.col("__place.__r").alias("__r")))
+    here = (F.xxhash64("_metadata.file_path") == F.col("__f")) & (F.col("_metadata.row_index") == F.col("__r"))
+    return docs.join(bounded(extra), here, "left_anti").join(bounded(cut(gone)), same, "left_anti")

@@ -146,10 +146,14 @@ def brute_classes(rows, rarity):
     return {i: find(i) for i in parent}
 
 
-@pytest.mark.parametrize(("listed", "block"), [(16, 512), (1, 4)])
-def test_near_copies(spark, docs, rows, monkeypatch, listed, block):
+@pytest.mark.parametrize(("listed", "block", "broadcast", "one_task"), [(16, 512, 1 << 20, 1 << 18), (1, 4, 1 << 20, 1 << 18), (1, 4, 0, 0)])
+def test_near_copies(spark, docs, rows, monkeypatch, listed, block, broadcast, one_task):
+    """Also with the forms for large tables: buckets by leaders, prefixes and blocks, shuffled joins, components in rounds."""
     monkeypatch.setattr(nearcopies, "ALL", listed)
     monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "FAN", 3 if listed == 1 else 256)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(nearcopies, "ONE_TASK", one_task)
     more = [(100 + k, " ".join(f"v{(j * 7 + (j == k) * 1000)}" for j in range(150)), "en", "a") for k in range(30)]
     every = rows + more
     d = spark.createDataFrame([(i, t, lang, s, 0, *["clash"] * 10) for i, t, lang, s in every], SCHEMA).repartition(3)
@@ -160,7 +164,8 @@ def test_near_copies(spark, docs, rows, monkeypatch, listed, block):
     assert {r["doc_id"]: r["class_id"] for r in out if r["doc_id"] is not None} == want
     assert len({want[100 + k] for k in range(30)}) == 1 and want[11] == want[12] and want[15] != want[11]
     kept = nearcopies.keep_one(d, nearcopies.near_copies(d))
-    assert {r["doc_id"] for r in kept.collect()} == {*want.values(), None} and kept.columns == d.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) == {*want.values(), None} and len(ids) == len(set(ids)) and kept.columns == d.columns
 
 
 def test_similar_pairs_by_brute_force():
@@ -193,7 +198,45 @@ def test_weighted_samples_estimate_weighted_similarity():
 
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(50, 51), (51, 60)], "a long, b long")
-    assert {(r["node"], r["label"]) for r in nearcopies.components(edges).collect()} == {(k, 1) for k in range(1, 21)} | {(50, 50), (51, 50), (60, 50)}
+    want = {(k, 1) for k in range(1, 21)} | {(50, 50), (51, 50), (60, 50)}
+    for one_task in (None, 0):
+        assert {(r["node"], r["label"]) for r in nearcopies.components(edges, one_task).collect()} == want
+    star = spark.createDataFrame([(7, 100 + k) for k in range(50)] + [(3, 120), (200, 201)], "a long, b long")
+    for one_task in (None, 0):
+        got = {r["node"]: r["label"] for r in nearcopies.components(star, one_task).collect()}
+        assert got == {**{100 + k: 3 for k in range(50)}, 7: 3, 3: 3, 200: 200, 201: 200}
+
+
+def test_similar_texts_share_a_prefix_shingle(spark):
+    rng = np.random.default_rng(3)
+    common_part = rng.integers(0, 1 << 40, 100).tolist()
+    said = []
+    for k in range(60):
+        own = rng.integers(0, 1 << 40, 5 + 5 * (k % 7)).tolist()
+        sh = sorted({*common_part, *(said[-1][1][-20:] if k % 3 else []), *own})
+        said.append((k, sh, [1] * len(sh), [float(1 + x % 2) for x in sh]))
+    found = nearcopies.prefixes(spark.createDataFrame(said, nearcopies.PROFILE).repartition(3), 0.8)
+    keys = collections.defaultdict(set)
+    for r in found.collect():
+        keys[r["node"]].add(r["key"])
+    w = [dict(zip(s, x, strict=True)) for _, s, _, x in said]
+    near = 0
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = sum(w[i][x] for x in w[i].keys() & w[j].keys())
+            if both / (sum(w[i].values()) + sum(w[j].values()) - both) >= 0.8:
+                near += 1
+                assert keys[i] & keys[j]
+    assert near and sum(map(len, keys.values())) < 0.5 * sum(map(len, w))
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_lookup(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    left = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(90)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v long")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(tuple, common.lookup(left, right, ["k"], how, "i").collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
 
 
 # -- 3 licences
