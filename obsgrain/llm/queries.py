@@ -40,7 +40,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.quotation_links(table(spark, sf_dir, "conversations"))
+    return quotes.placed(quotes.quotation_links(table(spark, sf_dir, "conversations")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

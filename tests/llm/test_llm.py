@@ -444,6 +444,114 @@ def test_quotes_of_parts(spark):
     assert got[1, 2]["text"] == "yes" and got[1, 2]["anchor"] == 1
 
 
+def brute_lines(text):
+    out = []
+    for line in (text or "").split("\n"):
+        mark = re.match(r"(?:> ?)*", line)[0]
+        words = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", line[len(mark) :].lower()) if x)
+        if words:
+            out.append((mark.count(">"), words))
+    return out
+
+
+def brute_runs(lines):
+    out = []
+    for level, words in lines:
+        if out and out[-1][0] == level:
+            out[-1][1].append(words)
+        else:
+            out.append((level, [words]))
+    return [(level, tuple(ws)) for level, ws in out]
+
+
+def brute_replies(talk):
+    """(reply_to, n_quotes, n_linked) of every message of one conversation of (turn, text)."""
+    by_words, stretches, line_first = {}, {}, {}
+    for turn, text in sorted(talk):
+        lines = brute_lines(text)
+        own = [w for lv, w in lines if lv == 0]
+        paragraphs = [[w for lv, w in brute_lines(p) if lv == 0] for p in re.split(r"\n[\x20\x09-\x0D]*\n", text or "")]
+        for ws in [*([*w] for lv, w in brute_runs(lines) if lv == 0), *paragraphs, *([w] for w in own)]:
+            by_words.setdefault(" ".join(ws), turn)
+        for i in range(len(own)):
+            line_first.setdefault(own[i], turn)
+            for j in range(i + 1, len(own) + 1):
+                stretches.setdefault(tuple(own[i:j]), turn)
+    out = {}
+    for turn, text in talk:
+        runs = {(lv, w) for lv, w in brute_runs(brute_lines(text)) if lv}
+        links = []
+        for lv, w in runs:
+            found = [t for t in (by_words.get(" ".join(w)), stretches.get(w)) if t is not None]
+            if found and min(found) < turn:
+                links.append((lv, -min(found), lv, " ".join(w)))
+            elif len(w) > 1:
+                votes = collections.Counter(by_words[x] for x in w if by_words.get(x, turn) < turn)
+                best = max(((n, -t) for t, n in votes.items()), default=None)
+                if best and 2 * best[0] >= len(w):
+                    links.append((lv, best[1], lv, " ".join(w)))
+        out[turn] = (-min(links)[1] if links else None, len({(lv, " ".join(w)) for lv, w in runs}), len({x[2:] for x in links}))
+    return out
+
+
+def test_quotes_by_brute_force(spark):
+    rng, talk = np.random.default_rng(4), []
+    for c in range(12):
+        said = []
+        for t in range(14):
+            lines = [f"l{rng.integers(0, 40)} x" for _ in range(rng.integers(1, 12))]
+            if said and rng.random() < 0.8:
+                own = [x for x in said[rng.integers(0, len(said))].split("\n") if not x.startswith(">")]
+                a = rng.integers(0, len(own))
+                part = own[a : a + rng.integers(1, 9)]
+                if rng.random() < 0.3:
+                    part[rng.integers(0, len(part))] = "altered"
+                if rng.random() < 0.2:
+                    part = [" ".join(part)]
+                lines = [("> " if rng.random() < 0.8 else ">> ") + x.upper() for x in part] + lines
+            if rng.random() < 0.3:
+                lines.insert(int(rng.integers(0, len(lines))), "")
+            said.append("\n".join(lines))
+        talk += [(c, t * 3 - 6, "user", x) for t, x in enumerate(said)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.quotation_links(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    linked = 0
+    for c in range(12):
+        for turn, want in brute_replies([(t, x) for i, t, _, x in talk if i == c]).items():
+            assert (got[c, turn]["reply_to"], got[c, turn]["n_quotes"], got[c, turn]["n_linked"]) == want, (c, turn)
+            linked += want[2]
+    assert linked > 60
+
+
+@pytest.mark.parametrize("unit", ["a\n", "> a\n", ">", "> ", "\n", "word ", "> a\nb\n", " \n", ">>\n", "x\n\n"])
+def test_quotes_take_time_in_proportion(spark, unit):
+    """A message of 1 MB of anything, and a later one that quotes it."""
+    text = unit * (1_000_000 // len(unit))
+    d = spark.createDataFrame([(1, 0, "user", "start\n" + text), (1, 1, "user", "> start\nmine\n" + text)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    out = {r["turn"]: r for r in quotes.quotation_links(d).collect()}
+    assert out[1]["reply_to"] == 0 and time.time() - began < 60
+
+
+def test_conversations(spark):
+    rng = np.random.default_rng(2)
+    talk = [(c, t, "user", f"own {c} {t}" + (f"\n> own {c} {rng.integers(0, t)}" if t and rng.random() < 0.6 else "")) for c in (1, 2) for t in range(80)]
+    talk += [(1, -5, "user", "first"), (1, 10**15, "user", "last\n> first"), (None, 1, "user", "x"), (3, None, None, None), (2, 7, "user", next(x[3] for x in talk if x[:2] == (2, 7)))]
+    d = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(5)
+    rows = quotes.placed(quotes.quotation_links(d)).collect()
+    for c in (1, 2, 3, None):
+        own = sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(len(own))) and [r["reply_key"] for r in own] == sorted(r["reply_key"] for r in own)
+        place = {r["turn"]: r["position"] for r in reversed(own)}
+        assert all(place[r["reply_to"]] < r["position"] for r in own if r["reply_to"] is not None)
+        assert not any(">" in r["text"] for r in own)
+    assert [r["turn"] for r in sorted((r for r in rows if r["conv_id"] == 1), key=lambda r: r["position"])][:2] == [-5, 10**15]
+    parts = quotes.conversations(d, 32).collect()
+    for c, n in ((1, 82), (2, 81), (3, 1), (None, 1)):
+        own = sorted((r for r in parts if r["conv_id"] == c), key=lambda r: r["part"])
+        assert [r["part"] for r in own] == list(range(-(-n // 32))) and [m["position"] for r in own for m in r["messages"]] == list(range(n)) and max(len(r["messages"]) for r in own) <= 32
+    assert quotes.conversations(d.limit(0)).count() == 0
+
+
 # -- 8 mixing
 
 
