@@ -245,7 +245,7 @@ hits AS (SELECT conv_id, turn, count(*) AS n_linked FROM (SELECT DISTINCT conv_i
 plain AS (SELECT conv_id, turn, string_agg(raw, chr(10) ORDER BY line) FILTER (level = 0) AS text FROM l GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reply_key, role NULLS FIRST, text) - 1 AS position FROM (
 SELECT c.conv_id, c.turn, c.role, trim(coalesce(plain.text, ''), ' ') AS text, parent.reply_to, coalesce(ends.anchor, c.turn) AS anchor,
-       lpad(to_hex(xor(coalesce(ends.anchor, c.turn)::BIGINT, -9223372036854775808::BIGINT)), 16, '0') || '.' || lpad(to_hex(xor(c.turn::BIGINT, -9223372036854775808::BIGINT)), 16, '0') AS reply_key,
+       lpad(to_hex(xor(coalesce(ends.anchor, c.turn)::BIGINT, (-9223372036854775807 - 1)::BIGINT)), 16, '0') || '.' || lpad(to_hex(xor(c.turn::BIGINT, (-9223372036854775807 - 1)::BIGINT)), 16, '0') AS reply_key,
        coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(depth, 0)::BIGINT AS depth
 FROM conversations c LEFT JOIN parent USING (conv_id, turn) LEFT JOIN ends USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn)
 LEFT JOIN hits USING (conv_id, turn) LEFT JOIN plain USING (conv_id, turn))
