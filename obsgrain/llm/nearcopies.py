@@ -247,6 +247,16 @@ def candidates(buckets: DataFrame) -> DataFrame:
     return small.unionByName(large).groupBy("a", "b").agg(F.min("salt").alias("salt"))
 
 
+def different(nodes: DataFrame) -> DataFrame:
+    """Buckets (key, node, size) of (key, node) rows with two nodes at least; of buckets with the same nodes only one.
+
+    Copies of a text meet in many buckets. Sets of nodes are told apart by their size, least, largest and a 64-bit hash.
+    """
+    sets = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
+    kept = cut(sets.groupBy("size", "x", "low", "high").agg(F.min("key").alias("key")).select("key", "size"))
+    return lookup(nodes, kept, ["key"], salt="node")
+
+
 def led(buckets: DataFrame, seed: int = 0) -> DataFrame:
     """Buckets (key, node, size) with each one's leader: the node that meets most others, which copies were often made from."""
     reach = buckets.groupBy("node").agg(F.sum("size").alias("reach"))
@@ -435,8 +445,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     own = member.where("doc_id = exact_id and n > 0").select(F.col("doc_id").alias("node"), "keys", "copied")
     # a text with copies may have several rows of the id that stands for it
     nodes = own.where("not copied").select("node", "keys").unionByName(own.where("copied").groupBy("node").agg(F.first("keys").alias("keys"))).select("node", F.explode("keys").alias("key"))
-    sizes = cut(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    active = cut(lookup(nodes, sizes, ["key"], salt="node"))
+    active = cut(different(nodes))
     path = scratch(spark, "near")
     profiles(lookup(rows.where("doc_id is not null"), cut(active.select(F.col("node").alias("doc_id")).distinct()), ["doc_id"], "left_semi"), rarity).write.parquet(path)
     said = spark.read.schema(PROFILE).parquet(path)
@@ -446,9 +455,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     rest = cut(unsettled(active, labels).select("node").distinct())
     if not rest.isEmpty():
         # (rows of one doc_id with different texts are compared by any of them)
-        again = prefixes(lookup(said, rest.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi"), similar).distinct()
-        met = cut(again.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        again = cut(led(cut(lookup(cut(again), met, ["key"], salt="node")), seed))
+        again = cut(prefixes(lookup(said, rest.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi"), similar).distinct())
+        again = cut(led(cut(different(again)), seed))
         edges = cut(edges.unionByName(verified(candidates(again), said, similar)).distinct())
         labels = components(edges)
         last = cut(block_links(unsettled(again, labels), said, similar))
