@@ -18,8 +18,9 @@ from obsgrain.llm.tokens import ALNUM, words
 #: Hash buckets of words (as many again are for their first PREFIX bytes), size of an embedding, filter widths and filters of each width.
 PREFIX = 4
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
-#: Bound of the training sample: labelled documents of each class.
-TRAIN_DOCS = 2000
+#: Bounds of the training sample: labelled documents of each class, and words of one (of a longer text, windows of
+#: TRAIN_WINDOW words spread evenly over the whole of it). At 8 bytes a word no more than 66 MB reach the driver.
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_WINDOW = 2000, 2048, 128
 CUT = 0.7
 
 
@@ -92,8 +93,26 @@ def scores(model: Model, tok: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _sigmoid(a * logits(model, tok, first) + b)
 
 
-def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int = 8, batch: int = 32, rate: float = 0.05) -> Model:
-    """Learns from (text, label, language); the language serves the thresholds alone, never a score.
+def windowed(tok: np.ndarray, first: np.ndarray, most: int = TRAIN_WORDS, window: int = TRAIN_WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Words and offsets with at most `most` words of each text: those of a longer one in windows spread evenly over it."""
+    picks = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a <= most:
+            picks.append(np.arange(a, b))
+        else:
+            starts = np.linspace(a, b - window, most // window).astype(np.int64)
+            picks.append((starts[:, None] + np.arange(window)).ravel())
+    return tok[:, np.concatenate([np.empty(0, np.int64), *picks])], np.concatenate([[0], np.cumsum([len(p) for p in picks])]).astype(np.int64)
+
+
+def fit_texts(sample: list[tuple[str, int, str | None]], seed: int = 0) -> Model:
+    """fit() on (text, label, language)."""
+    parts = [windowed(*tokens(pa.array([t], pa.string())))[0] for t, _, _ in sample]
+    return fit([(tok, y, lang) for tok, (_, y, lang) in zip(parts, sample, strict=True)], seed)
+
+
+def fit(sample: list[tuple[np.ndarray, int, str | None]], seed: int = 0, epochs: int = 8, batch: int = 32, rate: float = 0.05) -> Model:
+    """Learns from (word buckets, label, language); the language serves the thresholds alone, never a score.
 
     An embedding's first number starts as the log odds of its word or prefix among toxic documents, the rest at random. A fifth of
     the sample is kept to scale the output by logistic regression and to find each language's threshold.
@@ -104,10 +123,8 @@ def fit(sample: list[tuple[str, int, str | None]], seed: int = 0, epochs: int =
     if not len(sample) or label.min() == label.max():
         model.dense[:], model.out = 0, float(-8.0 if not len(sample) or label.max() == 0 else 8.0)
         return model
-    # in small parts: hashing needs many times the room of a text
-    parts = [tokens(pa.array([t for t, _, _ in sample[k : k + 64]], pa.string())) for k in range(0, len(sample), 64)]
-    tok = np.concatenate([t for t, _ in parts], 1)
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+    tok = np.concatenate([t for t, _, _ in sample], 1).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([t.shape[1] for t, _, _ in sample])])
     order = rng.permutation(len(sample))
     kept, learn = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(label[kept])) < 2 or len(set(label[learn])) < 2:
@@ -194,18 +211,36 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, seed: int = 0) -> Model:
     """Fits on at most per_class toxic and per_class other labelled documents, chosen by a hash of doc_id; held-out rows are left out.
 
-    Labels other than 0 and 1 are ignored; of several labels of one document the largest counts.
+    Labels other than 0 and 1 are ignored; of several labels of one document the largest counts, of several texts of one
+    doc_id the least. Words are hashed where the texts lie; what reaches the driver is bounded by per_class and TRAIN_WORDS.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("__y"))
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("__y") == 1, min(1.0, (1.2 * per_class + 50) / max(1, counts.get(1, 0)))).otherwise(min(1.0, (1.2 * per_class + 50) / max(1, counts.get(0, 0))))
-    # a hash decides first: at most about 1.2 times the bound of ids is then joined
-    chosen = known.where(spot < rate)
-    ids = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(int(3 * per_class + 200))
-    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), "lang").join(F.broadcast(ids), "doc_id")
-    sample = sorted((r["doc_id"], r["text"], int(r["__y"]), r["lang"]) for r in rows.limit(int(6 * per_class + 400)).toLocalIterator())
-    return fit([x[1:] for x in sample], seed)
+    order = F.xxhash64("doc_id", F.lit(seed))
+    # a hash decides before anything is sorted: about 1.2 times the bound of ids is, whatever the input
+    spot = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    ids = None
+    for y in (0, 1):
+        some = known.where((F.col("__y") == y) & (spot < min(1.0, (1.2 * per_class + 50) / max(1, counts.get(y, 0)))))
+        some = some.orderBy(order, "doc_id").limit(per_class)
+        ids = some if ids is None else ids.unionByName(some)
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("p"), F.max("__y").cast("int").alias("y")).select("doc_id", "y", "p.lang", "p.text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 19):
+                tok, first = windowed(*tokens(part.column("text")))
+                offs = pa.array(first, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("lang"), *(pa.ListArray.from_arrays(offs, pa.array(t.astype(np.int32))) for t in tok)], ["doc_id", "y", "lang", "own", "head"])
+
+    sample = rows.mapInArrow(run, "doc_id long, y int, lang string, own array<int>, head array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    sides = [sample[c].combine_chunks() for c in ("own", "head")]
+    if not sample.num_rows:
+        return fit([], seed)
+    flat = np.stack([x.flatten().to_numpy() for x in sides])
+    cuts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in sides[0]]))])
+    return fit([(flat[:, a:b], y, lang) for a, b, y, lang in zip(cuts[:-1], cuts[1:], sample["y"].to_pylist(), sample["lang"].to_pylist(), strict=True)], seed)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -213,8 +248,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     Columns: doc_id, held_out, score, predicted (score >= 0.7), lang_cut (the threshold of the row's language), flagged
     (score >= lang_cut). The language picks lang_cut only; the score is a function of the text. A null or empty text is
-    scored like any other, as one without words. A null doc_id is not held out; repeated rows give repeated rows; other
-    columns are not read.
+    scored like any other, as one without words; a very long text is scored whole, its words held in memory at once. A null
+    doc_id is not held out; repeated rows give repeated rows; a table without rows gives none; other columns are not read.
     """
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
