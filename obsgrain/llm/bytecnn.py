@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsgrain.llm.common import buffers, slices, texts
@@ -17,8 +17,9 @@ from obsgrain.llm.common import buffers, slices, texts
 #: Bytes of a window; windows follow each other and cover the whole text, the last one is filled with zero bytes.
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
-#: Bound of the training sample: documents for each language, and windows taken from each.
-TRAIN_DOCS, TRAIN_WINDOWS = 600, 6
+#: Bounds of the training sample: documents for each language, windows taken from each, and documents in all. Every language
+#: is learned; where there are more than 200 each has fewer documents. No more than 93 MB reach the driver.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_ALL = 600, 6, 120_000
 UNKNOWN = "und"
 
 
@@ -139,26 +140,28 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, seed: int = 0, most_langs: int = 200) -> Model:
-    """Fits on at most per_lang documents of each of the most frequent languages (at most most_langs), chosen by a hash of the text.
+def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, seed: int = 0, in_all: int = TRAIN_ALL) -> Model:
+    """Fits on at most per_lang different texts of each language (in_all shared evenly, if that is less), chosen by a hash of the text.
 
-    Rows without a language, without text, or held out are not learned from. What reaches the driver is bounded by both
-    parameters and TRAIN_WINDOWS windows a text, evenly spaced over the whole of it; ties break by text.
+    Rows without a language, without text, or held out are not learned from. What reaches the driver is TRAIN_WINDOWS windows
+    a text, evenly spaced over the whole of it; ties break by text.
     """
     rows = texts(docs.where("lang is not null"), "lang", "doc_id").where((F.length("text") > 0) & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    least = {r["lang"]: min(1.0, 1.5 * per_lang / r["count"] + 20 / r["count"]) for r in counts}
-    if not least:
+    rows = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()  # one row a language
+    if not counts:
         return fit([])
-    keep = F.element_at(F.create_map(*[F.lit(v) for kv in least.items() for v in kv]), F.col("lang"))
-    # a hash decides before anything is sorted: what reaches the limit is bounded, whatever the input
-    spot = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    per_lang = max(1, min(per_lang, in_all // len(counts)))
+    # a hash decides before anything is sorted: what is sorted is bounded, whatever the input; copies count once
+    least = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * per_lang + 20) / max(1, r["n"]))) for r in counts], "lang string, keep double")
+    spot = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     # the training windows are spread over the whole text, so only they travel
     step = F.greatest(F.lit(1), F.floor(F.length("text") / TRAIN_WINDOWS))
     spread = F.concat(*[F.expr(f"substring(text, cast({k} * greatest(1, floor(length(text) / {TRAIN_WINDOWS})) + 1 as int), {WINDOW})") for k in range(TRAIN_WINDOWS)])
-    chosen = rows.withColumn("spot", spot).where(F.col("spot") < keep).select("lang", "spot", F.when(step * TRAIN_WINDOWS < WINDOW * TRAIN_WINDOWS, F.substring("text", 1, WINDOW * TRAIN_WINDOWS)).otherwise(spread).alias("text"))
-    sample = [(r["text"], r["lang"]) for r in chosen.orderBy("spot", "lang", "text").limit(2 * (per_lang + 20) * len(least)).collect()]
-    return fit(sample, seed)
+    near = F.when(step * TRAIN_WINDOWS < WINDOW * TRAIN_WINDOWS, F.substring("text", 1, WINDOW * TRAIN_WINDOWS)).otherwise(spread)
+    chosen = rows.join(F.broadcast(least), "lang").where(spot < F.col("keep")).select("lang", spot.alias("spot"), near.alias("text")).distinct()
+    ranked = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))).where(F.col("k") <= per_lang)
+    return fit([(t, lang) for _, lang, t in sorted((r["spot"], r["lang"], r["text"]) for r in ranked.collect())], seed)
 
 
 def predict(scorer: Scorer, data: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -171,7 +174,12 @@ def predict(scorer: Scorer, data: np.ndarray, offs: np.ndarray, letters: np.ndar
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all columns, whose text is in a learned language; `und` ones go. Rows are decided where they lie, ids play no part."""
+    """The rows of docs, with all columns, but for those that language_id calls `und`: null and empty texts and those without letters.
+
+    The network gives any text with letters the likeliest of the learned languages, so none of these goes, short and odd ones
+    included; if nothing could be learned, they stay too. Rows are decided where they lie: ids, repeated rows and other
+    columns play no part, a table without rows gives none.
+    """
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +192,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(whole, 1 << 20):
                 letters = pc.match_substring_regex(part.column(0), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 said, _ = predict(scorer, *buffers(part.column(0)), letters)
-                keep += [x != UNKNOWN for x in said]
+                keep += [x != UNKNOWN for x in said] if scorer.model.langs else letters.tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -194,8 +202,8 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every whole text; one row per row of docs, no shuffle.
 
     Columns: doc_id, held_out, lang_pred, score, n_windows. A text that is null, empty or without letters is `und` with
-    score 0, as is every text if nothing could be learned. A null doc_id stays null; repeated rows give repeated rows;
-    columns other than doc_id and text are not read.
+    score 0, as is every text if nothing could be learned. A null doc_id stays null; repeated rows give repeated rows; a
+    table without rows gives none; columns other than doc_id and text are not read. A very long text is read whole.
     """
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
