@@ -243,6 +243,7 @@ def test_lookup(spark, monkeypatch, most):
 
 
 def brute_licence(text):
+    text = text.lower()
     cuts = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")}
     best, n, names = (0.0, 0, None), 0, set()
     for p in cuts:
@@ -260,8 +261,8 @@ def brute_licence(text):
 
 
 def test_licences(spark, docs, rows):
-    mit = licences.TEMPLATES[21][1]
-    more = [(200, f"Some words.\nReleased under the MIT License.\nMore words."), (201, f"Title\n\n{mit}"), (202, mit.replace("free of charge", "gratis")), (203, "LICENSED under CC BY-NC 4.0"), (204, "released under the sun"), (205, prose(1, 500) + "\nThis work is licensed under the GNU General Public License, version 3.")]
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 300)
+    more = [(200, f"Some words.\nReleased under the MIT License.\nMore words."), (201, f"Title\n\n{mit}"), (202, mit.replace("free of charge", "gratis")), (203, "LICENSED under CC BY-NC 4.0"), (204, "released under the sun"), (206, "A.\nAll rights reserved."), (205, prose(1, 500) + "\nThis work is licensed under the GNU General Public License, version 3.")]
     d = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     got = {r["doc_id"]: r for r in licences.scan(d).collect()}
     for i, t in [(r[0], r[1]) for r in rows] + more:
@@ -271,7 +272,7 @@ def test_licences(spark, docs, rows):
 
 def test_licences_in_any_layout(spark):
     """Blank lines between a licence's paragraphs, other line breaks and a place inside a line, in longer documents."""
-    mit, gpl, apache = licences.TEMPLATES[21][1], licences.TEMPLATES[24][1], licences.TEMPLATES[23][1]
+    mit, gpl, apache = (next(t for n, t in licences.TEMPLATES if n == name and len(t) > 300) for name in ("MIT", "GPL-3.0", "Apache-2.0"))
     code, w = "\n\n".join(f"def f{k}(x{k}):\n    return x{k} + {k}" for k in range(300)), mit.split()
     cases = [
         (0, "\n\n".join(mit.split("\n")) + "\n\n" + code, "MIT", 1.0), (1, code + "\n\n" + "\n\n".join(gpl.split("\n")) + "\n\n" + code, "GPL-3.0", 1.0), (2, code + "\n" + "\n".join("# " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)) + "\n" + code, "MIT", None),
@@ -290,10 +291,41 @@ def test_licences_in_any_layout(spark):
         passage = brute_licence(text)
         want = passage[1] if passage[0] else best if best >= licences.LEAST else 0.0
         assert got[i]["dice"] == pytest.approx(want, abs=1e-6) and dice in (None, got[i]["dice"]), i
+    texts = {name: text for name, text in licences.TEMPLATES if len(text) > 300}
+    files = []
+    for name, text in texts.items():
+        w = text.split()
+        for mark, width in (("# ", 11), (" * ", 14), ("", 10_000), ("// ", 7)):
+            files.append((len(files), "#!/usr/bin/env python\n" + "\n".join(mark + " ".join(w[k : k + width]) for k in range(0, len(w), width)) + "\n\nimport os\n" + code, name))
+    got = by_id(licences.scan(spark.createDataFrame([f[:2] for f in files], "doc_id long, text string").repartition(4)))
+    assert len(texts) >= 13 and all(got[i]["licence"] == name and got[i]["dice"] > 0.97 for i, _, name in files)
     one = licences.scan(spark.createDataFrame([(0, "some words and then unlicense here"), (1, "none of it")], "doc_id long, text string"), [("Unlicense", "Unlicense")])
     assert [r["licence"] for r in one.orderBy("doc_id").collect()] == ["Unlicense", None]
 
 
+def test_licence_templates_from_a_table(spark):
+    table = spark.createDataFrame([("House", "Copying of this house text is allowed to all who ask the keeper first."), ("None", None), (None, "x")], "name string, text string")
+    own = licences.read_templates(table)
+    assert [n for n, _ in own] == ["House"]
+    out = licences.scan(spark.createDataFrame([(1, "intro\ncopying of this HOUSE text is allowed to all who ask the keeper first"), (2, "none")], "doc_id long, text string"), own)
+    assert [r["licence"] for r in out.orderBy("doc_id").collect()] == ["House", None]
+    with pytest.raises(ValueError):
+        licences.read_templates(table, 0)
+
+
+def test_licence_anchors_lose_no_match():
+    """Whatever Dice accepts has an anchor word: a template with any bigrams left out down to the bound still matches the pattern."""
+    rng, pattern = np.random.default_rng(0), re.compile(licences.anchor_pattern(tuple(licences.TEMPLATES), licences.LEAST))
+    for _, text in licences.TEMPLATES:
+        w = licences.normal_words(text)
+        for _ in range(30):
+            a, b = sorted(rng.integers(0, len(w) + 1, 2))
+            for part in (w[a:b], w[:a] + w[b:]):
+                g, t = set(zip(part, part[1:], strict=False)), set(zip(w, w[1:], strict=False))
+                if g and 2 * len(g & t) / (len(g) + len(t)) >= licences.LEAST:
+                    assert pattern.search(" ".join(part))
+
+
 # -- 4 toxicity
 
 
@@ -331,6 +363,66 @@ def test_toxicity_is_learned_and_held_out(labelled, docs):
     assert np.allclose(hidden.embed, model.embed)
 
 
+def naive_score(model, text):
+    """The score of one text by loops: hashed embeddings, each filter at each place, the largest response, a dense layer."""
+    tok, _ = toxicity.tokens(pa.array([text]))
+    words, pooled = [model.embed[a] + model.embed[b] for a, b in tok.T], []
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            places = [sum(float(np.dot(words[p + i], model.filters[w][i][:, f])) for i in range(w) if p + i < len(words)) for p in range(len(words))]
+            pooled.append(max(places, default=0.0))
+    z = sum(max(x + b, 0.0) * d for x, b, d in zip(pooled, model.bias, model.dense, strict=True)) + model.out
+    return 1 / (1 + np.exp(-(model.scale[0] * z + model.scale[1])))
+
+
+def test_toxicity_by_brute_force(labelled, spark):
+    d, labels = labelled
+    model = toxicity.train(d, labels)
+    said = ["", "one", "two words", None, "vexo", "Zorgface!! the zorgface", prose(3, 40), prose(4, 300) + " blipscum", "\u4e2d\u6587 \u00fc", "a " * 50]
+    out = by_id(toxicity.toxicity(spark.createDataFrame([(k, t, "en") for k, t in enumerate(said)], "doc_id long, text string, lang string").repartition(2), model))
+    for k, t in enumerate(said):
+        assert out[k]["score"] == pytest.approx(naive_score(model, t or ""), abs=1e-4), t
+
+
+def test_toxicity_filters_learn_what_single_words_do_not_tell():
+    """Both words are in every text; only their order next to each other tells. Word odds alone cannot."""
+    rng, sample = np.random.default_rng(1), []
+    for k in range(1200):
+        words = list(rng.choice(PROSE, 30))
+        a, b = sorted(rng.choice(np.arange(0, 29, 2), 2, replace=False))
+        words[a : a + 2], words[b : b + 2] = (["grim", "lark"], ["lark", "hush"]) if k % 2 else (["lark", "grim"], ["hush", "lark"])
+        sample.append((" ".join(words), k % 2, "en"))
+    model = toxicity.fit_texts(sample[:1000])
+    tok, first = toxicity.tokens(pa.array([t for t, _, _ in sample[1000:]]))
+    truth = np.array([y for _, y, _ in sample[1000:]])
+    trained = np.mean((toxicity.scores(model, tok, first) >= 0.5) == truth)
+    odds = np.array([model.embed[np.unique(tok[0, a:b]), 0].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
+    alone = max(np.mean((odds >= c) == truth) for c in np.quantile(odds, np.linspace(0, 1, 21)))
+    assert trained > 0.9 and alone < 0.7
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A text of 300,000 words, labelled often and repeated, sends no more words than the bound."""
+    tok, first = toxicity.windowed(*toxicity.tokens(pa.array(["w " * 300_000, "", "a b c"])))
+    assert np.diff(first).tolist() == [toxicity.TRAIN_WORDS, 0, 3] and tok.shape[1] == first[-1]
+    d = spark.createDataFrame([(k % 40, ("vexo " if k % 40 % 2 else "fine ") * (30_000 if k == 1 else 5), "en") for k in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k % 40, k % 40 % 2) for k in range(400)] + [(None, 1), (5, None), (6, 7)], "doc_id long, toxic int")
+    model = toxicity.train(d.repartition(7), labels)
+    assert np.allclose(model.embed, toxicity.train(d.repartition(2), labels).embed)
+    assert model.embed.any() and len({bool(r["predicted"]) for r in toxicity.toxicity(d, model).collect()}) == 2
+
+
+def test_toxicity_thresholds_by_language():
+    p, y = np.array([0.1, 0.2, 0.3, 0.4] * 6), np.array([0, 0, 1, 1] * 6)
+    assert 0.2 < toxicity._threshold(p, y) <= 0.3 and toxicity._threshold(p[:8], y[:8]) == toxicity.CUT and toxicity._threshold(p, np.zeros(24)) == toxicity.CUT
+
+
+def test_toxicity_without_labels(docs, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs, toxicity.train(docs, none)).collect()
+    assert len(out) == docs.count() and not any(r["predicted"] for r in out)
+
+
 # -- 5 exact
 
 
@@ -412,6 +504,37 @@ def test_language(spark, docs, rows):
     assert kept.count() == sum(r["lang_pred"] != "und" for r in odd) and kept.columns == docs.columns
 
 
+def test_language_by_brute_force(spark):
+    """Probabilities of one text by loops: each filter at each place of each window, the largest response, a dense layer, softmax."""
+    rng = np.random.default_rng(1)
+    model = bytecnn.fit([("".join(rng.choice(list("abc "), 300)), "x") for _ in range(20)] + [("".join(rng.choice(list("def "), 300)), "y") for _ in range(20)])
+    scorer = bytecnn.Scorer(model)
+    for text in ("a", "abc fed", "d" * 127, "e" * 128, "ab" * 200, "\u00fc\u4e2d" * 40):
+        raw, total, weight = text.encode(), np.zeros(2), 0
+        for at in range(0, len(raw), bytecnn.WINDOW):
+            window = raw[at : at + bytecnn.WINDOW]
+            x, pooled = list(window) + [0] * (bytecnn.WINDOW - len(window)), []
+            for w in bytecnn.WIDTHS:
+                for f in range(bytecnn.FILTERS):
+                    pooled.append(max(sum(float(model.tables[w][i][x[p + i], f]) for i in range(w)) for p in range(bytecnn.WINDOW - w + 1)))
+            z = np.maximum(np.array(pooled) + model.bias, 0) @ model.dense + model.out
+            e = np.exp(z - z.max())
+            total += e / e.sum() * len(window)
+            weight += len(window)
+        got = scorer.texts(*common.buffers(pa.array([text])))
+        assert got[0] == pytest.approx(total / weight, abs=1e-4)
+
+
+def test_language_of_many_languages_and_copies(spark):
+    """More than 200 languages are all learned; thousands of copies of a text count once; without languages letters decide."""
+    rows = [(k, f"{chr(0x4E00 + k % 220) * 3} word{k} " * 3, f"l{k % 220:03d}") for k in range(1320)] + [(5000 + k, "same old text", "l000") for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = bytecnn.train(d, per_lang=600, in_all=880)
+    assert model.langs == sorted({lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2}) and len(model.langs) > 200
+    bare = bytecnn.train(d.withColumn("lang", F.lit(None).cast("string")))
+    assert bytecnn.keep_known(spark.createDataFrame([(1, "abc"), (2, "12"), (3, None)], "doc_id long, text string"), bare).count() == 1
+
+
 # -- 7 quotes
 
 
