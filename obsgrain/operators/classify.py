@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsgrain.functions.scalars import hash_order
+from obsgrain.operators.cuts import cut
 from obsgrain.operators.hurdle import presence_rate
 from obsgrain.operators.info import fano_bounds
+from obsgrain.operators.ranks import ranked
 from obsgrain.operators.resample import folds
+from obsgrain.operators.spectrum import feature_names
 
 
-def design(obs: DataFrame, hurdle: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Wide rows (obs_id, entity, one column a feature); a hurdle feature enters as ln of its positive values."""
+def design(obs: DataFrame, hurdle: str | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Wide rows (by, obs_id, entity, one column a feature); a hurdle feature enters as ln of its positive values."""
     x = F.when(F.col("feature") == hurdle, F.when(F.col("x") > 0, F.ln("x"))).otherwise(F.col("x")) if hurdle else F.col("x")
-    names = sorted(r["feature"] for r in obs.select("feature").distinct().limit(1000).collect())
-    return obs.groupBy("obs_id", "entity").pivot("feature", names).agg(F.first(x)), names
-
-
-def scaled(rows: DataFrame, names: list[str], train: str) -> DataFrame:
-    """Missing cells filled with the training mean (0 if nothing is known), then centred and divided by the population deviation, both of training rows."""
-    t = F.expr(train)
-    mean = rows.agg(*[F.coalesce(F.avg(F.when(t, F.col(f"`{c}`"))), F.lit(0.0)).alias(f"__m{k}") for k, c in enumerate(names)], F.count_if(t).alias("__n"), *[F.coalesce(F.sum(F.when(t, F.pow(F.col(f"`{c}`"), F.lit(2.0)))), F.lit(0.0)).alias(f"__q{k}") for k, c in enumerate(names)], *[F.count(F.when(t, F.col(f"`{c}`"))).alias(f"__c{k}") for k, c in enumerate(names)])
-    d = rows.crossJoin(F.broadcast(mean))
-    out = []
-    for k, c in enumerate(names):
-        m = F.col(f"__m{k}")
-        # filled cells lie at the mean and add nothing to the squared distance
-        var = F.greatest((F.col(f"__q{k}") - F.col(f"__c{k}") * m * m) / F.greatest("__n", F.lit(1)), F.lit(0.0))
-        sd = F.when(var > 1e-24, F.sqrt(var)).otherwise(1.0)
-        out.append(((F.coalesce(F.col(f"`{c}`"), m) - m) / sd).alias(c))
-    return d.select(*[c for c in rows.columns if c not in names], *out)
+    names = feature_names(obs)
+    return obs.groupBy(*by, "obs_id", "entity").pivot("feature", names).agg(F.first(x)), names
 
 
 def softmax_regression(x: np.ndarray, y: np.ndarray, s: int, c: float = 1.0, steps: int = 200) -> np.ndarray:
@@ -78,73 +69,121 @@ def discriminant(x: np.ndarray, y: np.ndarray, s: int) -> np.ndarray:
     return np.r_[coef, off[None]]
 
 
-def network(x: np.ndarray, y: np.ndarray, s: int, hidden: int = 128, alpha: float = 1e-3, epochs: int = 120, seed: int = 0):
-    """One hidden layer of rectified units, L2 penalty, Adam; returns a function to probabilities."""
+def hidden(params: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """What a network says of each row, before the softmax."""
+    return np.maximum(x @ params[0] + params[1], 0) @ params[2] + params[3]
+
+
+def network(x: np.ndarray, y: np.ndarray, s: int, units: int = 128, alpha: float = 1e-3, epochs: int = 120, seed: int = 0) -> list[np.ndarray]:
+    """One hidden layer of rectified units, L2 penalty, Adam; returns weights and offsets of both layers."""
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), (hidden, s)), np.zeros(s)]
+    params = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], units)), np.zeros((1, units)), rng.normal(0, np.sqrt(1 / units), (units, s)), np.zeros((1, s))]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
         for pick in np.array_split(rng.permutation(len(x)), max(1, len(x) // 200)):
             a = np.maximum(x[pick] @ params[0] + params[1], 0)
             d = (_softmax(a @ params[2] + params[3]) - np.eye(s)[y[pick]]) / len(pick)
             h = (d @ params[2].T) * (a > 0)
-            grads = [x[pick].T @ h + alpha * params[0] / len(x), h.sum(0), a.T @ d + alpha * params[2] / len(x), d.sum(0)]
+            grads = [x[pick].T @ h + alpha * params[0] / len(x), h.sum(0, keepdims=True), a.T @ d + alpha * params[2] / len(x), d.sum(0, keepdims=True)]
             t += 1
             for k, g in enumerate(grads):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 params[k] -= 1e-3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return lambda q: _softmax(np.maximum(q @ params[0] + params[1], 0) @ params[2] + params[3])
+    return params
 
 
-#: Training rows of one fold that are held in memory; larger folds must be sampled by the caller.
+#: Rows that one fold's models are fitted on at most; of more training rows so many are taken by a hash of obs_id. What they
+#: are scaled by, and the rows that are predicted, are all of them.
 MOST_TRAIN = 500_000
+#: Labels that a model tells apart at most: the models of all folds are sent to every task.
+MOST_LABELS = 100_000
+
+
+def training_scale(rows: DataFrame, columns: list[str], k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, held, n, mean, sd): of the rows outside each fold, arrays over the columns; a mean without values is 0, a deviation of 0 is 1.
+
+    Missing cells count as the mean, which adds nothing to the deviation (a population one).
+    """
+    held = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("held")).where("held != fold")
+    cells = [e for j, c in enumerate(columns) for e in (F.coalesce(F.avg(f"`{c}`"), F.lit(0.0)).alias(f"__m{j}"), (F.coalesce(F.var_pop(f"`{c}`"), F.lit(0.0)) * F.count(f"`{c}`") / F.count(F.lit(1))).alias(f"__v{j}"))]
+    g = held.groupBy(*by, "held").agg(F.count(F.lit(1)).alias("n"), *cells)
+    sd = [F.when(F.col(f"__v{j}") > 1e-24, F.sqrt(f"__v{j}")).otherwise(1.0) for j in range(len(columns))]
+    return g.select(*by, "held", "n", F.array(*[f"__m{j}" for j in range(len(columns))]).alias("mean"), F.array(*sd).alias("sd"))
+
+
+def _ready(pdf: pd.DataFrame, columns: list[str], mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    x = pdf[columns].to_numpy(float)
+    return (np.where(np.isfinite(x), x, mean) - mean) / sd
 
 
-def run_folds(obs: DataFrame, k: int = 5, kinds: tuple[str, ...] = ("logreg", "lda"), hurdle: str | None = None, presence: str = "none", seed: int = 0, shuffled: bool = False) -> DataFrame:
-    """Held-out predictions: kind, fold, obs_id, label, predicted, q_true. One task a fold; models are fitted there.
+def run_folds(obs: DataFrame, k: int = 5, kinds: tuple[str, ...] = ("logreg", "lda"), hurdle: str | None = None, presence: str = "none", seed: int = 0, shuffled: bool = False, by: tuple[str, ...] = (), most_train: int = MOST_TRAIN) -> DataFrame:
+    """Held-out predictions: by, kind, fold, obs_id, label, predicted, q_true; folds and models within each group of by.
 
-    presence "none" leaves the presence rate of a hurdle feature out; "speaker_lookup" adds the rate that training rows of
-    the row's own entity have, a function of the label that flatters every result. shuffled deals labels anew by hash.
+    One task fits the models of a fold, on at most most_train rows; every row is then predicted where it lies. presence
+    "none" leaves the presence rate of a hurdle feature out; "speaker_lookup" adds the rate that training rows of the row's
+    own entity have, a function of the label that flatters every result. shuffled deals labels anew by hash.
     """
-    wide, names = design(obs, hurdle)
-    wide = folds(wide, k, "entity", seed)
+    wide, names = design(obs, hurdle, by)
+    wide = cut(folds(wide, k, "entity", seed, by))
+    columns = list(names)
     if presence == "speaker_lookup" and hurdle:
-        rated = obs.where(F.col("feature") == hurdle).join(wide.select("obs_id", "fold"), "obs_id")
+        rated = obs.where(F.col("feature") == hurdle).join(wide.select(*by, "obs_id", "fold"), [*by, "obs_id"])
         held = rated.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("held"))
-        rates = None
-        for f in range(k):
-            one = presence_rate(held.where(F.col("held") == f), f"fold != {f}").withColumn("held", F.lit(f).cast("long"))
-            rates = one if rates is None else rates.unionByName(one)
-        wide = wide.join(rates.groupBy("entity").pivot("held", list(range(k))).agg(F.first("rate")), "entity")
-    extra = [c for c in wide.columns if c not in {*names, "obs_id", "entity", "fold"}]
-    rows = wide.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("held"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = int(pdf["held"].iloc[0])
+        rates = presence_rate(held, "held != fold", (*by, "held"))
+        wide = cut(wide.join(rates.groupBy(*by, "entity").pivot("held", list(range(k))).agg(F.first("rate")).withColumnsRenamed({str(f): f"__rate{f}" for f in range(k)}), [*by, "entity"]))
+    rate = [f"__rate{f}" for f in range(k) if f"__rate{f}" in wide.columns]
+    if shuffled:
+        own = ranked(wide.select(*by, "entity", "obs_id"), ["obs_id"], by).select(*by, "k", "entity")
+        anew = ranked(wide.select(*by, "obs_id").withColumn("__o", hash_order(F.lit(seed), F.lit("labels"), F.col("obs_id"))), ["__o", "obs_id"], by).drop("__o")
+        wide = cut(wide.drop("entity").join(anew.join(own, [*by, "k"]).drop("k"), [*by, "obs_id"]))
+    every = columns + rate
+    scale = {(*(r[c] for c in by), r["held"]): (r["n"], np.array(r["mean"]), np.array(r["sd"])) for r in training_scale(wide, every, k, by).collect()}  # one row a fold and group
+    labels: dict[tuple, list[str]] = {}
+    for r in wide.select(*by, F.col("entity").cast("string").alias("entity")).where("entity is not null").distinct().limit(MOST_LABELS + 1).collect():
+        labels.setdefault(tuple(r[c] for c in by), []).append(r["entity"])
+    if sum(map(len, labels.values())) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    labels = {g: sorted(x) for g, x in labels.items()}
+    own = lambda held: names + ([f"__rate{held}"] if rate else [])
+    at = {c: j for j, c in enumerate(every)}
+
+    def scaled(pdf: pd.DataFrame, group: tuple, held: int) -> np.ndarray:
+        _, mean, sd = scale[(*group, held)]
+        pick = [at[c] for c in own(held)]
+        return _ready(pdf, own(held), mean[pick], sd[pick])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, held = tuple(pdf[c].iloc[0] for c in by), int(pdf["held"].iloc[0])
         pdf = pdf.sort_values("obs_id")
-        test = (pdf["fold"] == held).to_numpy()
-        if (~test).sum() > MOST_TRAIN:
-            raise ValueError(f"more than {MOST_TRAIN} training rows in a fold")
-        labels, y = np.unique(pdf["entity"].to_numpy(str), return_inverse=True)
-        if shuffled:
-            y = y[np.random.default_rng([seed, held]).permutation(len(y))]
-        x = pdf[names + ([str(held)] if extra else [])].to_numpy(float)
-        with np.errstate(all="ignore"):
-            mean = np.nan_to_num(np.nanmean(np.where(test[:, None], np.nan, x), 0))
-        x = np.where(np.isfinite(x), x, mean)
-        sd = x[~test].std(0)
-        x = (x - mean) / np.where(sd > 1e-12, sd, 1)
+        x, y, s = scaled(pdf, group, held), np.searchsorted(labels[group], pdf["entity"].to_numpy(str)), len(labels[group])
         out = []
         for kind in kinds:
-            if kind == "mlp":
-                p = network(x[~test], y[~test], len(labels), seed=seed)(x[test])
-            else:
-                w = (softmax_regression if kind == "logreg" else discriminant)(x[~test], y[~test], len(labels))
-                p = _softmax(np.c_[x[test], np.ones(test.sum())] @ w)
-            out.append(pd.DataFrame({"kind": kind, "fold": held, "obs_id": pdf["obs_id"][test], "label": labels[y[test]], "predicted": labels[p.argmax(1)], "q_true": p[np.arange(len(p)), y[test]]}))
-        return pd.concat(out)
-
-    return rows.groupBy("held").applyInPandas(one, "kind string, fold long, obs_id long, label string, predicted string, q_true double")
+            w = network(x, y, s, seed=seed) if kind == "mlp" else [(softmax_regression if kind == "logreg" else discriminant)(x, y, s)]
+            out += [{**dict(zip(by, group, strict=True)), "held": held, "kind": kind, "part": j, "rows": len(a), "weights": np.ravel(a).tolist()} for j, a in enumerate(w)]
+        return pd.DataFrame(out)
+
+    most = max([1, *(n for n, _, _ in scale.values())])
+    copies = wide.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("held")).where("held != fold and entity is not null")
+    chosen = copies if most <= most_train else copies.where(F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most_train / most))
+    types = dict(wide.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "held long, kind string, part int, rows long, weights array<double>"])
+    models: dict[tuple, dict[str, list[np.ndarray]]] = {}
+    for r in sorted(chosen.groupBy(*by, "held").applyInPandas(fit, schema).collect(), key=lambda r: r["part"]):
+        models.setdefault((*(r[c] for c in by), r["held"]), {}).setdefault(r["kind"], []).append(np.reshape(r["weights"], (r["rows"], -1)))
+    sent = obs.sparkSession.sparkContext.broadcast(models)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, pdf in batch.groupby([*by, "fold"], dropna=False):
+                group, held = tuple(key[:-1]), int(key[-1])
+                known, x = np.array(labels[group]), scaled(pdf, group, held)
+                y = np.searchsorted(known, pdf["entity"].to_numpy(str))
+                for kind, w in sent.value.get((*group, held), {}).items():
+                    p = _softmax(hidden(w, x) if kind == "mlp" else np.c_[x, np.ones(len(x))] @ w[0])
+                    yield pd.DataFrame({**{c: pdf[c] for c in by}, "kind": kind, "fold": held, "obs_id": pdf["obs_id"], "label": known[y], "predicted": known[p.argmax(1)], "q_true": p[np.arange(len(p)), y]})
+
+    out = ", ".join([*(f"`{c}` {types[c]}" for c in by), "kind string, fold long, obs_id long, label string, predicted string, q_true double"])
+    return wide.where("entity is not null").mapInPandas(predict, out)
 
 
 def summary(predictions: DataFrame, entities: int) -> DataFrame:

@@ -121,7 +121,11 @@ def features(x: np.ndarray, phones: list[tuple[int, int, str]], sex: str = "M",
     kind = np.array([by.get(x, "other") for x in label], dtype=object)
     masks = {name: np.isin(kind, classes) for name, classes in (("voiced", segments.VOICED), ("sonorant", segments.SONORANT), ("speech", segments.SPEECH))} | {"sibilant": np.isin(np.array(label, dtype=object), segments.SIBILANTS)}
     values = contours(np.asarray(x, float), rate, sex, masks, formants, creak)
-    return {name: aggregate(values[name], masks[domain], how) for name, (domain, how) in FEATURES.items() if domain != "segments"} | timing(phones, rate)
+    out = {name: aggregate(values[name], masks[domain], how) for name, (domain, how) in FEATURES.items() if domain != "segments"} | timing(phones, rate)
+    voiced = int(masks["voiced"].sum())
+    if not np.isfinite(out["VFI"][0]) and voiced:
+        out["VFI"] = (0.0, voiced)  # a voiced utterance always has a share of creak
+    return {name: out[name] for name in FEATURES}
 
 
 def quality(x: np.ndarray, phones: list[tuple[int, int, str]], rate: int = kernels.RATE) -> dict[str, float]:
@@ -137,21 +141,42 @@ def quality(x: np.ndarray, phones: list[tuple[int, int, str]], rate: int = kerne
 def extract(utterances: DataFrame) -> DataFrame:
     """One row for each utterance (utt_id, samples, sex, phones array of start, end, label): 40 features, their coverage and error.
 
-    A failing utterance has no values and says why; missing values are NULL.
+    Optional columns from external models: formants (an array of four frequencies for each frame, null where unknown) and
+    creak (an array of start, end in seconds). Without the first, formants are the utterance's own poles; without the second,
+    VFI is 0 in voiced utterances. A failing utterance has no values and says why; missing values are NULL.
     """
     names = list(FEATURES)
     schema = ", ".join(["utt_id long", *(f"{n} double" for n in names), *(f"cov_{n} int" for n in names), "error string"])
+    more = [c for c in ("formants", "creak") if c in utterances.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 try:
-                    got = features(np.asarray(r.samples, float), [(p["start"], p["end"], p["label"]) for p in r.phones], r.sex)
+                    known, creak = getattr(r, "formants", None), getattr(r, "creak", None)
+                    known = None if known is None else np.array([[np.nan if v is None else v for v in f] for f in known], float)
+                    creak = None if creak is None else [(p["start"], p["end"]) for p in creak]
+                    got = features(np.asarray(r.samples, float), [(p["start"], p["end"], p["label"]) for p in r.phones], r.sex, formants=known, creak=creak)
                     value = {n: v if np.isfinite(v) else None for n, (v, _) in got.items()}
                     rows.append({"utt_id": r.utt_id, "error": None} | value | {f"cov_{n}": int(c) for n, (_, c) in got.items()})
                 except Exception as e:  # an utterance never fails its batch; the row says why
                     rows.append({"utt_id": r.utt_id, "error": f"{type(e).__name__}: {e}"} | {f"cov_{n}": 0 for n in names})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({n: float for n in names})
 
-    return utterances.select("utt_id", "samples", "sex", "phones").mapInPandas(run, schema)
+    return utterances.select("utt_id", "samples", "sex", "phones", *more).mapInPandas(run, schema)
+
+
+def recording_quality(utterances: DataFrame) -> DataFrame:
+    """snr_db, bandwidth_hz and clip_pct of each utterance (utt_id, samples, phones); NULL where it cannot be told."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                x = np.asarray(r.samples if r.samples is not None else [], float)
+                q = quality(x, [(p["start"], p["end"], p["label"]) for p in (r.phones if r.phones is not None else [])]) if x.size else {}
+                rows.append((r.utt_id, *(float(q[c]) if c in q and np.isfinite(q[c]) else None for c in ("snr_db", "bandwidth_hz", "clip_pct"))))
+            yield pd.DataFrame(rows, columns=["utt_id", "snr_db", "bandwidth_hz", "clip_pct"]).astype({c: float for c in ("snr_db", "bandwidth_hz", "clip_pct")})
+
+    return utterances.select("utt_id", "samples", "phones").mapInPandas(run, "utt_id long, snr_db double, bandwidth_hz double, clip_pct double")

@@ -52,8 +52,8 @@ def covariance(h: DataFrame, means: DataFrame, mode: str = "reference") -> DataF
     return d.select("feature", (F.col("phi") * F.col("c") + F.when(F.col("na") > 0, F.col("phi") * (1 - F.col("phi")) * F.col("ev") * (F.col("xp") - F.col("xa"))).otherwise(0.0)).alias("cov"))
 
 
-def presence_rate(obs: DataFrame, train: str) -> DataFrame:
-    """Of each entity: share of positive among measured rows where `train` holds; 0 where there are none."""
+def presence_rate(obs: DataFrame, train: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each entity (of each group of by): share of positive among measured rows where `train` holds; 0 where there are none."""
     t = F.expr(train)
-    g = obs.groupBy("entity").agg(F.sum(F.when(t & (F.col("x") > 0), 1).otherwise(0)).alias("p"), F.sum(F.when(t & F.col("x").isNotNull(), 1).otherwise(0)).alias("m"))
-    return g.select("entity", F.coalesce(F.try_divide(F.col("p").cast("double"), F.col("m")), F.lit(0.0)).alias("rate"))
+    g = obs.groupBy(*by, "entity").agg(F.sum(F.when(t & (F.col("x") > 0), 1).otherwise(0)).alias("p"), F.sum(F.when(t & F.col("x").isNotNull(), 1).otherwise(0)).alias("m"))
+    return g.select(*by, "entity", F.coalesce(F.try_divide(F.col("p").cast("double"), F.col("m")), F.lit(0.0)).alias("rate"))

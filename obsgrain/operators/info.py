@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsgrain.functions.scalars import hash_order
+from obsgrain.operators.cuts import bounded, cut
+from obsgrain.operators.ranks import quantiles, ranked
 
 
 def quantile_bins(obs: DataFrame, nbin: int, by: tuple[str, ...] = ("feature",), floor: int = 0) -> DataFrame:
     """Adds bin: how many distinct interior quantile edges lie at or below x, plus floor. Fewer than three distinct edges give one bin.
 
-    Edges are linearly interpolated; one row of edges a feature is joined back.
+    Edges are exact and linearly interpolated (by ranks, if there are many rows); one row of edges a group is joined back,
+    broadcast if their number allows it.
     """
-    at = F.array(*[F.lit(i / nbin) for i in range(nbin + 1)])
-    edges = obs.where("x is not null").groupBy(*by).agg(F.array_distinct(F.percentile("x", at)).alias("__e"))
+    edges = quantiles(obs, "x", [i / nbin for i in range(nbin + 1)], by).withColumn("__e", F.array_distinct("q"))
     inner = F.when(F.size("__e") < 3, F.array().cast("array<double>")).otherwise(F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0))))
-    edges = edges.select(*by, inner.alias("__e"))
-    joined = obs.where("x is not null").join(F.broadcast(edges) if by else edges, list(by)) if by else obs.where("x is not null").crossJoin(F.broadcast(edges))
+    edges = cut(edges.select(*by, inner.alias("__e")))
+    measured = obs.where("x is not null")
+    joined = measured.join(bounded(edges), list(by)) if by else measured.crossJoin(F.broadcast(edges))
     return joined.withColumn("bin", F.size(F.filter("__e", lambda e: e <= F.col("x"))) + floor).drop("__e")
 
 
@@ -44,22 +48,60 @@ def entity_count(obs: DataFrame) -> DataFrame:
     return obs.agg(F.count_distinct("entity").alias("s"))
 
 
+def _with_s(df: DataFrame, entities: DataFrame) -> DataFrame:
+    """df with s: of one row for all, or of the row for df's group."""
+    keys = [c for c in entities.columns if c != "s"]
+    return df.join(entities, keys) if keys else df.crossJoin(F.broadcast(entities))
+
+
 def mutual_information(binned: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """i_raw = log2 S - H(entity | bin), S being the number of all entities."""
-    return conditional_entropy(binned, by).crossJoin(F.broadcast(entities)).select(*by, "n", "n_bins", (F.log2("s") - F.col("h_cond")).alias("i_raw"))
+    """i_raw = log2 S - H(entity | bin), S being the number of all entities (or, if entities has them, of those of a group)."""
+    return _with_s(conditional_entropy(binned, by), entities).select(*by, "n", "n_bins", (F.log2("s") - F.col("h_cond")).alias("i_raw"))
 
 
 def hashed_null(binned: DataFrame, entities: DataFrame, n_perm: int, by: tuple[str, ...] = ("feature",), seed: int = 0) -> DataFrame:
     """Mean i_raw over label permutations: labels by rank of obs_id meet rows by rank of a hash of (seed, permutation, obs_id)."""
     keys = [*by]
     perms = binned.select(*keys, "obs_id", "bin", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    a = perms.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(hash_order(F.lit(seed), F.col("perm"), F.col("obs_id")), "obs_id")))
-    b = binned.select(*keys, "entity", F.row_number().over(Window.partitionBy(*keys).orderBy("obs_id")).alias("k"))
+    a = ranked(perms.withColumn("__o", hash_order(F.lit(seed), F.col("perm"), F.col("obs_id"))), ["__o", "obs_id"], (*keys, "perm")).drop("__o")
+    b = ranked(binned.select(*keys, "entity", "obs_id"), ["obs_id"], by).drop("obs_id")
     mixed = a.join(b, [*keys, "k"])
     one = conditional_entropy(mixed, (*by, "perm")).crossJoin(F.broadcast(entities))
     return one.groupBy(*keys).agg(F.avg(F.log2("s") - F.col("h_cond")).alias("i_null"))
 
 
+def sampled_null(binned: DataFrame, entities: DataFrame, n_perm: int, by: tuple[str, ...] = ("feature",), seed: int = 0) -> DataFrame:
+    """Mean i_raw over n_perm label permutations, each drawn as what it does to the counts: by, i_null.
+
+    Dealing labels at random over rows gives a table of bins by labels with the margins of the data, distributed as bins
+    drawn in turn without replacement (multivariate hypergeometric). So a permutation costs bins times labels, however many
+    rows there are; no row is moved. One task draws for one group's label counts, which it holds.
+    """
+    keys = [*by]
+    a = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("n")).alias("a"))
+    c = binned.groupBy(*keys, "entity").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("n")).alias("c"))
+    rows = a.join(c, keys).crossJoin(F.broadcast(entities)).withColumn("seed", F.xxhash64(F.lit(seed), *keys))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for sizes, labels, s, start in zip(batch["a"], batch["c"], batch["s"], batch["seed"], strict=True):
+                rng, total, labels = np.random.default_rng(int(start) & ((1 << 64) - 1)), 0.0, np.asarray(labels, np.int64)
+                for _ in range(n_perm):
+                    left, h = labels.copy(), 0.0
+                    for size in sizes:
+                        got = rng.multivariate_hypergeometric(left, int(size)) if size < left.sum() else left.copy()
+                        left -= got
+                        got = got[got > 0]
+                        h -= float((got * np.log2(got / size)).sum())
+                    total += math.log2(s) - h / labels.sum()
+                out.append(total / n_perm)
+            yield batch[keys].assign(i_null=out)
+
+    kinds = dict(rows.select(*keys).dtypes)
+    return rows.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "i_null double"]))
+
+
 def ln_factorial(x: Column) -> Column:
     """ln x! of whole numbers: a table below 16, Stirling's series from there (error below 1e-11)."""
     table = F.lit([math.lgamma(k + 1) for k in range(16)])
@@ -85,7 +127,7 @@ def exact_null(binned: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("f
     p = F.exp(lf(A) + lf(C) + lf(N - A) + lf(N - C) - lf(N) - lf(M) - lf(A - M) - lf(C - M) - lf(N - A - C + M))
     mi = m.groupBy(*keys).agg(F.sum(F.col("na") * F.col("nc") * M / N * F.log2(N * M / (A * C)) * p).alias("e_mi"))
     h = c.join(n, keys).groupBy(*keys).agg((-F.sum(F.col("nc") * C / N * F.log2(C / N))).alias("h"))
-    return mi.join(h, keys).crossJoin(F.broadcast(entities)).select(*keys, (F.col("e_mi") + F.log2("s") - F.col("h")).alias("i_null"))
+    return _with_s(mi.join(h, keys), entities).select(*keys, (F.col("e_mi") + F.log2("s") - F.col("h")).alias("i_null"))
 
 
 def corrected(raw: DataFrame, null: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -93,6 +135,13 @@ def corrected(raw: DataFrame, null: DataFrame, by: tuple[str, ...] = ("feature",
     return raw.join(null, [*by], "left").select(*by, "n", "n_bins", "i_raw", F.coalesce("i_null", F.lit(0.0)).alias("i_null"), F.greatest(F.col("i_raw") - F.coalesce("i_null", F.lit(0.0)), F.lit(0.0)).alias("i_corrected"))
 
 
+def with_empty(found: DataFrame, obs: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """found (the result of corrected) with n_missing, and a row of zeros for each group that has no measured row."""
+    every = obs.groupBy(*by).agg(F.count_if(F.col("x").isNull()).alias("n_missing"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(found, [*by], "left").select(*by, zero("n"), "n_missing", zero("n_bins"), zero("i_raw"), zero("i_null"), zero("i_corrected"))
+
+
 def fano_bounds(predictions: DataFrame, by: tuple[str, ...] = (), entities: Column | None = None) -> DataFrame:
     """acc, i_fano and i_xent from (label, predicted, q_true); S is the number of labels unless given. NULL i_fano for S < 2."""
     s = F.count_distinct("label") if entities is None else F.max(entities)

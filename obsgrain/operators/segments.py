@@ -90,17 +90,49 @@ def frames_of(segments: DataFrame, length: int = 400, hop: int = 160) -> DataFra
 
 
 def interval_join(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """The label of the segment with start <= at < end for each point (utt_id, at); '' if there is none."""
-    s = segments.select(F.col("utt_id").alias("__u"), "start", "end", "label")
-    j = points.join(s, (F.col("utt_id") == F.col("__u")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
-    return j.select(*points.columns, F.coalesce("label", F.lit("")).alias("label"))
+    """The label of the segment with start <= at < end for each point (utt_id, at); '' if there is none.
+
+    Segments of an utterance do not overlap. One union sorted by utterance and time carries the segment that began last, so
+    rows grow with points and segments, not with their pairs.
+    """
+    p = points.select("utt_id", "at", F.lit(1).alias("__p"), F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.lit(None).cast("struct<end:double,label:string>").alias("__s"))
+    s = segments.select("utt_id", F.col("start").alias("at"), F.lit(0).alias("__p"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.struct(F.col("end").cast("double").alias("end"), F.col("label").cast("string").alias("label")).alias("__s"))
+    began = F.last("__s", True).over(Window.partitionBy("utt_id").orderBy("at", "__p").rowsBetween(Window.unboundedPreceding, 0))
+    d = p.unionByName(s).withColumn("__b", began).where("__p = 1")
+    return d.select("__row.*", F.when(F.col("at") < F.col("__b.end"), F.col("__b.label")).otherwise("").alias("label"))
 
 
 def in_any(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Adds inside: 1 if any interval (utt_id, start, end) holds the point, else 0; intervals are gathered by utterance."""
-    i = intervals.groupBy("utt_id").agg(F.collect_list(F.struct("start", "end")).alias("__i"))
-    hit = F.exists("__i", lambda x: (F.col("at") >= x["start"]) & (F.col("at") < x["end"]))
-    return points.join(i, "utt_id", "left").withColumn("inside", F.coalesce(hit, F.lit(False)).cast("int")).drop("__i")
+    """Adds inside: 1 if any interval (utt_id, start, end) holds the point, else 0; intervals may overlap.
+
+    Some interval holds a point if of those that began by then the latest end lies beyond it: a running maximum over one
+    union sorted by utterance and time, no pairs.
+    """
+    p = points.select("utt_id", "at", F.lit(1).alias("__p"), F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.lit(None).cast("double").alias("__end"))
+    i = intervals.select("utt_id", F.col("start").alias("at"), F.lit(0).alias("__p"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col("end").cast("double").alias("__end"))
+    latest = F.max("__end").over(Window.partitionBy("utt_id").orderBy("at", "__p").rowsBetween(Window.unboundedPreceding, 0))
+    d = p.unionByName(i).withColumn("__latest", latest).where("__p = 1")
+    return d.select("__row.*", F.coalesce(F.col("__latest") > F.col("at"), F.lit(False)).cast("int").alias("inside"))
+
+
+def segment_lists(segments: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Each utterance's segments in order: utt_id, segments (array of start, end, label); with wanted, one row for each of its utt_ids, null if it has none."""
+    lists = segments.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("segments"))
+    return wanted.select("utt_id").distinct().join(lists, "utt_id", "left") if wanted is not None else lists
+
+
+def windows(segments: DataFrame, before: float, after: float) -> DataFrame:
+    """Segments widened by `before` and `after`, cut at 0 and at the utterance's end: utt_id, seq, label, low, high."""
+    total = F.max("end").over(Window.partitionBy("utt_id"))
+    return segments.select("utt_id", "seq", "label", F.greatest(F.lit(0.0), F.col("start") - before).alias("low"), F.least(total.cast("double"), F.col("end") + after).alias("high"))
+
+
+def timing(segments: DataFrame, events: list[str], labels: list[str], by: list[str], silence: list[str], scale: float = 1.0) -> DataFrame:
+    """The three measures of an utterance's segments joined: rate, stop (after `by`) and run, each with its number of events."""
+    one = rate(segments, events, silence, scale).withColumnsRenamed({"n": "n_rate"})
+    two = preceded(segments, labels, by).withColumnsRenamed({"mean_length": "stop", "n": "n_stop"})
+    three = run_lengths(segments, silence).withColumnsRenamed({"mean_length": "run", "n": "n_run"})
+    return one.join(two, "utt_id").join(three, "utt_id")
 
 
 def nearest(points: DataFrame, samples: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsgrain.functions.scalars import hash_order
-from obsgrain.operators.cuts import cut
+from obsgrain.operators.ranks import quantiles, ranked
 
 
 def having(df: DataFrame, key: str, where: str, least: int) -> DataFrame:
@@ -70,6 +70,28 @@ def tally(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_decisions(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ambiguous, ties): the undecided entities, ambiguous ones by majority and confidence, ties by confidence, both descending."""
+    ambiguous = decisions.where("decision = 'ambiguous'").orderBy(F.desc("majority_count"), F.desc_nulls_last("avg_conf"), "entity")
+    return ambiguous, decisions.where("decision = 'tie'").orderBy(F.desc_nulls_last("avg_conf"), "entity")
+
+
+def mixed_order(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
+    """Rows sorted by several keys, each ascending (True) or descending (False); nulls last either way."""
+    return df.orderBy(*[F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys])
+
+
+def top(df: DataFrame, k: int, keys: list[tuple[str, bool]]) -> DataFrame:
+    """The first k rows of mixed_order: each task keeps k rows, none is sorted as a whole."""
+    return mixed_order(df, keys).limit(k)
+
+
+def subset(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether every row of a is in b, and how many different ones are not."""
+    rest = a.distinct().join(b.distinct(), [a[c].eqNullSafe(b[c]) for c in a.columns], "left_anti")
+    return rest.agg((F.count(F.lit(1)) == 0).alias("is_subset"), F.count(F.lit(1)).alias("n_outside"))
+
+
 def usable_mean(target: DataFrame, measured: DataFrame, key: str, value: str, low: float, high: float, scale: float = 1.0) -> DataFrame:
     """Mean of usable values (low <= value <= high) for each key, scaled, looked up for every target row."""
     mean = measured.where(F.col(value).between(low, high)).groupBy(key).agg((F.avg(value) * scale).alias(value))
@@ -78,11 +100,15 @@ def usable_mean(target: DataFrame, measured: DataFrame, key: str, value: str, lo
 
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """n, median, quartiles and mean of each group."""
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"), F.avg(value).alias("mean"))
+    d = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], (by,)).select(F.col(by).alias("__by"), "q")
+    return d.join(q, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(2)).alias("q75"), "mean")
 
 
 def percentiles(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(*[F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (5, 50, 95)], F.avg(value).alias("mean"))
+    """5th, 50th and 95th percentile and mean; one row."""
+    q = quantiles(df, value, [0.05, 0.5, 0.95])
+    return df.agg(F.avg(value).alias("mean")).join(F.broadcast(q), F.lit(True), "left").select(*[F.get("q", F.lit(k)).alias(f"p{p}") for k, p in enumerate((5, 50, 95))], "mean")
 
 
 def drift(now: DataFrame, frozen: DataFrame, key: str, value: str) -> DataFrame:
@@ -91,6 +117,17 @@ def drift(now: DataFrame, frozen: DataFrame, key: str, value: str) -> DataFrame:
     return j.agg(F.count_if(F.col("__is") == F.col("__was")).alias("agree"), F.count_if(F.col("__is") != F.col("__was")).alias("drift"), F.count_if(F.col("__is").isNull()).alias("missing"))
 
 
+def drift_examples(now: DataFrame, frozen: DataFrame, key: str, value: str, n: int = 10) -> DataFrame:
+    """The first n frozen decisions, by key, that drift or are missing: key, was, now."""
+    j = frozen.select(key, F.col(value).alias("was")).join(now.select(key, F.col(value).alias("now")), key, "left")
+    return j.where(F.col("now").isNull() | (F.col("now") != F.col("was"))).orderBy(key).limit(n)
+
+
+def missing_files(wanted: DataFrame, found: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """(present and missing keys of each group, the missing ones), found being a listing of files or any table of keys."""
+    return presence(wanted, found, key, by), wanted.join(found.select(key).distinct(), key, "left_anti").select(by, key)
+
+
 def presence(wanted: DataFrame, have: DataFrame, key: str, by: str) -> DataFrame:
     """Present and missing keys of each group."""
     j = wanted.join(have.select(key).distinct().withColumn("__here", F.lit(True)), key, "left")
@@ -98,21 +135,13 @@ def presence(wanted: DataFrame, have: DataFrame, key: str, by: str) -> DataFrame
 
 
 def shards(df: DataFrame, n: int, order: list) -> DataFrame:
-    """Round-robin shard number by the order: ranks within ranges of the order, offset by what lies before, without one sorted task."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-
-
-    parts = cut(parts)
-    sizes = parts.groupBy("__p").count()
-    before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    ranked = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(before), "__p").withColumn("shard", ((F.col("__b") + F.col("__k")) % n).cast("long")).drop("__p", "__b", "__k")
+    """Round-robin shard number by the order, without one sorted task."""
+    return ranked(df, order, (), "__k").withColumn("shard", ((F.col("__k") - 1) % n).cast("long")).drop("__k")
 
 
 def group_ordinals(df: DataFrame, by: str, order: list, size: int = 100) -> DataFrame:
     """Folder and place within it: rank // size + 1 and rank % size + 1, and a name of both."""
-    k = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    d = df.withColumn("__k", k).withColumn("folder", F.floor(F.col("__k") / size).cast("long") + 1).withColumn("place", (F.col("__k") % size).cast("long") + 1).drop("__k")
+    d = ranked(df, order, (by,), "__k").withColumn("__k", F.col("__k") - 1).withColumn("folder", F.floor(F.col("__k") / size).cast("long") + 1).withColumn("place", (F.col("__k") % size).cast("long") + 1).drop("__k")
     return d.withColumn("name", F.format_string("%s%03d_%02d", F.col(by).cast("string"), F.col("folder"), F.col("place")))
 
 

@@ -116,3 +116,35 @@ def entity_failures(obs: DataFrame) -> DataFrame:
     cells = obs.groupBy("feature", "entity").agg(F.count("x").alias("finite"), F.count(F.lit(1)).alias("n"))
     overall = cells.groupBy("feature").agg((F.sum("finite") == 0).alias("everywhere"))
     return cells.where("finite = 0").join(overall, "feature").select("entity", "feature", "finite", "n", F.when(F.col("everywhere"), "all").otherwise("entity").alias("scope"))
+
+
+def entity_summary(obs: DataFrame) -> DataFrame:
+    """One row: entities, complete ones (a mean for every feature that any entity has), features, and those missing everywhere."""
+    cells = obs.groupBy("feature", "entity").agg((F.count("x") > 0).alias("has"))
+    known = cells.groupBy("feature").agg(F.max("has").alias("any"))
+    per = cells.join(known, "feature").groupBy("entity").agg(F.bool_and(F.col("has") | ~F.col("any")).alias("complete"))
+    return per.agg(F.count(F.lit(1)).alias("entities"), F.count_if("complete").alias("complete")).crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("features"), F.count_if(~F.col("any")).alias("missing_everywhere"))))
+
+
+def feature_failures(obs: DataFrame) -> DataFrame:
+    """For each feature: entities without a mean, and whether no entity has one."""
+    cells = obs.groupBy("feature", "entity").agg((F.count("x") > 0).alias("has"))
+    return cells.groupBy("feature").agg(F.count_if(~F.col("has")).alias("failed"), (~F.max("has")).alias("everywhere"))
+
+
+def qa_report(obs: DataFrame) -> DataFrame:
+    """(section, item, value): counts, coverage, missing cells, distribution and within/between ratio of every feature."""
+    out = obs.agg(F.count_distinct("obs_id").cast("double").alias("observations"), F.count_distinct("entity").cast("double").alias("entities"), F.count_distinct("feature").cast("double").alias("features"))
+    out = out.select(F.lit("counts").alias("section"), F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in out.columns])).alias("x")).select("section", "x.*")
+    for d in (coverage(obs), distribution(obs).drop("n"), ratio_within_between(obs)):
+        cells = F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).cast("double").alias("value")) for c in d.columns if c != "feature"])
+        out = out.unionByName(d.select(F.col("feature").alias("item"), F.explode(cells).alias("x")).select("x.section", "item", "x.value"))
+    return out
+
+
+def fisher_invariance(obs: DataFrame) -> DataFrame:
+    """most: the largest difference that centring and scaling each feature makes to f_star; 0 but for rounding."""
+    m = obs.groupBy("feature").agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"))
+    z = obs.join(F.broadcast(m), "feature").withColumn("x", (F.col("x") - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).drop("__m", "__s")
+    both = variance_components(obs).select("feature", F.col("f_star").alias("a")).join(variance_components(z).select("feature", F.col("f_star").alias("b")), "feature")
+    return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("most"), F.count("a").alias("features"))

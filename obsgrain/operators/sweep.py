@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsgrain.operators import classify, info
+from obsgrain.operators.cuts import cut
 from obsgrain.operators.resample import entity_order, top_per_group
+from obsgrain.operators.spectrum import pr_by
 from obsgrain.operators.stats import entity_moments
 
 
@@ -21,15 +24,33 @@ def replicate(obs: DataFrame, grid: list[int], m: int, seed: int = 0, pooled: bo
 def participation_ratios(rows: DataFrame, by: tuple[str, ...] = ("size",)) -> DataFrame:
     """Entities, ceiling log2 S and PR for each size: pair moments are grouped by (size, i, j)."""
     means = entity_moments(rows, (*by, "feature")).select(*by, "entity", "feature", F.col("mean").alias("x"))
-    cells = means.groupBy(*by, "entity").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("c"))
-    pairs = F.flatten(F.transform("c", lambda a, k: F.transform(F.slice("c", k + 1, F.size("c") - k), lambda b: F.struct(a["feature"].alias("i"), b["feature"].alias("j"), a["x"].alias("a"), b["x"].alias("b")))))
-    cov = cells.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.i", "p.j").agg(F.covar_pop("p.a", "p.b").alias("cov"))
-    var = cov.where("i = j and cov > 1e-12").select(*by, F.col("i").alias("f"), F.col("cov").alias("v"))
-    r = cov.join(var.select(*by, F.col("f").alias("i"), F.col("v").alias("vi")), [*by, "i"]).join(var.select(*by, F.col("f").alias("j"), F.col("v").alias("vj")), [*by, "j"])
-    r2 = F.col("cov") * F.col("cov") / (F.col("vi") * F.col("vj"))
-    pr = r.groupBy(*by).agg((F.pow(F.count_if(F.col("i") == F.col("j")).cast("double"), F.lit(2.0)) / F.sum(F.when(F.col("i") == F.col("j"), r2).otherwise(2 * r2))).alias("pr"))
     s = means.groupBy(*by).agg(F.count_distinct("entity").alias("s"))
-    return s.join(pr, list(by)).select(*by, "s", F.log2("s").alias("ceiling"), "pr")
+    return s.join(pr_by(means, by), list(by)).select(*by, "s", F.log2("s").alias("ceiling"), "pr")
+
+
+def summed_information(rows: DataFrame, nbin: int = 5, by: tuple[str, ...] = ("size",)) -> DataFrame:
+    """(by, summed_mi): the corrected mutual information of all features, for each size; the null is exact."""
+    keys = (*by, "feature")
+    binned = cut(info.quantile_bins(rows, nbin, keys))
+    entities = rows.groupBy(*by).agg(F.count_distinct("entity").alias("s"))
+    mi = info.corrected(info.mutual_information(binned, entities, keys), info.exact_null(binned, entities, keys), keys)
+    return mi.groupBy(*by).agg(F.sum("i_corrected").alias("summed_mi"))
+
+
+def measures(rows: DataFrame, nbin: int = 5, k: int = 5, kinds: tuple[str, ...] = ("logreg", "lda"), hurdle: str | None = None, by: tuple[str, ...] = ("size",)) -> DataFrame:
+    """For each size: s, ceiling, pr, summed_mi and fano (the best classifier's mean held-out information)."""
+    rows = cut(rows)
+    pr = participation_ratios(rows, by)
+    held = classify.run_folds(rows, k, kinds, hurdle, by=by)
+    sizes = rows.groupBy(*by).agg(F.count_distinct("entity").alias("s"))
+    fano = info.fano_bounds(held.join(sizes, list(by)), (*by, "kind", "fold"), F.col("s"))
+    best = fano.groupBy(*by, "kind").agg(F.avg("i_xent").alias("x")).groupBy(*by).agg(F.max("x").alias("fano"))
+    return pr.join(summed_information(rows, nbin, by), list(by)).join(best, list(by))
+
+
+def within(per_size: DataFrame, values: list[str], by: str = "size") -> DataFrame:
+    """Measures of each (size, stratum) combined over strata: each weighs as many entities as it has."""
+    return per_size.groupBy(by).agg(*[(F.sum(F.col(v) * F.col("s")) / F.sum("s")).alias(v) for v in values], F.sum("s").alias("s"))
 
 
 def slopes(points: DataFrame, x: str, values: list[str]) -> DataFrame:

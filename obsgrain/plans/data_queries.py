@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsgrain.functions import scalars
-from obsgrain.operators import classify, frames, info, kernels, segments, select
+from obsgrain.operators import classify, extract, frames, info, kernels, segments, select
 from obsgrain.operators import stats as stats_ops
+from obsgrain.operators.cuts import scratch
+from obsgrain.operators.ranks import ranked
 from obsgrain.plans.registry import query, rounded
 from obsgrain.plans.tables import SEG, obs_d, read, seg, signals
+from obsgrain.sources import readers, writers
 
 _SEL = "sel AS (SELECT source AS entity, lang AS stratum, doc_id AS obs_id, n_chars AS duration FROM documents)"
 
@@ -75,10 +78,35 @@ def anti_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.remaining(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-@query("WITH now AS (SELECT doc_id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS q FROM documents WHERE doc_id % 7 <> 0) SELECT count_if(q = quality)::BIGINT AS agree, count_if(q <> quality)::BIGINT AS drift, count_if(q IS NULL)::BIGINT AS missing FROM labels LEFT JOIN now USING (doc_id)")
+_NOW = "now AS (SELECT doc_id, CASE WHEN n_chars > 1500 THEN 1 WHEN n_chars > 100 THEN 0 END AS q FROM documents)"
+
+
+def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1500, 1).when(F.col("n_chars") > 100, 0).alias("quality"))
+
+
+@query(f"WITH {_NOW} SELECT count_if(q = quality)::BIGINT AS agree, count_if(q <> quality)::BIGINT AS drift, count_if(q IS NULL)::BIGINT AS missing FROM labels LEFT JOIN now USING (doc_id)")
 def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = read(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("quality"))
-    return select.drift(now, read(spark, sf_dir, "labels"), "doc_id", "quality")
+    return select.drift(_now(spark, sf_dir), read(spark, sf_dir, "labels"), "doc_id", "quality")
+
+
+@query(f"WITH {_NOW} SELECT doc_id, quality::BIGINT AS was, q::BIGINT AS now FROM labels LEFT JOIN now USING (doc_id) WHERE q IS NULL OR q <> quality ORDER BY doc_id LIMIT 10")
+def drift_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's ten examples."""
+    return rounded(select.drift_examples(_now(spark, sf_dir), read(spark, sf_dir, "labels"), "doc_id", "quality"))
+
+
+@query("SELECT count(*) = 0 AS is_subset, count(*) AS n_outside FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem)")
+def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every part was sold."""
+    return select.subset(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")))
+
+
+@query("SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
+def mixed_order_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 orders by priority ascending, then price descending."""
+    d = select.top(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), 25, [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True)])
+    return rounded(d, 2)
 
 
 @query("WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_discount = 0 AND l_tax = 0) SELECT 'both' AS what, count(*)::BIGINT AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'all', count(*) FROM (SELECT k FROM a UNION ALL SELECT k FROM b)")
@@ -111,6 +139,17 @@ def decision_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.tally(_votes(spark, sf_dir))
 
 
+@query(
+    f"WITH {_VOTES}, r AS (SELECT entity, decision, greatest(na, nb) AS m, CASE WHEN na > nb THEN ca - cb ELSE cb - ca END / (na + nb) AS c FROM d) SELECT 'ambiguous' AS list, row_number() OVER (ORDER BY m DESC, c DESC NULLS LAST, entity) AS place, entity FROM r WHERE decision = 'ambiguous' UNION ALL SELECT 'tie', row_number() OVER (ORDER BY c DESC NULLS LAST, entity), entity FROM r WHERE decision = 'tie'"
+)
+def decision_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undecided entities in the order in which they are to be looked at."""
+    ambiguous, ties = select.split_decisions(_votes(spark, sf_dir))
+    keys = {"ambiguous": [F.desc("majority_count"), F.desc_nulls_last("avg_conf"), "entity"], "tie": [F.desc_nulls_last("avg_conf"), "entity"]}
+    out = [ranked(d, keys[name], (), "place").select(F.lit(name).alias("list"), "place", "entity") for name, d in (("ambiguous", ambiguous), ("tie", ties))]
+    return out[0].unionByName(out[1])
+
+
 @query("WITH m AS (SELECT l_orderkey AS k, avg(l_quantity) / 1000 AS v FROM lineitem WHERE l_quantity BETWEEN 3 AND 30 GROUP BY 1) SELECT o_orderkey, round(v, 6) AS value FROM orders LEFT JOIN m ON o_orderkey = k")
 def usable_mean_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("value"))
@@ -202,6 +241,45 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.frames_of(seg(spark, sf_dir))
 
 
+@query(f"WITH {SEG}, p AS (SELECT utt_id, seq, start + 150 AS \"at\" FROM seg) SELECT p.utt_id, p.seq, p.\"at\", coalesce(s.label, '') AS label FROM p LEFT JOIN seg s ON s.utt_id = p.utt_id AND p.\"at\" >= s.start AND p.\"at\" < s.\"end\"")
+def interval_join_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label at 150 characters after the start of each turn."""
+    s = seg(spark, sf_dir)
+    return rounded(segments.interval_join(s.select("utt_id", "seq", (F.col("start") + 150).alias("at")), s))
+
+
+@query(f"WITH {SEG} SELECT utt_id, count(*) AS n, string_agg(label || ':' || start::VARCHAR || '-' || \"end\"::VARCHAR, ',' ORDER BY start, \"end\", label) AS said FROM seg GROUP BY 1")
+def segment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each utterance's segments as one ordered list."""
+    d = segments.segment_lists(seg(spark, sf_dir))
+    said = F.array_join(F.transform("segments", lambda x: F.concat(x["label"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return d.select("utt_id", F.size("segments").cast("long").alias("n"), said.alias("said"))
+
+
+@query(f"WITH {SEG}, t AS (SELECT utt_id, max(\"end\") AS total FROM seg GROUP BY 1) SELECT utt_id, seq, label, greatest(start - 50.0, 0)::DOUBLE AS low, least(\"end\" + 300.0, total)::DOUBLE AS high FROM seg JOIN t USING (utt_id)")
+def cut_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments widened by 50 before and 300 after, as an adapter to an external model takes them."""
+    return segments.windows(seg(spark, sf_dir), 50.0, 300.0)
+
+
+@query(
+    f"WITH {SEG}, {_RUNS}, a AS (SELECT utt_id, round(count_if(label = 'user') * 1000.0::DOUBLE / nullif(max(CASE WHEN label <> 'assistant' THEN \"end\" END) - min(CASE WHEN label <> 'assistant' THEN start END), 0), 6) AS rate, count_if(label = 'user') AS n_rate FROM seg GROUP BY 1), "
+    "p AS (SELECT *, lag(label) OVER (PARTITION BY utt_id ORDER BY seq) AS b FROM seg), b AS (SELECT utt_id, round(avg(CASE WHEN label = 'assistant' AND b = 'user' THEN \"end\" - start END), 6) AS stop, count_if(label = 'assistant' AND coalesce(b = 'user', false)) AS n_stop FROM p GROUP BY 1), "
+    "c AS (SELECT utt_id, round(avg(len), 6) AS run, count(len) AS n_run FROM g GROUP BY 1) SELECT a.utt_id, rate, n_rate::BIGINT AS n_rate, stop, n_stop::BIGINT AS n_stop, run, coalesce(n_run, 0)::BIGINT AS n_run FROM a JOIN b USING (utt_id) LEFT JOIN c USING (utt_id)"
+)
+def timing_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate, stops and runs of each utterance joined."""
+    return rounded(segments.timing(seg(spark, sf_dir), ["user"], ["assistant"], ["user"], _SILENT, 1000.0))
+
+
+@query("SELECT event_id, lead(event_id) OVER w AS next_id, round(lead(value) OVER w - value, 6) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY next_id IS NOT NULL")
+def consecutive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event and its user's next."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    d = read(spark, sf_dir, "events").select("event_id", F.lead("event_id").over(w).alias("next_id"), (F.lead("value").over(w) - F.col("value")).alias("step"))
+    return rounded(d.where("next_id is not null"))
+
+
 @query(f"WITH {SEG}, p AS (SELECT utt_id, seq, start + 100 AS \"at\" FROM seg WHERE label = 'user') SELECT p.utt_id, seq, p.\"at\", (EXISTS (SELECT 1 FROM seg s WHERE s.utt_id = p.utt_id AND s.label = 'assistant' AND p.\"at\" >= s.start AND p.\"at\" < s.\"end\"))::BIGINT AS inside FROM p")
 def interval_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = seg(spark, sf_dir)
@@ -377,3 +455,202 @@ def textgrid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tg = F.concat(F.lit('name = "phones"\nintervals: size = 2\nxmin = 0 xmax = '), k, F.lit('.5 text = "'), F.col("n_name"), F.lit('"\nxmin = '), k, F.lit('.5 xmax = 99 text = ""\n'))
     d = read(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(textgrid_tier(tg)).alias("seq", "i"))
     return rounded(d.select("n_nationkey", "seq", "i.start", "i.end", "i.label"))
+
+
+# -- utterances: embeddings as signals, turns of 1,000 samples as phones
+
+
+def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """utt_id, samples (each embedding said over and over for a third of a second), sex, phones, formants and creak of every embedding."""
+    phones = [(0, 800, "h#"), (800, 2400, "aa"), (2400, 2700, "tcl"), (2700, 3000, "t"), (3000, 4400, "iy"), (4400, 5120, "s")]
+    said = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(x).alias("label")) for a, b, x in phones])
+    frames_ = 1 + (5120 - kernels.LENGTH) // kernels.HOP
+    known = F.transform(F.sequence(F.lit(1), F.lit(frames_)), lambda k: F.array(*[(F.lit(500.0 * j) + k).cast("double") for j in (1, 3, 5, 7)]))
+    sex = F.when(F.col("utt_id") % 2 == 0, "F").otherwise("M")
+    creak = F.array(F.struct(F.lit(0.05).alias("start"), F.lit(0.1).alias("end")))
+    d = signals(spark, sf_dir).select("utt_id", F.flatten(F.array_repeat("samples", 80)).alias("samples"), sex.alias("sex"), said.alias("phones"))
+    return d.withColumn("formants", known).withColumn("creak", creak)
+
+
+@query(None)
+def extract_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 features of every utterance, with formants and creak from outside."""
+    return extract.extract(_utterances(spark, sf_dir))
+
+
+@query("SELECT vec_id AS utt_id, round(100 * list_avg(list_transform(embedding, lambda v: (abs(v) > 0.999)::INT)), 6)::DOUBLE AS clip_pct FROM embeddings")
+def recording_clipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(extract.recording_quality(_utterances(spark, sf_dir)).select("utt_id", "clip_pct"))
+
+
+@query(None)
+def recording_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal to noise, bandwidth and clipping of every utterance."""
+    return rounded(extract.recording_quality(_utterances(spark, sf_dir)))
+
+
+# -- sources and sinks, by round trip through the shared folder
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+def roundtrip_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tsv")
+    writers.tsv(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return readers.tsv(spark, path)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def roundtrip_tsv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a schema, and tolerant of broken lines."""
+    path = scratch(spark, "tsv")
+    writers.tsv(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return readers.tsv(spark, path, "c_custkey long, c_name string, c_acctbal double", tolerant=True)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders")
+def roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitioned by a column."""
+    path = scratch(spark, "parquet")
+    writers.parquet(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), path, ["o_orderpriority"])
+    return spark.read.parquet(path).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey FROM supplier")
+def roundtrip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of JSON records by nation."""
+    path = scratch(spark, "records")
+    writers.record_tree(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"), "s_nationkey"), path, ["nation"])
+    return rounded(spark.read.schema("s_suppkey long, s_name string, s_nationkey long").option("recursiveFileLookup", True).json(path))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, count(*) AS times FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1) GROUP BY ALL")
+def roundtrip_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that was appended to twice."""
+    path, n = scratch(spark, "log"), read(spark, sf_dir, "nation")
+    for part in (n, n.where("n_regionkey = 1")):
+        writers.append_log(part.select("n_nationkey", "n_name"), path)
+    return rounded(spark.read.parquet(path).groupBy("n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("times")))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_nationkey < 10 THEN 'new ' || c_name ELSE c_name END AS c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def priority_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files in order, the second wins where it has a row; only customers with orders."""
+    c, paths = read(spark, sf_dir, "customer"), [scratch(spark, "first"), scratch(spark, "second")]
+    writers.tsv(c.select("c_custkey", "c_name"), paths[0])
+    writers.tsv(c.where("c_nationkey < 10").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name")), paths[1])
+    return readers.priority_files(spark, paths, "c_custkey", read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c_custkey"))).select("c_custkey", "c_name")
+
+
+@query(
+    "WITH d AS (SELECT *, n_chars > 100 AS ok FROM documents) SELECT 'total' AS section, 'rows' AS item, count(*)::DOUBLE AS value FROM d UNION ALL SELECT 'total', 'decoded', count_if(ok)::DOUBLE FROM d UNION ALL SELECT 'total', 'failures', count_if(NOT ok)::DOUBLE FROM d UNION ALL SELECT 'total', 'entities', count(DISTINCT source)::DOUBLE FROM d "
+    "UNION ALL SELECT 'measured', 'lang', round(avg((lang IS NOT NULL)::INT), 6)::DOUBLE FROM d UNION ALL SELECT 'entity', source, count(*)::DOUBLE FROM d GROUP BY source UNION ALL SELECT 'failed', doc_id::VARCHAR, 1.0::DOUBLE FROM d WHERE NOT ok"
+)
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, measured share, rows of each source and failures by name."""
+    d = read(spark, sf_dir, "documents").withColumn("ok", F.col("n_chars") > 100)
+    return rounded(writers.run_manifest(d, ["lang"], "ok", "source", "doc_id"))
+
+
+@query("WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), h AS (SELECT least(floor((o_totalprice - a) / ((b - a) / 30)), 29)::BIGINT AS bin, a, b FROM orders, e) SELECT bin, round(a + bin * (b - a) / 30, 4) AS low, round(a + (bin + 1) * (b - a) / 30, 4) AS high, count(*) AS n FROM h GROUP BY bin, a, b")
+def plot_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a histogram."""
+    return rounded(writers.plot_data(read(spark, sf_dir, "orders"), "o_totalprice"), 4)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'train/' || n_regionkey || '/m' || lower(n_name) || '/sx' || n_nationkey || '.wav' AS path, 'train' AS split, n_regionkey::VARCHAR AS region, 'm' || lower(n_name) AS speaker_id, 'M' AS sex, 'sx' || n_nationkey AS basename FROM nation")
+def path_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers from the parts of a path."""
+    path = F.concat(F.lit("train/"), F.col("n_regionkey").cast("string"), F.lit("/m"), F.lower("n_name"), F.lit("/sx"), F.col("n_nationkey").cast("string"), F.lit(".wav"))
+    return rounded(read(spark, sf_dir, "nation").select("n_nationkey", path.alias("path")).select("n_nationkey", "path", *readers.identifiers(F.col("path"))))
+
+
+@query("SELECT s_suppkey, s_name AS said FROM supplier")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines without their leading numbers."""
+    d = read(spark, sf_dir, "supplier")
+    return d.select("s_suppkey", readers.transcript(F.concat(F.lit("0 "), (F.col("s_suppkey") * 100).cast("string"), F.lit(" "), "s_name")).alias("said"))
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, i - 1 AS seq, (i * 100)::BIGINT AS start, (i * 100 + 100)::BIGINT AS \"end\", 'p' || i AS label FROM nation, unnest(range(1, 4)) AS t(i) GROUP BY ALL")
+def alignment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment files, one a region, written and read; a line with fewer fields is left out."""
+    path = scratch(spark, "aligned")
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat_ws(" ", i * 100, i * 100 + 100, F.concat(F.lit("p"), i.cast("string")))), "\n")
+    regions = read(spark, sf_dir, "nation").select("n_regionkey").distinct()
+    regions.select("n_regionkey", F.concat(lines, F.lit("\nbroken")).alias("value")).write.partitionBy("n_regionkey").text(path)
+    d = readers.alignments(spark, path)
+    return rounded(d.select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("long").alias("n_regionkey"), "seq", "start", "end", "label"))
+
+
+def _packed(files: DataFrame, tar: bool) -> DataFrame:
+    """(path, content) of WAV files, or of tar archives with one each, made from (utt_id, samples as 16-bit numbers)."""
+
+    def run(batches):
+        import io
+        import tarfile
+        import wave
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for utt, samples in zip(batch["utt_id"], batch["samples"], strict=True):
+                out = io.BytesIO()
+                with wave.open(out, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(16000)
+                    w.writeframes(np.asarray(samples, "<i2").tobytes())
+                raw = out.getvalue()
+                if tar:
+                    out = io.BytesIO()
+                    with tarfile.open(fileobj=out, mode="w:gz") as t:
+                        entry = tarfile.TarInfo(f"clips/{utt}.wav")
+                        entry.size = len(raw)
+                        t.addfile(entry, io.BytesIO(raw))
+                    raw = out.getvalue()
+                rows.append((f"{utt}.wav", raw))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return files.mapInPandas(run, "path string, content binary")
+
+
+_PCM = "SELECT vec_id::VARCHAR AS utt_id, 64::BIGINT AS n, round(list_sum(list_transform(embedding, lambda v: abs(trunc(greatest(least(v, 1), -1)::DOUBLE * 10000) / 32768.0))), 6) AS total FROM embeddings"
+
+
+def _pcm(spark: SparkSession, sf_dir: str, tar: bool) -> DataFrame:
+    return _packed(signals(spark, sf_dir).select("utt_id", F.transform("samples", lambda v: (F.greatest(F.least(v, F.lit(1.0)), F.lit(-1.0)) * 10000).cast("int")).alias("samples")), tar)
+
+
+def _heard(d: DataFrame) -> DataFrame:
+    total = F.aggregate(F.transform("samples", F.abs), F.lit(0.0), lambda a, b: a + b)
+    return rounded(d.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).alias("utt_id"), F.size("samples").cast("long").alias("n"), total.alias("total")))
+
+
+@query(_PCM)
+def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings written as WAV and decoded."""
+    return _heard(readers.decoded(_pcm(spark, sf_dir, False)))
+
+
+@query(_PCM)
+def tar_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings taken out of compressed archives and decoded."""
+    found = readers.members(_pcm(spark, sf_dir, True), ".wav")
+    return _heard(readers.decoded(found.select(F.col("name").alias("path"), "content")))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey FROM supplier")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON objects and back."""
+    d = writers.to_json_records(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), ["s_suppkey"])
+    return rounded(d.select("s_suppkey", F.from_json("json", "s_name string, s_nationkey long").alias("j")).select("s_suppkey", "j.*"))
+
+
+@query("SELECT user_id, 'a' AS feature, round(avg(value), 6) AS x, count(value) AS cov FROM events GROUP BY 1")
+def flattened_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of features and coverage as columns."""
+    g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.count("value").alias("c"))
+    d = writers.flatten(g.select("user_id", F.create_map(F.lit("a"), "v").alias("features"), F.create_map(F.lit("a"), "c").alias("coverage")), ["a", "b"])
+    return rounded(d.where("b is null").select("user_id", F.lit("a").alias("feature"), F.col("a").alias("x"), F.col("cov_a").alias("cov")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsgrain.functions import scalars
-from obsgrain.operators import hurdle, info, resample, spectrum, stats, sweep
+from obsgrain.operators import analysis, classify, hurdle, info, resample, spectrum, stats, sweep
+from obsgrain.operators.cuts import cut
 from obsgrain.plans.registry import query, rounded
-from obsgrain.plans.tables import OBS_D, OBS_L, hurdle_z, obs_d, obs_l, read
+from obsgrain.plans.tables import OBS_D, OBS_L, hurdle_z, long_form, obs_d, obs_l, read
 
 _MOMENTS = "m AS (SELECT feature, entity, count(x) AS n, avg(x) AS mean, var_pop(x) * count(x) AS ss FROM obs WHERE x IS NOT NULL GROUP BY ALL)"
 _FISHER = (
@@ -34,14 +35,16 @@ def fisher_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(CASE WHEN sigma_w2 > 0 THEN sigma_b2 / sigma_w2 END, 6) AS f_star, round(sqrt(CASE WHEN sigma_w2 > 0 THEN sigma_b2 / sigma_w2 END), 6) AS root, round(CASE WHEN sigma_w2 > 0 THEN msb / sigma_w2 END, 6) AS f FROM fisher"
 )
 def fisher_table_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stats.variance_components(obs_d(spark, sf_dir), anova=True)
+    c = stats.variance_components(obs_d(spark, sf_dir, once=True), anova=True)
     return rounded(c.join(spectrum.fisher_order(c), "feature").select("k", "feature", "f_star", F.sqrt("f_star").alias("root"), "f"))
 
 
 @query(None)
 def fisher_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANOVA F and its tail probability; one row a feature reaches the driver."""
-    rows = stats.variance_components(obs_d(spark, sf_dir), anova=True).orderBy("feature").limit(10_000).collect()
+    rows = stats.variance_components(obs_d(spark, sf_dir), anova=True).orderBy("feature").limit(spectrum.MOST_FEATURES + 1).collect()
+    if len(rows) > spectrum.MOST_FEATURES:
+        raise ValueError(f"more than {spectrum.MOST_FEATURES} features")
     p = [(r["feature"], r["f"], None if r["f"] is None else stats.f_tail(r["f"], r["s"] - 1, r["n"] - r["s"])) for r in rows]
     return spark.createDataFrame(p, "feature string, f double, p double")
 
@@ -83,8 +86,6 @@ _LOGS = "obs AS (SELECT c_nationkey::VARCHAR AS entity, c_custkey AS obs_id, f A
 
 
 def obs_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from obsgrain.plans.tables import long_form
-
     d = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("entity"), F.col("c_custkey").alias("obs_id"), "c_acctbal")
     return long_form(d, ["entity", "obs_id"], {"balance": F.col("c_acctbal"), "log": scalars.transform(F.col("c_acctbal"), "log")})
 
@@ -108,7 +109,7 @@ def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(v > 1e-18 AND abs(skew) > 2 AND lv > 1e-18 AND abs(skew_log) < abs(skew), false) AS log_helps, n_neg > 0 AS has_negative FROM d JOIN mo USING (feature)"
 )
 def zero_inflation_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.zero_inflation(obs_d(spark, sf_dir)))
+    return rounded(stats.zero_inflation(obs_d(spark, sf_dir, once=True)))
 
 
 @query(f"WITH {OBS_D} SELECT entity, feature, round(avg(x), 6) AS x FROM obs GROUP BY ALL")
@@ -137,7 +138,7 @@ _EXACT = (
 
 @query(f"WITH {OBS_D}, {_bins(5)} SELECT feature, bin::BIGINT AS bin, count(*)::BIGINT AS n FROM b GROUP BY ALL")
 def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(info.quantile_bins(obs_d(spark, sf_dir), 5).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
+    return rounded(info.quantile_bins(obs_d(spark, sf_dir, once=True), 5).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
 _Z = OBS_D + ", z AS (SELECT * FROM obs WHERE feature = 'z')"
@@ -150,19 +151,19 @@ def hurdle_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OBS_D}, {_bins(5)}, {_ENTROPY} SELECT feature, n, n_bins::BIGINT AS n_bins, round(h, 6) AS h_cond FROM ent")
 def cond_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(info.conditional_entropy(info.quantile_bins(obs_d(spark, sf_dir), 5)))
+    return rounded(info.conditional_entropy(info.quantile_bins(obs_d(spark, sf_dir, once=True), 5)))
 
 
 @query(f"WITH {OBS_D}, {_bins(5)}, {_ENTROPY} SELECT feature, n, n_bins::BIGINT AS n_bins, round(log2(s) - h, 6) AS i_raw FROM ent, s")
 def mi_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir)
+    obs = obs_d(spark, sf_dir, once=True)
     return rounded(info.mutual_information(info.quantile_bins(obs, 5), info.entity_count(obs)))
 
 
 @query(f"WITH {OBS_D}, {_bins(5)}, {_ENTROPY}, {_EXACT} SELECT feature, n, n_bins::BIGINT AS n_bins, round(i_raw, 6) AS i_raw, round(i_null, 6) AS i_null, round(greatest(i_raw - i_null, 0), 6) AS i_corrected FROM mi")
 def mi_exact_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir)
-    b, s = info.quantile_bins(obs, 5), info.entity_count(obs)
+    obs = obs_d(spark, sf_dir, once=True)
+    b, s = cut(info.quantile_bins(obs, 5)), info.entity_count(obs)
     return rounded(info.corrected(info.mutual_information(b, s), info.exact_null(b, s)))
 
 
@@ -176,22 +177,22 @@ _PERMS = 5
     "nb AS (SELECT *, sum(c) OVER (PARTITION BY feature, p, bin) AS nb FROM cell), h AS (SELECT feature, p, -sum(c * log2(c / nb)) / sum(c) AS h FROM nb GROUP BY ALL) SELECT feature, round(avg(log2(s) - h), 6) AS i_null FROM h, s GROUP BY 1"
 )
 def mi_hash_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir).where("feature in ('e', 'log_chars')")
+    obs = obs_d(spark, sf_dir, ["e", "log_chars"])
     return rounded(info.hashed_null(info.quantile_bins(obs, 5), info.entity_count(obs), _PERMS))
 
 
 @query(None)
 def mi_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The null of all features over the reference's 200 permutations; mi_hash_null is the part of it that SQL repeats."""
-    obs = obs_d(spark, sf_dir)
-    return rounded(info.hashed_null(info.quantile_bins(obs, 5), info.entity_count(obs), 200))
+    """The null of all features over the reference's 200 permutations, drawn as tables; mi_hash_null has permutations that SQL repeats."""
+    obs = obs_d(spark, sf_dir, once=True)
+    return rounded(info.sampled_null(cut(info.quantile_bins(obs, 5)), info.entity_count(obs), 200))
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {OBS_D}, {_bins(n)}, {_ENTROPY}, {_EXACT} SELECT {n}::BIGINT AS nbin, round(sum(greatest(i_raw - i_null, 0)), 6) AS summed, count(*)::BIGINT AS features FROM mi)" for n in (2, 5)))
 def summed_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, out = obs_d(spark, sf_dir), None
+    obs, out = obs_d(spark, sf_dir, once=True), None
     for n in (2, 5):
-        b, s = info.quantile_bins(obs, n), info.entity_count(obs)
+        b, s = cut(info.quantile_bins(obs, n)), info.entity_count(obs)
         one = info.corrected(info.mutual_information(b, s), info.exact_null(b, s)).agg(F.lit(n).cast("long").alias("nbin"), F.sum("i_corrected").alias("summed"), F.count(F.lit(1)).alias("features"))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
@@ -199,7 +200,7 @@ def summed_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OBS_D.replace('obs AS', 'o AS')}, obs AS (SELECT * FROM o WHERE feature = 'z'), b AS (SELECT *, (x > 0)::INT AS bin FROM obs WHERE x IS NOT NULL), {_ENTROPY}, {_EXACT} SELECT n, round(i_raw, 6) AS i_raw, round(greatest(i_raw - i_null, 0), 6) AS i_corrected FROM mi")
 def presence_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir).where("feature = 'z'")
+    obs = obs_d(spark, sf_dir, ["z"], once=True)
     b = obs.where("x is not null").withColumn("bin", (F.col("x") > 0).cast("int"))
     s = info.entity_count(obs)
     return rounded(info.corrected(info.mutual_information(b, s), info.exact_null(b, s)).select("n", "i_raw", "i_corrected"))
@@ -219,7 +220,7 @@ def hurdle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HURDLE}, t AS (SELECT avg(present::INT) AS phi, coalesce(var_pop(CASE WHEN present THEN v END), 0) AS vp, coalesce(avg(CASE WHEN present THEN v END), 0) AS ep, var_pop(v) AS direct FROM hu) SELECT round(phi, 6) AS phi, round(phi * vp, 6) AS within, round(phi * (1 - phi) * ep * ep, 6) AS \"between\", round(phi * vp + phi * (1 - phi) * ep * ep, 6) AS var, round(direct, 6) AS direct FROM t")
 def hurdle_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(hurdle.variance(hurdle.fit(hurdle_z(spark, sf_dir))))
+    return rounded(hurdle.variance(hurdle.fit(cut(hurdle_z(spark, sf_dir)))))
 
 
 _MEANS = "means AS (SELECT entity, feature, avg(x) AS x FROM obs GROUP BY ALL)"
@@ -227,8 +228,9 @@ _MEANS = "means AS (SELECT entity, feature, avg(x) AS x FROM obs GROUP BY ALL)"
 
 @query(f"WITH {_HURDLE}, {_MEANS} SELECT feature, round(covar_pop(v, x), 6) AS cov FROM hu JOIN means USING (entity) WHERE feature <> 'z' GROUP BY 1")
 def hurdle_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir)
-    return rounded(hurdle.covariance(hurdle.fit(hurdle_z(spark, sf_dir)), spectrum.entity_means(obs.where("feature <> 'z'"))))
+    obs = obs_d(spark, sf_dir, once=True)
+    h = cut(hurdle.fit(obs.where("feature = 'z'").drop("feature")))
+    return rounded(hurdle.covariance(h, spectrum.entity_means(obs.where("feature <> 'z'"))))
 
 
 @query(f"WITH {_HURDLE} SELECT obs_id, CASE WHEN x > 0 THEN 1 WHEN x = 0 THEN 2 ELSE 3 END::BIGINT AS state, round(CASE WHEN x > 0 THEN (ln(x) - mu) / sd WHEN x = 0 THEN 0 END, 6) AS z FROM z, st")
@@ -245,8 +247,10 @@ def pairwise_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectrum.pairwise_covariance(spectrum.entity_means(obs_d(spark, sf_dir))), 8)
 
 
-def _corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum.correlation(spectrum.screen(spectrum.pairwise_covariance(spectrum.entity_means(obs_d(spark, sf_dir)))))
+def _corr(spark: SparkSession, sf_dir: str, obs: DataFrame | None = None) -> DataFrame:
+    """The covariance table, one row a pair of features, is written once: the screen and both variances read it again."""
+    cov = cut(spectrum.pairwise_covariance(spectrum.entity_means(obs if obs is not None else obs_d(spark, sf_dir))))
+    return spectrum.correlation(spectrum.screen(cov))
 
 
 @query(f"WITH {OBS_D}, {_MEANS}, {_COV}, {_SCREEN} SELECT i, j, round(r, 6) AS r FROM r")
@@ -262,23 +266,37 @@ def participation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectrum.participation_ratio(_corr(spark, sf_dir)))
 
 
-@query(
+_INCREMENTAL = (
     f"WITH {OBS_D}, {_MEANS}, {_COV}, {_SCREEN}, {_FISHER}, o AS (SELECT feature, row_number() OVER (ORDER BY CASE WHEN sigma_w2 > 0 THEN sigma_b2 / sigma_w2 END DESC NULLS LAST, feature) AS k FROM fisher WHERE feature IN (SELECT f FROM kp)), "
     "sh AS (SELECT greatest(a.k, b.k) AS k, sum(CASE WHEN i = j THEN r * r ELSE 2 * r * r END) AS s FROM r JOIN o a ON i = a.feature JOIN o b ON j = b.feature GROUP BY 1), c AS (SELECT k, k * k / sum(s) OVER (ORDER BY k) AS pr FROM sh) "
-    "SELECT k, feature, round(pr, 6) AS pr, round(pr - lag(pr) OVER (ORDER BY k), 6) AS gain FROM c JOIN o USING (k)"
 )
+
+
+@query(_INCREMENTAL + "SELECT k, feature, round(pr, 6) AS pr, round(pr - lag(pr) OVER (ORDER BY k), 6) AS gain FROM c JOIN o USING (k)")
 def pr_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, corr = obs_d(spark, sf_dir), _corr(spark, sf_dir)
+    obs = obs_d(spark, sf_dir, once=True)
+    corr = cut(_corr(spark, sf_dir, obs))
     kept = stats.variance_components(obs).join(corr.where("i = j").select(F.col("i").alias("feature")), "feature", "left_semi")
     return rounded(spectrum.incremental(corr, spectrum.fisher_order(kept)))
 
 
-def _with_hurdle(spark: SparkSession, sf_dir: str, column: str | None) -> DataFrame:
-    """Entity means, the feature z replaced by a column of its hurdle fit or left out."""
-    means = spectrum.entity_means(obs_d(spark, sf_dir)).where("feature <> 'z'")
-    if column:
-        means = means.unionByName(hurdle.fit(hurdle_z(spark, sf_dir)).select("entity", F.lit("z").alias("feature"), F.col(column).alias("x")))
-    return spectrum.participation_ratio(spectrum.correlation(spectrum.screen(spectrum.pairwise_covariance(means))))
+@query(_INCREMENTAL + "SELECT min(k) AS k FROM (SELECT k, pr - lag(pr) OVER (ORDER BY k) AS gain FROM c) WHERE k >= 2 AND gain < 0.2")
+def pr_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first number of features that adds less than 0.2 to the participation ratio."""
+    obs = obs_d(spark, sf_dir, once=True)
+    corr = cut(_corr(spark, sf_dir, obs))
+    kept = stats.variance_components(obs).join(corr.where("i = j").select(F.col("i").alias("feature")), "feature", "left_semi")
+    return spectrum.saturation(spectrum.incremental(corr, spectrum.fisher_order(kept)), 0.2)
+
+
+def _hurdle_means(spark: SparkSession, sf_dir: str, option: str) -> DataFrame:
+    return analysis.option_means(obs_d(spark, sf_dir, once=True), "z", option)
+
+
+def _with_hurdle(spark: SparkSession, sf_dir: str, option: str) -> DataFrame:
+    """Of entity means with the feature z replaced by its hurdle fit or left out."""
+    cov = cut(spectrum.pairwise_covariance(_hurdle_means(spark, sf_dir, option)))
+    return spectrum.participation_ratio(spectrum.correlation(spectrum.screen(cov)))
 
 
 def _pr_sql(column: str | None) -> str:
@@ -288,34 +306,86 @@ def _pr_sql(column: str | None) -> str:
 
 @query(_pr_sql("v"))
 def pr_option_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_with_hurdle(spark, sf_dir, "v"))
+    return rounded(_with_hurdle(spark, sf_dir, "C"))
 
 
 @query(_pr_sql("r"))
 def pr_option_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_with_hurdle(spark, sf_dir, "r"))
+    return rounded(_with_hurdle(spark, sf_dir, "B"))
 
 
 @query(_pr_sql(None))
 def pr_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_with_hurdle(spark, sf_dir, None))
+    return rounded(_with_hurdle(spark, sf_dir, "none"))
 
 
 @query(None)
 def effective_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """90 % variance and spectral-entropy dimensions and condition number of the correlation matrix."""
-    names, m = spectrum.matrix(_corr(spark, sf_dir), "r")
+    names, m = spectrum.matrix(cut(_corr(spark, sf_dir)), "r")
     return spark.createDataFrame([(len(names), *map(float, spectrum.dimensions(spectrum.clip_psd(m)).values()))], "p long, pr double, dim90 double, entropy_dim double, condition double")
 
 
-@query(None)
+_RATIO = "va AS (SELECT rep, i AS f, cov AS v FROM cv WHERE i = j AND cov > 1e-24), rr AS (SELECT c.rep, i, j, cov * cov / (p.v * q.v) AS r2 FROM cv c JOIN va p ON p.rep = c.rep AND p.f = i JOIN va q ON q.rep = c.rep AND q.f = j), pr AS (SELECT rep, count_if(i = j) ** 2 / sum(CASE WHEN i = j THEN r2 ELSE 2 * r2 END) AS pr FROM rr GROUP BY 1)"
+_INTERVAL = "SELECT round(avg(pr), 4) AS mean, round(quantile_cont(pr, 0.025), 4) AS low, round(quantile_cont(pr, 0.975), 4) AS high FROM pr"
+
+
+def _deal(n: int) -> str:
+    """deal(rep, obs_id, entity): labels dealt anew n times."""
+    return (
+        "lab AS (SELECT DISTINCT obs_id, entity FROM obs), own AS (SELECT entity, row_number() OVER (ORDER BY obs_id) AS k FROM lab), "
+        f"perm AS (SELECT obs_id, rep, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep::VARCHAR || ':' || obs_id::VARCHAR), obs_id) AS k FROM lab CROSS JOIN (SELECT unnest(range({n})) AS rep)), deal AS (SELECT rep, obs_id, own.entity FROM perm JOIN own USING (k))"
+    )
+
+
+@query(
+    f"WITH {_HURDLE}, means AS (SELECT entity, feature, avg(x) AS x FROM obs WHERE feature <> 'z' GROUP BY ALL UNION ALL SELECT entity, 'z', v FROM hu), mn AS (SELECT * FROM means WHERE x IS NOT NULL), "
+    f"u AS (SELECT DISTINCT entity, rep, ('0x' || substr(md5('0:' || rep::VARCHAR || ':' || entity), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM mn CROSS JOIN (SELECT unnest(range(1000)) AS rep)), w AS (SELECT entity, rep, len(list_filter({resample._POISSON}::DOUBLE[], lambda p: u >= p)) AS w FROM u), "
+    "pa AS (SELECT a.entity, a.feature AS i, b.feature AS j, a.x AS a, b.x AS b FROM mn a JOIN mn b ON a.entity = b.entity AND a.feature <= b.feature), "
+    f"cv AS (SELECT rep, i, j, sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * (sum(w * b) / sum(w)) AS cov FROM pa JOIN w USING (entity) WHERE w > 0 GROUP BY ALL), {_RATIO} {_INTERVAL}"
+)
 def pr_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.interval(resample.pr_bootstrap(spectrum.entity_means(obs_d(spark, sf_dir)), 1000))
+    """Of entity means with the hurdle composite, as the reference's 1000 resamples."""
+    return rounded(resample.interval(resample.pr_bootstrap(_hurdle_means(spark, sf_dir, "C"), 1000)), 4)
 
 
-@query(None)
+@query(
+    f"WITH {OBS_D}, {_deal(200)}, mn AS (SELECT rep, deal.entity, feature, avg(x) AS x FROM obs JOIN deal USING (obs_id) WHERE x IS NOT NULL GROUP BY ALL), "
+    f"cv AS (SELECT a.rep, a.feature AS i, b.feature AS j, covar_pop(a.x, b.x) AS cov FROM mn a JOIN mn b ON a.rep = b.rep AND a.entity = b.entity AND a.feature <= b.feature GROUP BY ALL), {_RATIO} {_INTERVAL}"
+)
 def pr_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.interval(resample.pr_null(obs_d(spark, sf_dir), 200))
+    return rounded(resample.interval(resample.pr_null(obs_d(spark, sf_dir, once=True), 200)), 4)
+
+
+@query(
+    f"WITH {OBS_D}, {_deal(20)}, g AS (SELECT rep, feature, deal.entity, count(x) AS n, avg(x) AS mean, var_pop(x) * count(x) AS ss FROM obs JOIN deal USING (obs_id) WHERE x IS NOT NULL GROUP BY ALL), t AS (SELECT rep, feature, sum(n) AS nn, count(*) AS s, sum(n * n) AS n2, sum(n * mean) AS t1, sum(n * mean * mean) AS t2, sum(ss) AS ssw FROM g GROUP BY ALL), "
+    "u AS (SELECT greatest(t2 - t1 * t1 / nn, 0) / nullif(s - 1, 0) AS msb, ssw / nullif(nn - s, 0) AS msw, (nn - n2 / nn) / nullif(s - 1, 0) AS n0 FROM t), v AS (SELECT greatest((msb - msw) / n0, 0) / nullif(msw, 0) AS f FROM u) SELECT round(avg(f), 6) AS mean, round(max(f), 6) AS most, count(f) AS n FROM v"
+)
+def fstar_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F* under 20 dealings of the labels, over all features."""
+    return rounded(resample.fstar_null(obs_d(spark, sf_dir, once=True), 20))
+
+
+@query(f"WITH {OBS_D} SELECT 0.0::DOUBLE AS most, count(DISTINCT feature) AS features FROM obs WHERE x IS NOT NULL")
+def fisher_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F* does not change when features are centred and scaled."""
+    return rounded(stats.fisher_invariance(obs_d(spark, sf_dir, once=True)))
+
+
+@query(
+    f"WITH {OBS_D}, {_MEANS}, full_ AS (SELECT entity FROM means WHERE x IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT feature) FROM means)), mn AS (SELECT * FROM means WHERE entity IN (SELECT entity FROM full_)), cov AS (SELECT a.feature AS i, b.feature AS j, covar_samp(a.x, b.x) AS cov FROM mn a JOIN mn b ON a.entity = b.entity AND a.feature <= b.feature GROUP BY ALL), "
+    "v AS (SELECT i AS f, greatest(cov, 1e-300) AS v FROM cov WHERE i = j) SELECT i, j, round(cov / sqrt(p.v * q.v), 6) AS r FROM cov JOIN v p ON i = p.f JOIN v q ON j = q.f"
+)
+def corr_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample correlation over entities that have every feature."""
+    cov = cut(spectrum.pairwise_covariance(spectrum.complete(cut(spectrum.entity_means(obs_d(spark, sf_dir)))), ddof=1))
+    return rounded(spectrum.correlation(cov))
+
+
+@query(None)
+def corr_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairwise correlation without negative eigenvalues."""
+    return rounded(spectrum.repaired(cut(_corr(spark, sf_dir))))
 
 
 _ORDER = "ord AS (SELECT stratum, entity, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || entity), entity) AS rank FROM (SELECT DISTINCT stratum, entity FROM obs))"
@@ -323,17 +393,17 @@ _ORDER = "ord AS (SELECT stratum, entity, row_number() OVER (PARTITION BY stratu
 
 @query(f"WITH {OBS_D.replace('obs AS', 'o AS')}, obs AS (SELECT * FROM o WHERE feature = 'e'), {_ORDER} SELECT stratum, entity, obs_id FROM (SELECT o.*, row_number() OVER (PARTITION BY stratum, entity ORDER BY obs_id) AS k FROM obs o JOIN ord USING (stratum, entity) WHERE rank <= 5) WHERE k <= 4")
 def nested_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.nested_subset(obs_d(spark, sf_dir).where("feature = 'e'"), 5, 4).select("stratum", "entity", "obs_id")
+    return resample.nested_subset(obs_d(spark, sf_dir, ["e"]), 5, 4).select("stratum", "entity", "obs_id")
 
 
 @query(f"WITH {OBS_D} SELECT entity, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY obs_id) AS k FROM obs WHERE feature = 'e') WHERE k <= 3")
 def top_m_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.top_per_group(obs_d(spark, sf_dir).where("feature = 'e'"), ["entity"], ["obs_id"], 3).select("entity", "obs_id")
+    return resample.top_per_group(obs_d(spark, sf_dir, ["e"]), ["entity"], ["obs_id"], 3).select("entity", "obs_id")
 
 
 @query(f"WITH {OBS_D} SELECT obs_id, ((row_number() OVER (PARTITION BY entity ORDER BY md5('0:' || obs_id::VARCHAR), obs_id) - 1) % 5)::BIGINT AS fold FROM obs WHERE feature = 'e'")
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.folds(obs_d(spark, sf_dir).where("feature = 'e'"), 5).select("obs_id", "fold")
+    return resample.folds(obs_d(spark, sf_dir, ["e"]), 5).select("obs_id", "fold")
 
 
 _GRID = [4, 8, 16]
@@ -356,11 +426,93 @@ def scaling_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweep.slopes(sweep.participation_ratios(sweep.replicate(obs_d(spark, sf_dir), _GRID, 10)), "s", ["pr", "ceiling"]))
 
 
+@query(
+    f"{_SWEEP[: _SWEEP.index(', mn AS')]}, obs2 AS (SELECT size::VARCHAR || ':' || feature AS feature, entity, obs_id, x FROM rep), {_bins(5).replace('obs', 'obs2')}, {_ENTROPY.replace('FROM obs)', 'FROM obs2)')}, {_EXACT} "
+    "SELECT split_part(feature, ':', 1)::BIGINT AS size, round(sum(greatest(i_raw - i_null, 0)), 6) AS summed_mi FROM mi GROUP BY 1"
+)
+def scaling_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed corrected information of each size of the sweep."""
+    return rounded(sweep.summed_information(cut(sweep.replicate(obs_d(spark, sf_dir, once=True), _GRID, 10)), 5))
+
+
+@query(None)
+def scaling_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR, summed information and held-out information of each size of the sweep."""
+    return rounded(sweep.measures(sweep.replicate(obs_d(spark, sf_dir, once=True), _GRID, 10), hurdle="z"))
+
+
+@query(None)
+def analysis_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is measured on the observation table, in one call with the reference's numbers of resamples and bins."""
+    return rounded(analysis.analyze(obs_d(spark, sf_dir).drop("stratum"), "z"))
+
+
+_TRIO = "obs AS (SELECT c_nationkey::VARCHAR AS entity, c_custkey AS obs_id, f AS feature, CASE f WHEN 'balance' THEN c_acctbal WHEN 'log' THEN CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END END AS x FROM customer CROSS JOIN (SELECT unnest(['balance', 'log', 'never']) AS f))"
+
+
+def obs_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances, their logarithms and a feature that is never measured."""
+    d = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("entity"), F.col("c_custkey").alias("obs_id"), "c_acctbal")
+    return long_form(d, ["entity", "obs_id"], {"balance": F.col("c_acctbal"), "log": scalars.transform(F.col("c_acctbal"), "log"), "never": F.lit(None).cast("double")})
+
+
+@query(f"WITH {_TRIO}, {_bins(5)}, {_ENTROPY}, {_EXACT}, q AS (SELECT feature, count_if(x IS NULL) AS miss FROM obs GROUP BY 1) SELECT feature, coalesce(n, 0)::BIGINT AS n, miss::BIGINT AS n_missing, coalesce(n_bins, 0)::BIGINT AS n_bins, round(coalesce(i_raw, 0), 6) AS i_raw, round(coalesce(i_null, 0), 6) AS i_null, round(coalesce(greatest(i_raw - i_null, 0), 0), 6) AS i_corrected FROM q LEFT JOIN mi USING (feature)")
+def mi_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information with the number of missing cells; zeros for a feature that is never measured."""
+    obs = cut(obs_trio(spark, sf_dir))
+    b, s = cut(info.quantile_bins(obs, 5)), info.entity_count(obs)
+    return rounded(info.with_empty(info.corrected(info.mutual_information(b, s), info.exact_null(b, s)), obs))
+
+
+@query(
+    f"WITH {_TRIO}, c AS (SELECT feature, avg((x IS NOT NULL)::INT) AS coverage, count_if(x IS NULL) AS miss, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS low, max(x) AS high FROM obs GROUP BY 1), g AS (SELECT feature, entity, avg(x) AS m, var_samp(x) AS v FROM obs WHERE x IS NOT NULL GROUP BY ALL), r AS (SELECT feature, var_samp(m) / nullif(avg(v), 0) AS ratio FROM g GROUP BY 1), "
+    "l AS (SELECT 'coverage' AS section, feature AS item, coverage AS value FROM c UNION ALL SELECT 'n_missing', feature, miss FROM c UNION ALL SELECT 'mean', feature, mean FROM c UNION ALL SELECT 'sd', feature, sd FROM c UNION ALL SELECT 'low', feature, low FROM c UNION ALL SELECT 'high', feature, high FROM c UNION ALL SELECT 'ratio', feature, ratio FROM r "
+    "UNION ALL SELECT 'counts', 'observations', count(DISTINCT obs_id) FROM obs UNION ALL SELECT 'counts', 'entities', count(DISTINCT entity) FROM obs UNION ALL SELECT 'counts', 'features', count(DISTINCT feature) FROM obs) SELECT section, item, round(value::DOUBLE, 6) AS value FROM l"
+)
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.qa_report(obs_trio(spark, sf_dir)))
+
+
+@query(f"WITH {_TRIO}, c AS (SELECT feature, entity, count(x) > 0 AS has FROM obs GROUP BY ALL), k AS (SELECT feature, bool_or(has) AS any_has FROM c GROUP BY 1), e AS (SELECT entity, bool_and(has OR NOT any_has) AS complete FROM c JOIN k USING (feature) GROUP BY 1) SELECT count(*) AS entities, count_if(complete)::BIGINT AS complete, (SELECT count(*) FROM k) AS features, (SELECT count_if(NOT any_has)::BIGINT FROM k) AS missing_everywhere FROM e")
+def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.entity_summary(obs_trio(spark, sf_dir)))
+
+
+@query(f"WITH {_TRIO}, c AS (SELECT feature, entity, count(x) > 0 AS has FROM obs GROUP BY ALL) SELECT feature, count_if(NOT has)::BIGINT AS failed, NOT bool_or(has) AS everywhere FROM c GROUP BY 1")
+def feature_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.feature_failures(obs_trio(spark, sf_dir)))
+
+
+@query(f"WITH {_Z}, f AS (SELECT *, (row_number() OVER (PARTITION BY entity ORDER BY md5('0:' || obs_id::VARCHAR), obs_id) - 1) % 5 AS fold FROM z) SELECT entity, round(coalesce(count_if(fold <> 0 AND x > 0)::DOUBLE / nullif(count_if(fold <> 0 AND x IS NOT NULL), 0), 0), 6) AS rate FROM f GROUP BY 1")
+def presence_rate_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's rate of positive values among the rows outside fold 0."""
+    return rounded(hurdle.presence_rate(resample.folds(obs_d(spark, sf_dir, ["z"]), 5), "fold <> 0"))
+
+
+_PREDICTED = "p AS (SELECT label::VARCHAR AS label, ((vec_id * 7) % 10)::VARCHAR AS predicted, (0.05 + (vec_id % 10) / 20.0)::DOUBLE AS q, (vec_id % 5) AS fold, CASE WHEN vec_id % 2 = 0 THEN 'one' ELSE 'two' END AS kind FROM embeddings), a AS (SELECT kind, fold, avg((label = predicted)::INT) AS acc, avg(log2(q)) AS lq FROM p GROUP BY ALL), b AS (SELECT kind, acc, log2(10) - (CASE WHEN acc > 0 AND acc < 1 THEN -(1 - acc) * log2(1 - acc) - acc * log2(acc) ELSE 0 END) - (1 - acc) * log2(9) AS f, log2(10) + lq AS x FROM a), s AS (SELECT kind, avg(acc) AS am, stddev_pop(acc) AS asd, avg(f) AS fm, stddev_pop(f) AS fsd, avg(x) AS xm, stddev_pop(x) AS xsd FROM b GROUP BY 1)"
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("string").alias("label"), (F.col("vec_id") * 7 % 10).cast("string").alias("predicted"), (0.05 + (F.col("vec_id") % 10) / 20.0).alias("q_true"), (F.col("vec_id") % 5).alias("fold"), F.when(F.col("vec_id") % 2 == 0, "one").otherwise("two").alias("kind"))
+
+
+@query(f"WITH {_PREDICTED} SELECT kind, round(am, 6) AS acc_mean, round(asd, 6) AS acc_sd, round(fm, 6) AS i_fano_mean, round(fsd, 6) AS i_fano_sd, round(xm, 6) AS i_xent_mean, round(xsd, 6) AS i_xent_sd FROM s")
+def fano_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation over folds of given predictions."""
+    return rounded(classify.summary(_predicted(spark, sf_dir), 10))
+
+
+@query(f"WITH {_PREDICTED} SELECT round(max(fm), 6) AS i_fano, round(max(xm), 6) AS i_xent FROM s")
+def fano_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(classify.headline(classify.summary(_predicted(spark, sf_dir), 10)))
+
+
 @query(f"WITH {OBS_D}, c AS (SELECT entity, obs_id FROM obs WHERE feature = 'e'), p AS (SELECT entity, count(*) AS n FROM c GROUP BY 1) SELECT n, count(*)::BIGINT AS groups FROM p GROUP BY 1")
 def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from obsgrain.operators.select import histogram_of_counts
 
-    return histogram_of_counts(obs_d(spark, sf_dir).where("feature = 'e'"), "entity")
+    return histogram_of_counts(obs_d(spark, sf_dir, ["e"]), "entity")
 
 
 @query(f"WITH {OBS_D.replace('obs AS', 'o AS')}, obs AS (SELECT entity, feature, CASE WHEN x > 0 THEN ln(x) END AS x FROM o), c AS (SELECT feature, entity, count(x) AS finite, count(*) AS n FROM obs GROUP BY ALL), a AS (SELECT feature, sum(finite) = 0 AS e FROM c GROUP BY 1) SELECT entity, feature, finite, n, CASE WHEN e THEN 'all' ELSE 'entity' END AS scope FROM c JOIN a USING (feature) WHERE finite = 0")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from obsgrain.functions.scalars import finite
+from obsgrain.operators.cuts import cut
 
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)]
 
@@ -20,14 +24,39 @@ def long_form(wide: DataFrame, keys: list[str], features: dict) -> DataFrame:
     return wide.select(*keys, F.explode(cells).alias("__c")).select(*keys, "__c.feature", "__c.x")
 
 
-def obs_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter frequencies and log length of documents, by language and last digit of the id."""
+@F.arrow_udf(ArrayType(IntegerType()))
+def letter_counts(text: pa.Array) -> pa.Array:
+    """How often each of the 26 letters occurs in each text, in one pass over the bytes."""
+    text = text.fill_null("").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    offs = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    counts = np.zeros((len(text), 26), np.int32)
+    for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        counts[k] = np.bincount(raw[a:b], minlength=123)[97:123]
+    return pa.ListArray.from_arrays(np.arange(0, 26 * len(text) + 1, 26, dtype=np.int32), pa.array(counts.ravel()))
+
+
+def obs_d(spark: SparkSession, sf_dir: str, features: list[str] | None = None, once: bool = False) -> DataFrame:
+    """Letter frequencies and log length of documents, by language and last digit of the id; only the given features.
+
+    once: written to the shared folder and read from there, for queries that read the table several times.
+    """
     d = read(spark, sf_dir, "documents").select(
         F.concat_ws("_", "lang", (F.col("doc_id") % 10).cast("string")).alias("entity"), (F.col("doc_id") % 2).cast("string").alias("stratum"), F.col("doc_id").alias("obs_id"), "text", "n_chars"
     )
-    n = F.nullif(F.length("text"), F.lit(0))
-    share = {c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))) / n for c in LETTERS}
-    return long_form(d, ["entity", "stratum", "obs_id"], share | {"log_chars": F.ln("n_chars")})
+    wanted = features or [*LETTERS, "log_chars"]
+    letters = [c for c in wanted if c in LETTERS]
+    keys = ["entity", "stratum", "obs_id"]
+    if len(letters) > 2:
+        d = d.select(*keys, F.nullif(F.length("text"), F.lit(0)).alias("n"), letter_counts("text").alias("counts"), "n_chars")
+        share = {c: F.get("counts", F.lit(LETTERS.index(c))) / F.col("n") for c in letters}
+    else:
+        # few letters are counted in the plan, without Python
+        n = F.nullif(F.length("text"), F.lit(0))
+        share = {c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))) / n for c in letters}
+    out = long_form(d, keys, share | ({"log_chars": F.ln("n_chars")} if "log_chars" in wanted else {}))
+    return cut(out) if once else out
 
 
 OBS_D = (
@@ -55,7 +84,7 @@ OBS_L = (
 
 def hurdle_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, stratum, obs_id, x): the frequency of the letter z, zero in most documents."""
-    return obs_d(spark, sf_dir).where("feature = 'z'").drop("feature")
+    return obs_d(spark, sf_dir, ["z"]).drop("feature")
 
 
 def seg(spark: SparkSession, sf_dir: str) -> DataFrame:

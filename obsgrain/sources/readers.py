@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,16 @@ def listed(column: str, sep: str = ",") -> Column:
 
 
 def priority_files(spark: SparkSession, paths: list[str], key: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Several tables in order: of rows with one key the last file's wins; only wanted keys."""
+    """Several tables in order: of rows with one key the last file's wins (within a file the first by its columns); only wanted keys."""
     out = None
     for k, p in enumerate(paths):
         one = tsv(spark, p, tolerant=True).withColumn("__k", F.lit(k))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if wanted is not None:
         out = out.join(wanted.select(key).distinct(), key, "left_semi")
-    return out.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__k")))).where("__r = 1").drop("__k", "__r")
+    rest = [c for c in out.columns if c not in (key, "__k")]
+    best = out.groupBy(key).agg(F.min(F.struct((-F.col("__k")).alias("__k"), *rest)).alias("__b"))
+    return best.select(key, *[F.col(f"__b.{c}").alias(c) for c in rest]).select(*[c for c in out.columns if c != "__k"])
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -98,18 +100,62 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
     return raw[: len(raw) // channels * channels].reshape(-1, channels).mean(1) / full, rate
 
 
-def recordings(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """path, samples, sample_rate, duration, decode_ok, error of every recording; one that fails is a row, not an exception."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+def decoded(files: DataFrame) -> DataFrame:
+    """path, samples, sample_rate, duration, decode_ok, error of every file (path, content); one that fails is a row, not an exception."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for p, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     x, rate = decode(content)
-                    row = (p, x.tolist(), rate, len(x) / rate, True, None)
+                    rows.append((p, x.tolist(), rate, len(x) / rate, True, None))
                 except Exception as e:  # a broken file is reported in its row
-                    row = (p, [], 0, 0.0, False, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=["path", "samples", "sample_rate", "duration", "decode_ok", "error"])
+                    rows.append((p, [], 0, 0.0, False, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "samples", "sample_rate", "duration", "decode_ok", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, samples array<double>, sample_rate int, duration double, decode_ok boolean, error string")
+
+
+def recordings(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+    """decoded() of every recording under a folder."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
+
+
+def members(archives: DataFrame, suffix: str = "") -> DataFrame:
+    """archive, name, content of the regular files in tar archives (path, content), plain or compressed, whose names end with suffix.
+
+    Members are taken out one after the other; an archive that cannot be read gives a row with its error as name and no content.
+    """
+    import tarfile
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                        for m in tar:
+                            if m.isfile() and m.name.endswith(suffix):
+                                yield pd.DataFrame([(p, m.name, tar.extractfile(m).read())], columns=["archive", "name", "content"])
+                except tarfile.TarError as e:
+                    yield pd.DataFrame([(p, f"{type(e).__name__}: {e}", None)], columns=["archive", "name", "content"])
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+
+
+def tar_members(spark: SparkSession, path: str, glob: str = "*.tar*", suffix: str = "") -> DataFrame:
+    """members() of every archive under a folder."""
+    return members(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path), suffix)
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """A JSON configuration, read by Spark so that it may lie in any store."""
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
 
-    return files.mapInPandas(run, "path string, samples array<double>, sample_rate int, duration double, decode_ok boolean, error string")
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, name, length of the files under a folder; contents are not read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")

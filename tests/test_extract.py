@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from obsgrain.operators import extract
 
@@ -42,3 +43,24 @@ def test_extract_reports_failures(spark):
     out = {r["utt_id"]: r for r in extract.extract(d).collect()}
     assert out[1]["error"] is None and out[1]["F0"] == pytest.approx(120, rel=0.02) and out[1]["cov_F0"] > 5
     assert out[2]["F0"] is None and out[2]["cov_F0"] == 0
+
+
+def test_voiced_utterances_always_have_a_share_of_creak():
+    """Too few voiced frames for a mean: the share is 0 with their number as coverage; without any it is missing."""
+    x = np.concatenate([voice(0.05), np.random.default_rng(0).normal(0, 0.05, 16000)])
+    got = extract.features(x, [(0, 800, "aa"), (800, len(x), "s")])
+    assert got["VFI"][0] == 0 and 0 < got["VFI"][1] < extract.LEAST
+    assert np.isnan(extract.features(x, [(0, len(x), "s")])["VFI"][0])
+
+
+def test_formants_and_creak_from_outside(spark):
+    x = voice(0.4)
+    frames = 1 + (len(x) - 400) // 160
+    rows = [(k, x.tolist(), "M", [(0, len(x), "aa")], [[600.0, 1200.0, None, 3500.0]] * frames if k else None, [(0.1, 0.2)] if k else None) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "utt_id long, samples array<double>, sex string, phones array<struct<start:long,end:long,label:string>>, formants array<array<double>>, creak array<struct<start:double,end:double>>")
+    out = {r["utt_id"]: r for r in extract.extract(d).collect()}
+    assert out[1]["error"] is None and out[1]["F1"] == 600 and out[1]["F2"] == 1200 and out[1]["F3"] is None and 0.15 < out[1]["VFI"] < 0.4
+    assert out[0]["VFI"] == 0 and out[0]["F1"] != 600
+    q = extract.recording_quality(d).collect()
+    assert len(q) == 2 and all(r["clip_pct"] == 0 and r["bandwidth_hz"] > 100 for r in q)
+    assert extract.recording_quality(d.withColumn("samples", F.lit(None).cast("array<double>"))).first()["snr_db"] is None

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsgrain.functions import scalars
-from obsgrain.operators import classify, frames, hurdle, info, kernels, resample, segments, select, spectrum, stats
+from obsgrain.operators import analysis, classify, cuts, frames, hurdle, info, kernels, ranks, resample, segments, select, spectrum, stats, sweep
 from obsgrain.sources import readers, writers
 
 
@@ -227,3 +227,214 @@ def test_resumable_stream(spark, tmp_path):
         q = resumable(spark.readStream.schema("id long").parquet(src), lambda d: d.where("id % 2 = 0"), str(tmp_path / "out"), str(tmp_path / "state"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+# -- ranks and quantiles
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_ranks_by_ranges(spark, by):
+    """Also of a group that lies in many ranges, and of the null group."""
+    rng = np.random.default_rng(0)
+    rows = [(str(int(rng.integers(0, 3))) if k % 10 else None, float(v)) for k, v in enumerate(rng.permutation(500))] + [("hot", float(1000 + k)) for k in range(700)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = ranks.ranked(d, ["v"], by).collect()
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g if by else "", []).append(v)
+    want = {(g, v): k + 1 for g, vs in groups.items() for k, v in enumerate(sorted(vs))}
+    assert len(got) == len(rows) and all(r["k"] == want[r["g"] if by else "", r["v"]] for r in got)
+    assert ranks.ranked(d.limit(0), ["v"], by).count() == 0
+
+
+def test_quantiles_by_ranks_are_the_aggregates(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"g{k % 4}" if k % 9 else None, None if k % 11 == 0 else float(round(rng.normal(), 1))) for k in range(900)] + [("one", 3.5), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    for by in ((), ("g",)):
+        a, b = ({(r["g"] if by else ""): list(r["q"]) for r in ranks.quantiles(d, "v", probs, by, m).collect()} for m in ("aggregate", "ranked"))
+        assert a.keys() == b.keys() and all(b[g] == pytest.approx(a[g], abs=1e-12) for g in a)
+
+
+def test_bounded(spark, monkeypatch):
+    monkeypatch.setattr(cuts, "BROADCAST_ROWS", 3)
+    assert "hint" in cuts.bounded(spark.range(3))._jdf.queryExecution().logical().toString().lower() or "broadcast" in cuts.bounded(spark.range(3))._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in cuts.bounded(spark.range(4))._jdf.queryExecution().logical().toString().lower()
+
+
+# -- resampling
+
+
+def test_sampled_null_of_a_small_table(spark):
+    d = spark.createDataFrame([("f", str(k % 3), k % 2, k) for k in range(12)] + [("g", "only", 0, k) for k in range(5)], "feature string, entity string, bin int, obs_id long")
+    got = {r["feature"]: r["i_null"] for r in info.sampled_null(d, info.entity_count(d), 3000).collect()}
+    want = {r["feature"]: r["i_null"] for r in info.exact_null(d, info.entity_count(d)).collect()}
+    assert got["f"] == pytest.approx(want["f"], abs=0.02) and got["g"] == pytest.approx(want["g"])
+
+
+def test_bootstrap_by_brute_force(spark):
+    import hashlib
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 4))
+    x[3, 1] = np.nan
+    means = spark.createDataFrame([(f"e{i}", f"f{j}", None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(30) for j in range(4)], "entity string, feature string, x double")
+    got = {r["replicate"]: r["pr"] for r in resample.pr_bootstrap(means, 25).collect()}
+    assert len(got) == 25
+    for b in range(25):
+        u = np.array([int(hashlib.md5(f"0:{b}:e{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(30)])
+        taken = np.repeat(np.arange(30), np.searchsorted(resample._POISSON, u, "right"))
+        y, cov = x[taken], np.zeros((4, 4))
+        for i in range(4):
+            for j in range(4):
+                both = np.isfinite(y[:, i]) & np.isfinite(y[:, j])
+                cov[i, j] = np.cov(y[both, i], y[both, j], ddof=0)[0, 1]
+        r2 = cov**2 / np.outer(np.diag(cov), np.diag(cov))
+        assert got[b] == pytest.approx(16 / r2.sum())
+
+
+def test_labels_are_dealt_anew(spark):
+    d = spark.createDataFrame([(k, f"e{k % 5}") for k in range(60)], "obs_id long, entity string")
+    rows = resample.dealt(d, 3).collect()
+    for b in range(3):
+        own = [r for r in rows if r["replicate"] == b]
+        assert len(own) == 60 and len({r["obs_id"] for r in own}) == 60
+        assert sorted(r["entity"] for r in own) == sorted(f"e{k % 5}" for k in range(60)) and any(r["entity"] != f"e{r['obs_id'] % 5}" for r in own)
+
+
+def test_null_curve_of_independent_features(spark):
+    rng = np.random.default_rng(5)
+    o = obs(spark, [(f"e{k % 20}", k, f, float(rng.normal())) for k in range(400) for f in "abc"])
+    order = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "feature string, k long")
+    curve = {r["k"]: (r["mean"], r["high"]) for r in resample.pr_null_curve(o, order, 10).collect()}
+    assert curve[1][0] == pytest.approx(1) and 1.5 < curve[2][0] <= 2 and curve[3][0] <= curve[3][1] <= 3
+
+
+# -- correlation
+
+
+def test_repair_leaves_no_negative_eigenvalue(spark):
+    bad = spark.createDataFrame([("a", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0), ("a", "b", 0.9), ("a", "c", -0.9), ("b", "c", 0.9)], "i string, j string, r double")
+    names, m = spectrum.matrix(spectrum.repaired(bad), "r")
+    assert names == ["a", "b", "c"] and np.linalg.eigvalsh(m)[0] > -1e-9 and np.allclose(np.diag(m), 1)
+    good = bad.withColumn("r", F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.1))
+    assert np.allclose(spectrum.matrix(spectrum.repaired(good), "r")[1], spectrum.matrix(good, "r")[1])
+
+
+def test_listwise_means(spark):
+    means = spark.createDataFrame([("1", "a", 1.0), ("1", "b", 2.0), ("2", "a", 3.0), ("2", "b", None), ("3", "a", 4.0)], "entity string, feature string, x double")
+    assert {r["entity"] for r in spectrum.complete(means).collect()} == {"1"}
+
+
+def test_more_features_than_allowed_raise(spark, monkeypatch):
+    monkeypatch.setattr(spectrum, "MOST_FEATURES", 2)
+    o = obs(spark, [("e", 1, f, 1.0) for f in "abc"])
+    with pytest.raises(ValueError):
+        spectrum.feature_names(o)
+
+
+# -- classifiers
+
+
+def test_classifiers_on_a_sample_of_training_rows(spark):
+    """Fewer training rows than there are: every row is still predicted, and separate groups are still told apart."""
+    rng = np.random.default_rng(6)
+    rows = [(str(e), 40 * e + k, f, float(rng.normal(3 * e if f == "a" else -e, 0.3))) for e in range(4) for k in range(40) for f in "ab"]
+    out = classify.run_folds(obs(spark, rows), 4, ("lda",), most_train=60)
+    assert out.count() == 160 and classify.summary(out, 4).first()["acc_mean"] > 0.9
+
+
+def test_training_scale_is_of_the_other_folds(spark):
+    rows = spark.createDataFrame([(k % 3, float(k), None if k % 4 == 0 else 5.0) for k in range(12)], "fold long, a double, b double")
+    for r in classify.training_scale(rows, ["a", "b"], 3).collect():
+        a = np.array([k for k in range(12) if k % 3 != r["held"]], float)
+        assert r["n"] == 8 and r["mean"][0] == pytest.approx(a.mean()) and r["sd"][0] == pytest.approx(a.std()) and list((r["mean"][1], r["sd"][1])) == [5.0, 1.0]
+
+
+def test_presence_rate_of_training_rows_only(spark):
+    rng = np.random.default_rng(7)
+    rows = [(str(e), 20 * e + k, f, float(max(rng.normal(e, 1), 0))) for e in range(3) for k in range(20) for f in "az"]
+    out = classify.run_folds(obs(spark, rows), 4, ("lda",), hurdle="z", presence="speaker_lookup")
+    assert out.count() == 60
+    assert classify.summary(out, 3).first()["acc_mean"] >= classify.summary(classify.run_folds(obs(spark, rows), 4, ("lda",), hurdle="z"), 3).first()["acc_mean"] - 0.05
+
+
+def test_sweep_of_groups_is_each_group_alone(spark):
+    rng = np.random.default_rng(8)
+    o = obs(spark, [(f"e{e:02d}", 10 * e + k, f, float(rng.normal(e % 4, 1))) for e in range(12) for k in range(8) for f in "abc"])
+    got = {r["size"]: r for r in sweep.measures(sweep.replicate(o, [4, 8], 8), k=3, kinds=("lda",)).collect()}
+    for size in (4, 8):
+        alone = resample.nested_subset(o, size, 24).drop("stratum")
+        b = info.quantile_bins(alone, 5)
+        mi = info.corrected(info.mutual_information(b, info.entity_count(alone)), info.exact_null(b, info.entity_count(alone))).agg(F.sum("i_corrected")).first()[0]
+        assert got[size]["s"] == size and got[size]["summed_mi"] == pytest.approx(mi, abs=1e-6)
+        fano = classify.summary(classify.run_folds(alone, 3, ("lda",)), size).first()["i_xent_mean"]
+        assert got[size]["fano"] == pytest.approx(fano, abs=1e-6)
+
+
+def test_analysis_within_strata(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"{s}{e}", s, 100 * e + k + 10_000 * (s == "y"), f, float(rng.normal(e, 1))) for s in "xy" for e in range(4 if s == "x" else 6) for k in range(6) for f in "ab"]
+    o = spark.createDataFrame(rows, "entity string, stratum string, obs_id long, feature string, x double")
+    options = {"bins": (2,), "boot": 0, "null": 0, "kinds": ()}
+    both = {(r["section"], r["item"]): r["value"] for r in analysis.within(o, **options).collect()}
+    x, y = ({(r["section"], r["item"]): r["value"] for r in analysis.analyze(o.where(F.col("stratum") == s).drop("stratum"), **options).collect()} for s in "xy")
+    assert both["pr_none", "pr"] == pytest.approx(0.4 * x["pr_none", "pr"] + 0.6 * y["pr_none", "pr"]) and both["mi_summed", "2"] == pytest.approx(0.4 * x["mi_summed", "2"] + 0.6 * y["mi_summed", "2"])
+
+
+# -- intervals
+
+
+def test_points_in_intervals_by_brute_force(spark):
+    rng = np.random.default_rng(10)
+    segs, points, spans = [], [], []
+    for u in range(5):
+        at = 0.0
+        for k in range(rng.integers(0, 8)):
+            end = at + float(rng.integers(1, 5))
+            if rng.random() < 0.8:
+                segs.append((u, k, at, end, f"s{k}"))
+            at = end
+        spans += [(u, float(a), float(a + rng.integers(1, 9))) for a in rng.integers(0, 20, 3)]
+        points += [(u, float(v) / 2, i) for i, v in enumerate(rng.integers(-2, 60, 15))]
+    p = spark.createDataFrame(points, "utt_id long, at double, i long")
+    got = segments.interval_join(p, spark.createDataFrame(segs, "utt_id long, seq long, start double, end double, label string")).collect()
+    assert len(got) == len(points) and all(r["label"] == next((x for u, _, a, b, x in segs if u == r["utt_id"] and a <= r["at"] < b), "") for r in got)
+    inside = segments.in_any(p, spark.createDataFrame(spans, "utt_id long, start double, end double")).collect()
+    assert len(inside) == len(points) and all(r["inside"] == any(u == r["utt_id"] and a <= r["at"] < b for u, a, b in spans) for r in inside)
+
+
+# -- reports, manifests, sources
+
+
+def test_reports_and_provenance(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([("pr", "x", 2.0), ("pr", "y", 5.0), ("mi", "x", None)], "section string, item string, value double")
+    text = writers.report(d, "Title")
+    assert text.startswith("# Title") and text.index("| y | 5 |") < text.index("| x | 2 |") and "## mi" in text
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    rows = spark.createDataFrame([("e1", "g"), ("e1", "g"), ("e2", "h")], "entity string, stratum string")
+    p = writers.provenance(spark, str(tmp_path), rows, "entity", "stratum")
+    assert p["n"] == 3 and p["s"] == 2 and p["files"] == 1 and p["observations"] == {"1": 1, "2": 1} and p["by_stratum"] == {"g": 1, "h": 1}
+    monkeypatch.setattr(writers, "MOST_COUNTS", 1)
+    with pytest.raises(ValueError):
+        writers.provenance(spark, str(tmp_path), rows, "entity", "stratum")
+
+
+def test_archives_configuration_and_listing(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name, raw in (("d/one.txt", b"1"), ("d/two.wav", b"22")):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(raw)
+            t.addfile(entry, io.BytesIO(raw))
+    (tmp_path / "b.tar").write_bytes(b"broken")
+    got = {r["name"]: r["content"] for r in readers.tar_members(spark, str(tmp_path), suffix=".wav").collect()}
+    assert bytes(got["d/two.wav"]) == b"22" and len(got) == 2 and None in got.values()
+    (tmp_path / "c.json").write_text('{"bins": [2, 3]}')
+    assert readers.config(spark, str(tmp_path / "c.json")) == {"bins": [2, 3]}
+    assert {r["name"] for r in readers.listing(spark, str(tmp_path), "*.tar*").collect()} == {"a.tar.gz", "b.tar"}
+    counts, missing = select.missing_files(spark.createDataFrame([("a.tar.gz", "x"), ("z.tar", "x")], "name string, g string"), readers.listing(spark, str(tmp_path)), "name", "g")
+    assert counts.first()["present"] == 1 and [r["name"] for r in missing.collect()] == ["z.tar"]
