@@ -26,8 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/obsgrain-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in one folder of this application that is deleted when the application ends."""
+    jvm, home = spark.sparkContext._jvm, f"{shared_dir(spark)}/obsgrain-{spark.sparkContext.applicationId}"
+    folder = jvm.org.apache.hadoop.fs.Path(home)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path of scratch()."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
