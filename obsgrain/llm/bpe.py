@@ -90,17 +90,19 @@ def joined(ids: np.ndarray, n: int) -> bytes:
     return table[ids][used[ids]].tobytes()[:-1]
 
 
-def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes every whole text and decodes it again; one row per row of docs, no shuffle.
 
-    Columns: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, round_trip (the decoded bytes are the text's) and,
-    if with_ids, ids array<int>. A null or empty text has no tokens and both digests of nothing; a null doc_id stays
-    null; repeated rows give repeated rows; columns of docs other than doc_id and text are not read. A very long text is
-    encoded in parts, whatever it consists of; it is held in memory as a whole, with its ids. The rank file is opened by each
-    task, so it must lie at the same path on all machines.
+    Columns: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, round_trip (the decoded bytes are the text's), if
+    with_ids, ids array<int>, and the columns of docs named in keep. A null or empty text has no tokens and both digests of
+    nothing; a null doc_id stays null; repeated rows give repeated rows; a table without rows gives none; other columns of
+    docs are not read. A very long text is encoded in parts, whatever it consists of; it is held in memory as a whole, with
+    its ids. The rank file is opened by each task, so it must lie at the same path on all machines.
     """
     path = path or rank_file()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
+    fields = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", "n_bytes long", "round_trip boolean", *(["ids array<int>"] if with_ids else [])]
+    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"__{c}") for c in keep])
+    kept = {c: rows.schema[f"__{c}"].dataType.simpleString() for c in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
@@ -115,9 +117,10 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Dat
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
                 arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays], [x.split()[0] for x in (schema + ", ids array<int>" * with_ids).split(", ")])
+                own = [part.column(f"__{c}") for c in kept]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays, *own], [*(x.split()[0] for x in fields), *kept])
 
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"`{c}` {kind}" for c, kind in kept.items())]))
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,44 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a table with narrow rows may be broadcast.
-BROADCAST_ROWS = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Only where it is unset, and only in a single-JVM session as tests use, is a temporary folder set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="obsgrain-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from obsgrain.operators.cuts import cut, discard, scratch, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "bounded", "buffers", "cut", "discard", "fresh", "lookup", "rank_file", "scratch", "shared_dir", "slices", "texts"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/obsgrain-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads on from there, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Rows up to which a table with narrow rows may be broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -63,6 +38,16 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     return spread.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "__salt"], how).drop("__salt")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns and `text`, null texts as empty ones; other columns never reach an operator."""
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))

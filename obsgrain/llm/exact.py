@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from obsgrain.llm.common import bounded, cut, scratch
+from obsgrain.llm.common import bounded, cut, fresh, scratch
 
 #: What does not count when texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -50,15 +50,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 def located(docs: DataFrame) -> DataFrame:
     """docs such that each row has a place (file and row number in it): a plain Parquet scan as it is, anything else as a written copy."""
     plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower() == "parquet" and "_metadata" not in docs.columns:
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower() == "parquet":
         return docs
     path = scratch(docs.sparkSession, "located")
     docs.write.parquet(path)
     return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
-def _place() -> list[Column]:
-    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and row number of each row of a plain Parquet scan, also if it has a column called _metadata."""
+    metadata = docs.metadataColumn("_metadata")
+    return metadata.getField("file_path"), metadata.getField("row_index")
+
+
+def _place(docs: DataFrame) -> list[Column]:
+    file, at = place(docs)
+    return [file.alias("file"), at.alias("at")]
 
 
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -66,7 +73,7 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
     bare = normalised(F.col("text"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(bare).alias("digest"), (F.lit(None).cast("string") if digest is sha256 else sha256(bare)).alias("text_sha256"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"), *_place(),
+        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("points"), *_place(docs),
     )
 
 
@@ -169,7 +176,7 @@ def fetched(docs: DataFrame, rows: DataFrame, run: str, digest: Callable[[Column
     """
     spark, rows = docs.sparkSession, cut(rows.select("run", "file", "at"))
     own = bounded(_keyed_places(rows.where(F.col("run") == run)))
-    at = lambda scan: scan.select(*_place(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = lambda scan: scan.select(*_place(scan), F.col("doc_id").cast("long").alias("doc_id"), "text")
     here = (F.xxhash64("file") == F.col("__file")) & (F.col("at") == F.col("__at"))
     out = at(docs).join(own, here, "left_semi").withColumn("run", F.lit(run))
     older = rows.where(F.col("run") != run)
@@ -204,9 +211,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without rows gives none. The places of dropped rows are broadcast up to a checked number, else both sides are shuffled.
     """
     docs = located(docs)
-    gone = bounded(cut(_keyed_places(exact_dedup(docs).where(~F.col("kept")))))
-    here = (F.xxhash64("_metadata.file_path") == F.col("__file")) & (F.col("_metadata.row_index") == F.col("__at"))
-    return docs.join(gone, here, "left_anti")
+    names = fresh(docs, "__file", "__at")
+    gone = bounded(cut(_keyed_places(exact_dedup(docs).where(~F.col("kept"))).toDF(*names)))
+    file, at = place(docs)
+    return docs.join(gone, (F.xxhash64(file) == F.col(names[0])) & (at == F.col(names[1])), "left_anti")
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import bounded, cut
+from obsgrain.llm.common import bounded, cut, fresh
 
 #: Words are what these bytes separate.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,13 +99,18 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> DataFra
 
 
 def mixed(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs; texts are filtered where they lie."""
+    """The documents of the mix, each as often as it is taken, with the columns of docs; texts are filtered where they lie.
+
+    Nulls, repeated rows and empty tables as in mix().
+    """
     _, limits = plan(docs, seed, weight)
-    own = {c: f"__of_{c}" for c in limits.columns}
+    own = dict(zip(limits.columns, fresh(docs, *[f"__of_{c}" for c in limits.columns]), strict=True))
+    spot, copy = fresh(docs, "__spot", "__copy")
     limits = bounded(limits.select(*[F.col(c).alias(name) for c, name in own.items()]))
-    rows = docs.withColumn("__spot", spot_of(F.col("doc_id"), seed)).join(limits, F.col("source").cast("string").eqNullSafe(F.col("__of_source")))
-    more = F.col("__of_whole") + ((F.col("__spot") < F.col("__of_edge")) | ((F.col("__spot") == F.col("__of_edge")) & F.col("__of_closed"))).cast("long")
-    return rows.withColumn("__copy", F.explode(F.when(more > 0, F.sequence(F.lit(1).cast("long"), more)))).select(*[docs[c] for c in docs.columns])
+    rows = docs.withColumn(spot, spot_of(docs["doc_id"], seed)).join(limits, docs["source"].cast("string").eqNullSafe(F.col(own["source"])))
+    edge, closed = F.col(own["edge"]), F.col(own["closed"])
+    more = F.col(own["whole"]) + ((F.col(spot) < edge) | ((F.col(spot) == edge) & closed)).cast("long")
+    return rows.withColumn(copy, F.explode(F.when(more > 0, F.sequence(F.lit(1).cast("long"), more)))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = rf"""

@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import bounded, buffers, cut, lookup, scratch, slices, texts
-from obsgrain.llm.exact import located
+from obsgrain.llm.common import bounded, buffers, cut, fresh, lookup, scratch, slices, texts
+from obsgrain.llm.exact import located, place
 from obsgrain.llm.tokens import SPACE, mix, shingles, words
 
 #: Words of a shingle and least similarity of near copies.
@@ -471,16 +471,14 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Only ids are looked up; rows without an id stay; of several rows of the id that stays, the first by place stays.
     """
-    found = cut(found)
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
-    again = cut(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id"))
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    if again.isEmpty():
-        return docs.join(bounded(cut(gone)), same, "left_anti")
-    docs = located(docs)
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
-    places = docs.select("doc_id", place.alias("__place")).join(bounded(again), same)
-    first = places.groupBy("__id").agg(F.min("__place").alias("__first"))
-    extra = cut(places.join(bounded(cut(first)), "__id").where("__place != __first").select(F.col("__place.__f").alias("__f"), F.col("__place.__r").alias("__r")))
-    here = (F.xxhash64("_metadata.file_path") == F.col("__f")) & (F.col("_metadata.row_index") == F.col("__r"))
-    return docs.join(bounded(extra), here, "left_anti").join(bounded(cut(gone)), same, "left_anti")
+    found, (name, f, r) = cut(found), fresh(docs, "__id", "__f", "__r")
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias(name)).distinct()
+    again = cut(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(name))
+    if not again.isEmpty():
+        docs = located(docs)
+        file, at = place(docs)
+        places = docs.select(F.col("doc_id").cast("long").alias(name), F.struct(F.xxhash64(file).alias("f"), at.alias("r")).alias("place")).join(bounded(again), name)
+        first = cut(places.groupBy(name).agg(F.min("place").alias("first")))
+        extra = cut(places.join(bounded(first), name).where("place != first").select(F.col("place.f").alias(f), F.col("place.r").alias(r)))
+        docs = docs.join(bounded(extra), (F.xxhash64(file) == F.col(f)) & (at == F.col(r)), "left_anti")
+    return docs.join(bounded(cut(gone)), docs["doc_id"].cast("long") == F.col(name), "left_anti")
