@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsgrain.functions import scalars
+
 
 def zscore(df: DataFrame, column: str, by: list[str] | None = None, ddof: int = 0) -> DataFrame:
     """Adds z: distance from the mean in standard deviations over measured rows; a deviation of 0 divides by 1."""
@@ -148,3 +150,20 @@ def fisher_invariance(obs: DataFrame) -> DataFrame:
     z = obs.join(F.broadcast(m), "feature").withColumn("x", (F.col("x") - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).drop("__m", "__s")
     both = variance_components(obs).select("feature", F.col("f_star").alias("a")).join(variance_components(z).select("feature", F.col("f_star").alias("b")), "feature")
     return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("most"), F.count("a").alias("features"))
+
+
+def transformed(obs: DataFrame, kinds: dict[str, str], default: str = "identity") -> DataFrame:
+    """obs with each feature's x transformed as kinds says: identity, log, or log_nonzero."""
+    x = scalars.transform(F.col("x"), default)
+    for name, kind in kinds.items():
+        x = F.when(F.col("feature") == name, scalars.transform(F.col("x"), kind)).otherwise(x)
+    return obs.withColumn("x", x)
+
+
+def transform_counts(obs: DataFrame, kinds: dict[str, str], default: str = "identity") -> DataFrame:
+    """Of each feature: its transform, and how many zeros and values that are not positive a logarithm leaves out."""
+    kind = F.lit(default)
+    for name, k in kinds.items():
+        kind = F.when(F.col("feature") == name, k).otherwise(kind)
+    logged = kind.startswith("log")
+    return obs.groupBy("feature").agg(F.first(kind).alias("kind"), F.count_if(logged & (F.col("x") == 0)).alias("n_zero"), F.count_if(logged & (F.col("x") <= 0)).alias("n_non_positive"))

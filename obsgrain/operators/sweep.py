@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsgrain.operators import classify, info
@@ -53,6 +53,26 @@ def within(per_size: DataFrame, values: list[str], by: str = "size") -> DataFram
     return per_size.groupBy(by).agg(*[(F.sum(F.col(v) * F.col("s")) / F.sum("s")).alias(v) for v in values], F.sum("s").alias("s"))
 
 
+def add_points(obs: DataFrame, grid: list[int], path: str, m: int, seed: int = 0, **options) -> list[int]:
+    """Measures the sizes of the grid that the table at path lacks and appends them, one folder a size; returns those sizes.
+
+    A sweep that was broken off is gone on with; sizes may also be measured by separate jobs, since subsets are nested by hash.
+    """
+    spark = obs.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    done = {r["size"] for r in spark.read.parquet(path).select("size").distinct().collect()} if there else set()
+    todo = [g for g in grid if g not in done]
+    if todo:
+        measures(replicate(obs, todo, m, seed), **options).withColumn("size", F.col("size").cast("int")).write.mode("append").partitionBy("size").parquet(path)
+    return todo
+
+
+def combined(spark: SparkSession, path: str, values: tuple[str, ...] = ("pr", "summed_mi", "fano")) -> DataFrame:
+    """Slopes against log2 of the number of entities of all points written so far."""
+    return slopes(spark.read.parquet(path), "s", list(values))
+
+
 def slopes(points: DataFrame, x: str, values: list[str]) -> DataFrame:
     """Slope of each value against log2 of x."""
     return points.agg(*[F.regr_slope(F.col(v), F.log2(F.col(x))).alias(v) for v in values])

@@ -214,6 +214,13 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars.rescale_seconds(d, "seconds").select("event_id", "k", "seconds")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, extract(hour FROM ts)::BIGINT AS hour, count(*) AS n, min(epoch_us(ts)) // 1000000 AS first_second FROM events GROUP BY ALL")
+def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and hour, in UTC."""
+    d = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return rounded(d.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.unix_seconds(F.min("ts")).alias("first_second")))
+
+
 _SILENT = ["assistant"]
 _RUNS = "r AS (SELECT *, sum((label = 'assistant')::INT) OVER (PARTITION BY utt_id ORDER BY seq) AS run FROM seg), g AS (SELECT utt_id, run, max(\"end\") - min(start) AS len FROM r WHERE label <> 'assistant' GROUP BY ALL)"
 

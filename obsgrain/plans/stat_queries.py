@@ -456,6 +456,14 @@ def obs_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(d, ["entity", "obs_id"], {"balance": F.col("c_acctbal"), "log": scalars.transform(F.col("c_acctbal"), "log"), "never": F.lit(None).cast("double")})
 
 
+@query(f"WITH {_TRIO}, t AS (SELECT feature, x, CASE WHEN feature = 'balance' THEN CASE WHEN x > 0 THEN ln(x) END ELSE x END AS y FROM obs) SELECT feature, CASE feature WHEN 'balance' THEN 'log_nonzero' ELSE 'identity' END AS kind, round(avg(y), 6) AS mean, count(y) AS n, count_if(feature = 'balance' AND x = 0)::BIGINT AS n_zero, count_if(feature = 'balance' AND x <= 0)::BIGINT AS n_non_positive FROM t GROUP BY 1")
+def transformed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature by the transform that a configuration names, with what a logarithm leaves out."""
+    obs, kinds = obs_trio(spark, sf_dir), {"balance": "log_nonzero"}
+    d = stats.transformed(obs, kinds).groupBy("feature").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
+    return rounded(d.join(stats.transform_counts(obs, kinds), "feature").select("feature", "kind", "mean", "n", "n_zero", "n_non_positive"))
+
+
 @query(f"WITH {_TRIO}, {_bins(5)}, {_ENTROPY}, {_EXACT}, q AS (SELECT feature, count_if(x IS NULL) AS miss FROM obs GROUP BY 1) SELECT feature, coalesce(n, 0)::BIGINT AS n, miss::BIGINT AS n_missing, coalesce(n_bins, 0)::BIGINT AS n_bins, round(coalesce(i_raw, 0), 6) AS i_raw, round(coalesce(i_null, 0), 6) AS i_null, round(coalesce(greatest(i_raw - i_null, 0), 0), 6) AS i_corrected FROM q LEFT JOIN mi USING (feature)")
 def mi_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information with the number of missing cells; zeros for a feature that is never measured."""

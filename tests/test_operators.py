@@ -438,3 +438,28 @@ def test_archives_configuration_and_listing(spark, tmp_path):
     assert {r["name"] for r in readers.listing(spark, str(tmp_path), "*.tar*").collect()} == {"a.tar.gz", "b.tar"}
     counts, missing = select.missing_files(spark.createDataFrame([("a.tar.gz", "x"), ("z.tar", "x")], "name string, g string"), readers.listing(spark, str(tmp_path)), "name", "g")
     assert counts.first()["present"] == 1 and [r["name"] for r in missing.collect()] == ["z.tar"]
+
+
+# -- command line and resumed sweeps
+
+
+def test_a_sweep_is_gone_on_with(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    o = obs(spark, [(f"e{e:02d}", 10 * e + k, f, float(rng.normal(e % 4, 1))) for e in range(12) for k in range(6) for f in "ab"])
+    path = str(tmp_path / "points")
+    assert sweep.add_points(o, [4, 8], path, 6, k=3, kinds=("lda",)) == [4, 8]
+    assert sweep.add_points(o, [4, 8, 12], path, 6, k=3, kinds=("lda",)) == [12]
+    whole = {r["size"]: r["pr"] for r in sweep.measures(sweep.replicate(o, [4, 8, 12], 6), k=3, kinds=("lda",)).collect()}
+    assert {r["size"]: r["pr"] for r in spark.read.parquet(path).collect()} == pytest.approx(whole)
+    assert math.isfinite(sweep.combined(spark, path).first()["pr"])
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from obsgrain.__main__ import main
+
+    assert main(["query", "state_codes", sf, str(tmp_path / "q")]) == 0 and spark.read.parquet(str(tmp_path / "q")).count() == 2
+    o = obs(spark, [(f"e{k % 4}", k, f, float(k % 4 + k % 3)) for k in range(24) for f in "ab"])
+    o.write.parquet(str(tmp_path / "obs"))
+    assert main(["report", str(tmp_path / "obs")]) == 0 and "## coverage" in capsys.readouterr().out
+    spark.createDataFrame([(f"e{k % 5}", "s", k, 5.0) for k in range(40)], "entity string, stratum string, obs_id long, duration double").write.parquet(str(tmp_path / "sel"))
+    assert main(["select", str(tmp_path / "sel"), str(tmp_path / "chosen"), "-n", "2", "-m", "3"]) == 0 and spark.read.parquet(str(tmp_path / "chosen")).count() == 6
