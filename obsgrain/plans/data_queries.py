@@ -405,16 +405,29 @@ def fano_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.headline(classify.summary(classify.run_folds(obs, 3, ("mlp",)), 4))
 
 
-@query(None)
+_DFT = (
+    f"{_SIG}, em AS (SELECT utt_id, i, x[i] AS raw, x[i] - CASE WHEN i = 1 THEN 0 ELSE 0.97::DOUBLE * x[i - 1] END AS v FROM sig CROSS JOIN (SELECT unnest(range(1, 65)) AS i)), "
+    "fw AS (SELECT utt_id, f AS frame, i - f * 8 - 1 AS n, raw, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (i - f * 8 - 1) / 16)) AS v FROM em JOIN (SELECT unnest(range(7)) AS f) t ON i > f * 8 AND i <= f * 8 + 16), "
+    "dft AS (SELECT utt_id, frame, k, k * 1000.0::DOUBLE AS hz, sum(v * cos(2 * pi() * k * n / 16)) ** 2 + sum(v * sin(2 * pi() * k * n / 16)) ** 2 AS p FROM fw CROSS JOIN (SELECT unnest(range(9)) AS k) GROUP BY ALL), "
+    "q AS (SELECT *, p / (sum(p) OVER w + 1e-12) AS q, sum(p) OVER (PARTITION BY utt_id, frame ORDER BY k) AS run, sum(p) OVER w AS total, sqrt(p) - lag(sqrt(p)) OVER (PARTITION BY utt_id, k ORDER BY frame) AS step FROM dft WINDOW w AS (PARTITION BY utt_id, frame)), "
+    "mu AS (SELECT utt_id, frame, sum(q * hz) AS mu FROM q GROUP BY ALL), sd AS (SELECT utt_id, frame, any_value(mu) AS mu, sqrt(sum(q * (hz - mu) ** 2)) + 1e-12 AS sd FROM q JOIN mu USING (utt_id, frame) GROUP BY ALL), "
+    "rms AS (SELECT utt_id, frame, sqrt(avg(raw * raw)) AS rms FROM fw GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_DFT} SELECT utt_id, frame, round(sum(q * (hz - mu) ** 3) / any_value(sd) ** 3, 4) AS spectral_skewness, round(sum(q * (hz - mu) ** 4) / any_value(sd) ** 4, 4) AS spectral_kurtosis, round(-sum(q * ln(q + 1e-12)), 4) AS spectral_entropy, min(hz) FILTER (run >= 0.85 * total) AS spectral_rolloff, round(sqrt(sum(step * step)), 4) AS spectral_flux, round(any_value(rms), 4) AS \"RMS\" "
+    "FROM q JOIN sd USING (utt_id, frame) JOIN rms USING (utt_id, frame) GROUP BY ALL"
+)
 def spectral_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spectral features of frames of 16 samples every 8."""
     names = ["spectral_skewness", "spectral_kurtosis", "spectral_entropy", "spectral_rolloff", "spectral_flux", "RMS"]
 
     def kernel(x):
         s = kernels.spectral(x, 16000, 16, 8)
-        return [{"frame": k, **{n: float(s[n][k]) for n in names}} for k in range(len(s["RMS"]))]
+        return [{"frame": k, **{n: float(s[n][k]) if s[n][k] == s[n][k] else None for n in names}} for k in range(len(s["RMS"]))]
 
-    return kernels.apply(signals(spark, sf_dir), kernel, "frame long, " + ", ".join(f"{n} double" for n in names))
+    return rounded(kernels.apply(signals(spark, sf_dir), kernel, "frame long, " + ", ".join(f"{n} double" for n in names)).drop("error"), 4)
 
 
 @query(None)

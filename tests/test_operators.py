@@ -463,3 +463,58 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert main(["report", str(tmp_path / "obs")]) == 0 and "## coverage" in capsys.readouterr().out
     spark.createDataFrame([(f"e{k % 5}", "s", k, 5.0) for k in range(40)], "entity string, stratum string, obs_id long, duration double").write.parquet(str(tmp_path / "sel"))
     assert main(["select", str(tmp_path / "sel"), str(tmp_path / "chosen"), "-n", "2", "-m", "3"]) == 0 and spark.read.parquet(str(tmp_path / "chosen")).count() == 6
+
+
+# -- values of kernels
+
+
+def test_spectral_values_by_a_plain_transform():
+    """Each bin by its sums of sines and cosines, for a frame of noise."""
+    x = np.random.default_rng(0).normal(size=600)
+    p, f = kernels.power_spectrum(x, 16000, 400, 160)
+    y = np.array([x[0], *(x[i] - 0.97 * x[i - 1] for i in range(1, 600))])
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400)
+    for frame in (0, 1):
+        part = y[frame * 160 : frame * 160 + 400] * w
+        for k in (0, 1, 7, 100, 200):
+            angle = 2 * np.pi * k * np.arange(400) / 400
+            assert p[frame, k] == pytest.approx((part * np.cos(angle)).sum() ** 2 + (part * np.sin(angle)).sum() ** 2) and f[k] == k * 40
+    s = kernels.spectral(x)
+    q = p[1] / p[1].sum()
+    mu = (q * f).sum()
+    sd = np.sqrt((q * (f - mu) ** 2).sum())
+    assert s["spectral_skewness"][1] == pytest.approx((q * (f - mu) ** 3).sum() / sd**3) and s["spectral_kurtosis"][1] == pytest.approx((q * (f - mu) ** 4).sum() / sd**4)
+    assert s["spectral_flux"][1] == pytest.approx(np.linalg.norm(np.sqrt(p[1]) - np.sqrt(p[0]))) and np.isnan(s["spectral_flux"][0])
+    assert s["alpha_ratio"][1] == pytest.approx(p[1][(f >= 1000) & (f < 5000)].sum() / p[1][(f >= 50) & (f < 1000)].sum()) and s["SPI"][1] == pytest.approx(p[1][f >= 4000].sum() / p[1][f < 4000].sum())
+
+
+def test_burg_finds_the_poles_of_a_resonance():
+    """Noise through a filter of three resonances of known frequencies and bandwidths."""
+    want, a = [(700, 80), (1900, 120), (3100, 150)], np.array([1.0])
+    for freq, width in want:
+        r, angle = np.exp(-np.pi * width / 16000), 2 * np.pi * freq / 16000
+        a = np.convolve(a, [1, -2 * r * np.cos(angle), r * r])
+    noise, x = np.random.default_rng(0).normal(size=30_000), np.zeros(30_000)
+    for t in range(6, 30_000):
+        x[t] = noise[t] - a[1:] @ x[t - 6 : t][::-1]
+    assert kernels.burg(x, 6) == pytest.approx(a, abs=0.05)
+    found = kernels.poles(kernels.burg(x, 6), 16000)
+    assert [f for f, _ in found] == pytest.approx([f for f, _ in want], rel=0.02) and [b for _, b in found] == pytest.approx([b for _, b in want], rel=0.3)
+
+
+def test_known_formants_take_the_nearest_pole():
+    widths, f5, b5 = kernels.match_formants([500.0, 1500.0, np.nan, 3500.0], [(480.0, 50.0), (520.0, 70.0), (1900.0, 90.0), (3490.0, 110.0), (4300.0, 130.0), (4800.0, 2000.0)], 5000.0)
+    assert widths[0] in (50.0, 70.0) and np.isnan(widths[1]) and np.isnan(widths[2]) and widths[3] == 110.0 and (f5, b5) == (4300.0, 130.0)
+
+
+@pytest.mark.parametrize("f0", [110.0, 180.0, 240.0])
+def test_pitch_and_voice_quality_of_a_regular_voice(f0):
+    t = np.arange(16000) / 16000
+    x = 0.1 * sum(np.sin(2 * np.pi * f0 * k * t) / k for k in range(1, 20))
+    f = kernels.pitch(x, "F" if f0 > 150 else "M", 16000)
+    jitter, shimmer = kernels.perturbation(x, f0, 16000)
+    assert np.nanmedian(f) == pytest.approx(f0, rel=0.02) and 0 <= jitter < 0.02 and 0 <= shimmer < 0.05
+    rough = x * np.repeat(np.random.default_rng(0).uniform(0.5, 1.5, 200), 80)
+    assert kernels.perturbation(rough, f0, 16000)[1] > shimmer
+    noise = np.random.default_rng(1).normal(0, 0.1, 16000)
+    assert np.nanmean(kernels.cepstral_peak(x, 16000)) > np.nanmean(kernels.cepstral_peak(noise, 16000))
