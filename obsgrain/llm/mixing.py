@@ -20,9 +20,9 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def spot_of(doc_id: Column, seed: int) -> Column:
-    """48 bits of the MD5 of seed and id, the same in any engine."""
-    said = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def spot_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """48 bits of the MD5 of seed and id, or of the text's MD5 where there is no id; the same in any engine."""
+    said = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
     return F.conv(F.substring(F.md5(said), 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -77,7 +77,7 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized, limits): id, source, size and hash of every row of docs, written once and read by every level; each source's thresholds."""
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), spot_of(F.col("doc_id"), seed).alias("spot")))
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), spot_of(F.col("doc_id"), F.col("text"), seed).alias("spot")))
     return sized, thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weight))
 
 
@@ -90,8 +90,9 @@ def mix(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> DataFra
     """How many words the mix takes of every document; one row per row of docs.
 
     Columns: doc_id, size, source_size, target, taken, source, copies. A null text has size 0; null is a source of its own,
-    the last; a source without words has target 0; repeated rows share a hash and are taken or left together; a table
-    without rows gives none. Columns other than doc_id, source and text are not read.
+    the last; a source without words has target 0; rows without an id are told apart by their texts; repeated rows share a
+    hash and are taken or left together; a table without rows gives none; a very long text is a document like any other,
+    so a source's words come as near its target as the document at the edge allows. Columns other than doc_id, source and text are not read.
     """
     sized, limits = plan(docs, seed, weight)
     rows = sized.join(bounded(limits.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source")))
@@ -107,7 +108,7 @@ def mixed(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> DataF
     own = dict(zip(limits.columns, fresh(docs, *[f"__of_{c}" for c in limits.columns]), strict=True))
     spot, copy = fresh(docs, "__spot", "__copy")
     limits = bounded(limits.select(*[F.col(c).alias(name) for c, name in own.items()]))
-    rows = docs.withColumn(spot, spot_of(docs["doc_id"], seed)).join(limits, docs["source"].cast("string").eqNullSafe(F.col(own["source"])))
+    rows = docs.withColumn(spot, spot_of(docs["doc_id"], docs["text"], seed)).join(limits, docs["source"].cast("string").eqNullSafe(F.col(own["source"])))
     edge, closed = F.col(own["edge"]), F.col(own["closed"])
     more = F.col(own["whole"]) + ((F.col(spot) < edge) | ((F.col(spot) == edge) & closed)).cast("long")
     return rows.withColumn(copy, F.explode(F.when(more > 0, F.sequence(F.lit(1).cast("long"), more)))).select(*[docs[c] for c in docs.columns])
@@ -116,7 +117,7 @@ def mixed(docs: DataFrame, seed: int = 0, weight: Column | None = None) -> DataF
 ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS spot
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 12))::BIGINT AS spot
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM src),

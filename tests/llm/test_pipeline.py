@@ -74,7 +74,8 @@ def brute_taken(rows):
         spots = collections.defaultdict(list)
         for r in rows:
             if r[3] == s:
-                spots[hashlib.md5(f"0:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:12]].append(r)
+                name = "null:" + hashlib.md5((r[1] or "").encode()).hexdigest() if r[0] is None else str(r[0])
+                spots[hashlib.md5(f"0:{name}".encode()).hexdigest()[:12]].append(r)
         for spot in sorted(spots):
             own = sum(size(r[1]) for r in spots[spot])
             upto += own
