@@ -100,11 +100,38 @@ def test_fingerprints(docs, rows, spark):
     assert all(len(p) == 1 for p in prints.values())
 
 
+@pytest.mark.parametrize(("size", "fan"), [(2048, 1024), (7, 1024), (5, 4)])
+def test_next_documents_by_ranges(spark, monkeypatch, size, fan):
+    """One and two levels of ranges; an id that a third of the rows share and many rows without an id are dealt into parts."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
+    monkeypatch.setattr(fingerprints, "FAN", fan)
+    rng = np.random.default_rng(0)
+    rows = [(int(i), f"text {i}") for i in rng.permutation(150) * 3 - 100] + [(50, f"hot {k % 9}") for k in range(90)] + [(None, f"none {k}") for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprints.with_next(d.withColumn("at", F.monotonically_increasing_id())).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out) == collections.Counter(rows)
+    assert collections.Counter((r["next_id"], r["next_text"]) for r in out).total() == len(rows)
+    ids = sorted((i for i, _ in rows if i is not None), reverse=True)
+    for r in out:
+        here = r["doc_id"]
+        if here is None:
+            assert r["next_id"] is None or r["next_id"] == ids[0]
+        else:
+            at = ids[ids.index(here) + ids.count(here) :]
+            allowed = {here} if ids.count(here) > 1 else set()
+            assert r["next_id"] in allowed | ({at[0]} if at else {None})
+    after = [r for r in out if r["doc_id"] == 50 and r["next_id"] != 50]
+    assert len(after) == 1 and len([r for r in out if r["doc_id"] is None and r["next_id"] is not None]) == 1
+    if size < 100 < fan:
+        parts = collections.Counter((r["high"], r["low"], r["part"]) for r in out)
+        assert max(parts.values()) <= 8 * size
+
+
 def test_fingerprint_samples_collide_with_the_probability_of_similarity(spark):
     rng = np.random.default_rng(0)
     a, b = {f"t{k}": int(rng.integers(1, 5)) for k in range(60)}, {f"t{k}": int(rng.integers(1, 5)) for k in range(20, 80)}
     d = spark.createDataFrame([("a", w, n) for w, n in a.items()] + [("b", w, n) for w, n in b.items()], "d string, w string, n int").select("d", F.xxhash64("w").alias("h"), "n")
-    least = {r["d"]: r for r in d.groupBy("d").agg(*[F.min(fingerprints.sample(F.col("h"), F.col("n"), k)).alias(f"s{k}") for k in range(120)]).collect()}
+    least = {r["d"]: r for r in d.groupBy("d").agg(*[F.min(fingerprints.sample(F.col("h"), F.ln(F.col("n").cast("double")), k)).alias(f"s{k}") for k in range(120)]).collect()}
     share = np.mean([least["a"][f"s{k}"] == least["b"][f"s{k}"] for k in range(120)])
     words = set(a) | set(b)
     true = sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
