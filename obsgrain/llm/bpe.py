@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import rank_file, slices, texts
+from obsgrain.llm.common import lean, rank_file, slices, texts
 
 #: Fixed value: the public pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -120,7 +120,7 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False, keep:
                 own = [part.column(f"__{c}") for c in kept]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays, *own], [*(x.split()[0] for x in fields), *kept])
 
-    return rows.mapInArrow(run, ", ".join([*fields, *(f"`{c}` {kind}" for c, kind in kept.items())]))
+    return rows.mapInArrow(lean(run), ", ".join([*fields, *(f"`{c}` {kind}" for c, kind in kept.items())]))
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -139,4 +139,4 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
                     said.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raws, pa.binary()), pa.array(said, pa.string())], ["doc_id", "raw", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, raw binary, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, raw binary, text string")

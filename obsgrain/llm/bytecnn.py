@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import buffers, slices, texts
+from obsgrain.llm.common import buffers, lean, slices, texts
 
 #: Bytes of a window; windows follow each other and cover the whole text, the last one is filled with zero bytes.
 WINDOW = 128
@@ -189,13 +189,13 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             column = pc.fill_null(batch.column(at).cast(pa.string()), "")
             whole = pa.RecordBatch.from_arrays([column], ["text"])
             keep = []
-            for part in slices(whole, 1 << 20):
+            for part in slices(whole, 1 << 18):
                 letters = pc.match_substring_regex(part.column(0), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 said, _ = predict(scorer, *buffers(part.column(0)), letters)
                 keep += [x != UNKNOWN for x in said] if scorer.model.langs else letters.tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def language_id(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,7 +211,7 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
         model = model_b.value
         scorer = Scorer(model)
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 18):
                 column = part.column("text")
                 letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 data, offs = buffers(column)
@@ -220,4 +220,4 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
                 held = [x is not None and zlib.crc32(str(x).encode()) % 4 == 2 for x in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(said, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(-(-np.diff(offs) // WINDOW))], ["doc_id", "held_out", "lang_pred", "score", "n_windows"])
 
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_windows long")
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, n_windows long")

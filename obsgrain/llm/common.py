@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsgrain.operators.cuts import cut, discard, scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "bounded", "buffers", "cut", "discard", "fresh", "lookup", "rank_file", "scratch", "shared_dir", "slices", "texts"]
+__all__ = ["BROADCAST_ROWS", "bounded", "buffers", "cut", "discard", "fresh", "lean", "lookup", "rank_file", "scratch", "settings", "shared_dir", "slices", "texts"]
 
 #: Rows up to which a table with narrow rows may be broadcast.
 BROADCAST_ROWS = 1 << 20
@@ -48,11 +50,38 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs and streams that are started inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns and `text`, null texts as empty ones; other columns never reach an operator."""
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back to the system what it no longer holds when its task ends: Python workers outlive their tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and where each value starts and the last ends."""
     if pa.types.is_large_string(column.type):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from obsgrain.llm.common import bounded, cut, fresh, scratch
+from obsgrain.llm.common import bounded, cut, fresh, scratch, settings
 
 #: What does not count when texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -19,7 +19,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # many small stores: disk that each sets aside beforehand would exceed what it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -119,14 +119,8 @@ def consume(spark: SparkSession, stream: DataFrame, state_dir: str) -> DataFrame
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, STATE):
         query = keyed(stream).writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     schema = keyed(stream).schema.add("batch", IntegerType())
     changed = spark.read.option("basePath", out).schema(schema).parquet(f"{out}/batch=*") if exists(spark, out) else spark.createDataFrame([], schema)

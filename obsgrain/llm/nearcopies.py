@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import bounded, buffers, cut, fresh, lookup, scratch, slices, texts
+from obsgrain.llm.common import bounded, buffers, cut, fresh, lean, lookup, scratch, settings, slices, texts
 from obsgrain.llm.exact import located, place
 from obsgrain.llm.tokens import SPACE, mix, shingles, words
 
@@ -30,6 +30,8 @@ RARITY = 1.0
 #: Size of a bucket up to which its pairs are listed; size of a block of a larger one; pairs of one leader that meet in a task.
 ALL, BLOCK, FAN = 16, 512, 256
 _BLOCK = 1 << 14
+#: A row with profiles is as large as its texts: what passes to Python at once is bounded by bytes.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _SPACED = ~SPACE
 
 
@@ -88,7 +90,7 @@ def _sketch(rows: DataFrame, read) -> tuple[np.ndarray, int]:
 
     schema = "block int, part int, n long, width int, cells binary"
     tasks = max(1, rows.rdd.getNumPartitions())
-    sums = rows.mapInArrow(count, schema)
+    sums = rows.mapInArrow(lean(count), schema)
     while tasks > 1:
         sums = sums.groupBy("block", F.floor(F.col("part") / 64).alias("group")).applyInPandas(add, schema)
         tasks = -(-tasks // 64)
@@ -103,7 +105,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with a shingle in each cell of the sketch, and documents with words; over all of docs."""
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-        for part in slices(batch, 1 << 20):
+        for part in slices(batch, 1 << 19):
             sh, _, text, _, _ = profile(part.column("text"))
             yield sh, len(np.unique(text))
 
@@ -178,7 +180,7 @@ def signed(docs: DataFrame, rarity, seed: int = 0) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
 PROFILE = "doc_id long, sh array<long>, tf array<int>, w array<float>"
@@ -189,13 +191,13 @@ def profiles(docs: DataFrame, rarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 19):
                 sh, tf, text, _, _ = profile(part.column("text"))
                 offs = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32())
                 w = np.exp(_log_weights(sh, tf, rarity.value))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offs, pa.array(sh.astype(np.int64))), pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(w))], ["doc_id", "sh", "tf", "w"])
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(lean(run), PROFILE)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +222,7 @@ def similarities(sh_a: pa.Array, w_a: pa.Array, sh_b: pa.Array, w_b: pa.Array) -
 
 
 def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of the pairs (a, b, salt) whose profiles, looked up in said, are similar, as (a, b) with a < b.
+    """Those of the pairs (a, b, salt) whose profiles, looked up in said, are similar, as (a, b, similarity) with a < b.
 
     Many pairs may have the same a: its profile is sent once for each of its salts, so they meet in as many tasks.
     """
@@ -234,8 +236,8 @@ def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> Dat
 
     side = lambda x: said.select(F.col("doc_id").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("w").alias(f"w_{x}"))
     leaders = pairs.select("a", "salt").distinct().join(side("a"), "a")
-    found = pairs.join(side("b"), "b").join(leaders, ["a", "salt"]).mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= similar)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pairs.join(side("b"), "b").join(leaders, ["a", "salt"]).mapInArrow(lean(run), "a long, b long, similarity double").where(F.col("similarity") >= similar)
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
@@ -279,13 +281,18 @@ def prefixes(said: DataFrame, similar: float = SIMILAR) -> DataFrame:
     shared ones would lie beyond the prefix that ends first and weigh too little. Rarity is counted among the given profiles.
     """
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
+
     def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-        yield _flat(batch.column("sh"))[0].astype(np.uint64), batch.num_rows
+        for part in parts(batch):
+            yield _flat(part.column("sh"))[0].astype(np.uint64), part.num_rows
 
     cells = said.sparkSession.sparkContext.broadcast(_sketch(said.select("sh"), read)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             sh, offs = _flat(batch.column("sh"))
             w = _flat(batch.column("w"))[0].astype(float)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
@@ -296,11 +303,11 @@ def prefixes(said: DataFrame, similar: float = SIMILAR) -> DataFrame:
             keep = order[behind >= similar * total[row] * (1 - 1e-6)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[keep])), pa.array(sh[keep])], ["node", "key"])
 
-    return said.select("doc_id", "sh", "w").mapInArrow(run, "node long, key long")
+    return said.select("doc_id", "sh", "w").mapInArrow(lean(run), "node long, key long")
 
 
 def block_links(buckets: DataFrame, said: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) that connect nodes of each bucket (key, node, label, size) beyond the labels they have.
+    """Links (a, b, similarity) that connect nodes of each bucket (key, node, label, size) beyond the labels they have.
 
     A bucket's nodes fall in blocks of about BLOCK; every two blocks meet in one task, which compares all their nodes by
     matrix products and returns the links that join labels not joined before. Rows grow with nodes times blocks, not pairs.
@@ -309,7 +316,7 @@ def block_links(buckets: DataFrame, said: DataFrame, similar: float = SIMILAR) -
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     spread = buckets.select("key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     cells = spread.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return cells.join(said.withColumnRenamed("doc_id", "node"), "node").groupBy("key", "low", "high").applyInArrow(_compare(similar), "a long, b long").distinct()
+    return cells.join(said.withColumnRenamed("doc_id", "node"), "node").groupBy("key", "low", "high").applyInArrow(_compare(similar), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def _compare(similar: float):
@@ -318,7 +325,7 @@ def _compare(similar: float):
         nodes, keep = np.unique(table.column("node").to_numpy(), return_index=True)
         table = table.take(pa.array(keep))
         label = table.column("label").to_numpy()
-        a, b = similar_pairs(*(table.column(c).combine_chunks() for c in ("sh", "tf", "w")), similar)
+        a, b, sim = similar_pairs(*(table.column(c).combine_chunks() for c in ("sh", "tf", "w")), similar)
         parent = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
@@ -328,18 +335,18 @@ def _compare(similar: float):
             return x
 
         out = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        for i, j, how in zip(a.tolist(), b.tolist(), sim.tolist(), strict=True):
             x, y = find(label[i]), find(label[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append(sorted((int(nodes[i]), int(nodes[j]))))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                out.append((*sorted((int(nodes[i]), int(nodes[j]))), how))
+        return pa.table({"a": pa.array([x for x, _, _ in out], pa.int64()), "b": pa.array([y for _, y, _ in out], pa.int64()), "similarity": pa.array([z for *_, z in out], pa.float64())})
 
     return run
 
 
-def similar_pairs(sh: pa.Array, tf: pa.Array, w: pa.Array, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows whose weighted Jaccard similarity is at least `similar`.
+def similar_pairs(sh: pa.Array, tf: pa.Array, w: pa.Array, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of rows whose weighted Jaccard similarity is at least `similar`, and that similarity.
 
     A shingle that occurs t times stands for t units of equal weight, so that the smaller of two weights is a sum of shared
     units: a matrix product over the units of many rows, single additions over those of few.
@@ -374,7 +381,8 @@ def similar_pairs(sh: pa.Array, tf: pa.Array, w: pa.Array, similar: float = SIMI
         np.add.at(both, (row[i[same]], row[j[same]]), unit[i[same]])
         np.add.at(both, (row[j[same]], row[i[same]]), unit[i[same]])
     sim = both / np.maximum(total[:, None] + total[None] - both, 1e-9)
-    return np.nonzero(np.triu(sim >= similar - 1e-9, 1))
+    a, b = np.nonzero(np.triu(sim >= similar - 1e-9, 1))
+    return a, b, sim[a, b]
 
 
 #: Edges up to which one task joins them; more are joined by rounds of shuffles.
@@ -389,7 +397,7 @@ def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """
     one_task = ONE_TASK if one_task is None else one_task
     if edges.limit(one_task + 1).count() <= one_task:
-        return cut(edges.coalesce(1).mapInArrow(_unite, "node long, label long"))
+        return cut(edges.coalesce(1).mapInArrow(lean(_unite), "node long, label long"))
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
@@ -424,8 +432,8 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> DataFrame:
     """Classes of near copies; one row per row of docs.
 
-    Columns: doc_id, class_id (the least doc_id of its class), exact_id (the least doc_id with the same words). Texts without
-    words (null, empty) are one class; a text of fewer than five words is one shingle. A doc_id names a document: rows that
+    Columns: doc_id, class_id (the least doc_id of its class), exact_id (the least doc_id with the same words), near_id and
+    similarity (the most similar different text it was linked with, by its exact_id; null if with none). Texts without words (null, empty) are one class; a text of fewer than five words is one shingle. A doc_id names a document: rows that
     share it share its class. A row without a doc_id gets the class of the texts with the same words, null if there is none
     with an id. A table without rows gives none; columns other than doc_id and text are not read. A very long text is one
     row with a profile in proportion.
@@ -435,6 +443,12 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
     buckets that are not connected by then meet again by their rarest shingles, of which texts of that similarity share one;
     what is large and not connected even so is compared whole, in blocks. So no pair that shares a bucket is left out.
     """
+    with settings(docs.sparkSession, BATCHES):
+        return _classes(docs, similar, seed)
+
+
+def _classes(docs: DataFrame, similar: float, seed: int) -> DataFrame:
+    """The result of near_copies. What runs Python runs here; the result itself only joins tables that are written."""
     spark = docs.sparkSession
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     rarity = spark.sparkContext.broadcast(log_rarity(*frequencies(rows)))
@@ -457,13 +471,17 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, seed: int = 0) -> Dat
         # (rows of one doc_id with different texts are compared by any of them)
         again = cut(prefixes(lookup(said, rest.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi"), similar).distinct())
         again = cut(led(cut(different(again)), seed))
-        edges = cut(edges.unionByName(verified(candidates(again), said, similar)).distinct())
+        edges = cut(edges.unionByName(verified(candidates(again), said, similar)).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
         labels = components(edges)
         last = cut(block_links(unsettled(again, labels), said, similar))
         if not last.isEmpty():
-            labels = components(edges.unionByName(last))
-    out = lookup(member.select("doc_id", "exact_id"), labels.withColumnRenamed("node", "exact_id"), ["exact_id"], "left", salt="doc_id")
-    return out.select("doc_id", F.coalesce("label", "exact_id").alias("class_id"), "exact_id")
+            edges = cut(edges.unionByName(last))
+            labels = components(edges)
+    sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))
+    best = sides.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("other")).alias("back"))).alias("best"))
+    named = cut(labels.join(best, "node", "left").select(F.col("node").alias("exact_id"), "label", (-F.col("best.back")).alias("near_id"), F.col("best.similarity").alias("similarity")))
+    out = lookup(member.select("doc_id", "exact_id"), named, ["exact_id"], "left", salt="doc_id")
+    return out.select("doc_id", F.coalesce("label", "exact_id").alias("class_id"), "exact_id", "near_id", "similarity")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import buffers, slices, texts
+from obsgrain.llm.common import buffers, lean, slices, texts
 
 #: Fixed values: (kind, pattern, group whose length counts, least length). The first three are the base kinds. A pattern that
 #: begins with an open run looks behind for the run's start, so that a long run is tried once and not at each of its places.
@@ -272,4 +272,4 @@ def secrets(docs: DataFrame, rules: list[tuple[str, str, int, int]] | None = Non
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_extra"])
 
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_extra long")
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_extra long")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import buffers, slices, texts
+from obsgrain.llm.common import buffers, lean, slices, texts
 from obsgrain.llm.tokens import ALNUM, words
 
 #: Hash buckets of words (as many again are for their first PREFIX bytes), size of an embedding, filter widths and filters of each width.
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, seed:
                 offs = pa.array(first, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("lang"), *(pa.ListArray.from_arrays(offs, pa.array(t.astype(np.int32))) for t in tok)], ["doc_id", "y", "lang", "own", "head"])
 
-    sample = rows.mapInArrow(run, "doc_id long, y int, lang string, own array<int>, head array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    sample = rows.mapInArrow(lean(run), "doc_id long, y int, lang string, own array<int>, head array<int>").toArrow().combine_chunks().sort_by("doc_id")
     sides = [sample[c].combine_chunks() for c in ("own", "head")]
     if not sample.num_rows:
         return fit([], seed)
@@ -263,4 +263,4 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 cut = np.array([model.thresholds.get(x or "", CUT) for x in part.column("lang").to_pylist()], float)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(cut), pa.array(score >= cut)], ["doc_id", "held_out", "score", "predicted", "lang_cut", "flagged"])
 
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, lang_cut double, flagged boolean")
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, lang_cut double, flagged boolean")
