@@ -167,23 +167,24 @@ def mi_exact_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(info.corrected(info.mutual_information(b, s), info.exact_null(b, s)))
 
 
-_PERMS = 5
+_PERMS = 20
 
 
 @query(
-    f"WITH {OBS_D.replace('obs AS', 'o AS')}, obs AS (SELECT * FROM o WHERE feature IN ('e', 'log_chars')), {_bins(5)}, s AS (SELECT count(DISTINCT entity) AS s FROM obs), "
+    f"WITH {OBS_D}, {_bins(5)}, s AS (SELECT count(DISTINCT entity) AS s FROM obs), "
     f"a AS (SELECT feature, bin, p, row_number() OVER (PARTITION BY feature, p ORDER BY md5('0:' || p::VARCHAR || ':' || obs_id::VARCHAR), obs_id) AS k FROM b CROSS JOIN (SELECT unnest(range({_PERMS})) AS p)), "
     "l AS (SELECT feature, entity, row_number() OVER (PARTITION BY feature ORDER BY obs_id) AS k FROM b), cell AS (SELECT feature, p, bin, entity, count(*) AS c FROM a JOIN l USING (feature, k) GROUP BY ALL), "
     "nb AS (SELECT *, sum(c) OVER (PARTITION BY feature, p, bin) AS nb FROM cell), h AS (SELECT feature, p, -sum(c * log2(c / nb)) / sum(c) AS h FROM nb GROUP BY ALL) SELECT feature, round(avg(log2(s) - h), 6) AS i_null FROM h, s GROUP BY 1"
 )
 def mi_hash_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = obs_d(spark, sf_dir, ["e", "log_chars"])
+    """Of all features, over permutations that SQL repeats; mi_permutation_null draws the reference's 200."""
+    obs = obs_d(spark, sf_dir, once=True)
     return rounded(info.hashed_null(info.quantile_bins(obs, 5), info.entity_count(obs), _PERMS))
 
 
 @query(None)
 def mi_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The null of all features over the reference's 200 permutations, drawn as tables; mi_hash_null has permutations that SQL repeats."""
+    """The null of all features over the reference's 200 permutations, drawn as tables."""
     obs = obs_d(spark, sf_dir, once=True)
     return rounded(info.sampled_null(cut(info.quantile_bins(obs, 5)), info.entity_count(obs), 200))
 
