@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from obsgrain.operators.cuts import cut, discard, scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "bounded", "buffers", "cut", "discard", "fresh", "lean", "lookup", "rank_file", "scratch", "settings", "shared_dir", "slices", "texts"]
+__all__ = ["BROADCAST_ROWS", "bounded", "buffers", "cut", "discard", "fresh", "lean", "lookup", "rank_file", "scratch", "settings", "shared_dir", "slices", "texts", "tidy"]
 
 #: Rows up to which a table with narrow rows may be broadcast.
 BROADCAST_ROWS = 1 << 20
@@ -50,6 +51,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are cut off: Spark deletes them when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the jobs and streams that are started inside, put back afterwards."""

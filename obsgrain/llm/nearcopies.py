@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgrain.llm.common import bounded, buffers, cut, fresh, lean, lookup, scratch, settings, slices, texts
+from obsgrain.llm.common import bounded, buffers, cut, fresh, lean, lookup, scratch, settings, slices, texts, tidy
 from obsgrain.llm.exact import located, place
 from obsgrain.llm.tokens import SPACE, mix, shingles, words
 
@@ -464,7 +464,9 @@ def _classes(docs: DataFrame, similar: float, seed: int) -> DataFrame:
     profiles(lookup(rows.where("doc_id is not null"), cut(active.select(F.col("node").alias("doc_id")).distinct()), ["doc_id"], "left_semi"), rarity).write.parquet(path)
     said = spark.read.schema(PROFILE).parquet(path)
     active = cut(led(active, seed))
+    tidy(spark)
     edges = cut(verified(candidates(active), said, similar))
+    tidy(spark)
     labels = components(edges)
     rest = cut(unsettled(active, labels).select("node").distinct())
     if not rest.isEmpty():
@@ -473,6 +475,7 @@ def _classes(docs: DataFrame, similar: float, seed: int) -> DataFrame:
         again = cut(led(cut(different(again)), seed))
         edges = cut(edges.unionByName(verified(candidates(again), said, similar)).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
         labels = components(edges)
+        tidy(spark)
         last = cut(block_links(unsettled(again, labels), said, similar))
         if not last.isEmpty():
             edges = cut(edges.unionByName(last))
