@@ -108,7 +108,7 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False, keep:
         enc = encoding(path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            for part in slices(batch, 1 << 22):
+            for part in slices(batch, 1 << 19):
                 rows = []
                 for text in part.column("text").to_pylist():
                     ids, raw = encode(text, enc), text.encode()
@@ -119,6 +119,7 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False, keep:
                 arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=False)]
                 own = [part.column(f"__{c}") for c in kept]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *arrays, *own], [*(x.split()[0] for x in fields), *kept])
+        encoding.cache_clear()  # quickly made again; idle workers do not hold it
 
     return rows.mapInArrow(lean(run), ", ".join([*fields, *(f"`{c}` {kind}" for c, kind in kept.items())]))
 

@@ -105,7 +105,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with a shingle in each cell of the sketch, and documents with words; over all of docs."""
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-        for part in slices(batch, 1 << 19):
+        for part in slices(batch, 1 << 18):
             sh, _, text, _, _ = profile(part.column("text"))
             yield sh, len(np.unique(text))
 
@@ -156,7 +156,7 @@ def signed(docs: DataFrame, rarity, seed: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 19):
+            for part in slices(batch, 1 << 18):
                 sh, tf, text, hashes, first = profile(part.column("text"))
                 rows = part.num_rows
                 n = np.bincount(text, minlength=rows)
@@ -191,7 +191,7 @@ def profiles(docs: DataFrame, rarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 19):
+            for part in slices(batch, 1 << 18):
                 sh, tf, text, _, _ = profile(part.column("text"))
                 offs = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32())
                 w = np.exp(_log_weights(sh, tf, rarity.value))
@@ -229,8 +229,8 @@ def verified(pairs: DataFrame, said: DataFrame, similar: float = SIMILAR) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sim = similarities(*(part.column(c) for c in ("sh_a", "w_a", "sh_b", "w_b")))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], ["a", "b", "similarity"])
 
