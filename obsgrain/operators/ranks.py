@@ -48,7 +48,9 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...]
     for a in at:
         wanted |= (F.col("__k") - 1).isin(F.floor(a), F.ceil(a))
     g = d.where(wanted).groupBy(*by).agg(F.max("__n").alias("__n"), *ends)
-    found = [F.when(F.floor(a) == F.ceil(a), F.col(f"__l{k}")).otherwise((F.ceil(a) - a) * F.col(f"__l{k}") + (a - F.floor(a)) * F.col(f"__h{k}")) for k, a in enumerate(at)]
+    # between two equal values lies that value itself: a sum of two shares may be off by a bit, and rows tied with an edge change sides
+    low, high = ([F.col(f"__{e}{k}") for k in range(len(at))] for e in "lh")
+    found = [F.when(lo == hi, lo).otherwise((F.ceil(a) - a) * lo + (a - F.floor(a)) * hi) for lo, hi, a in zip(low, high, at, strict=True)]
     return g.select(*by, F.array(*found).alias("q"))
 
 

@@ -257,6 +257,15 @@ def test_quantiles_by_ranks_are_the_aggregates(spark):
         assert a.keys() == b.keys() and all(b[g] == pytest.approx(a[g], abs=1e-12) for g in a)
 
 
+def test_quantiles_of_equal_values_are_that_value(spark):
+    """Both methods, bit for bit: a sum of two shares of one value may be off by its last bit."""
+    rng = np.random.default_rng(0)
+    rows = [(f"g{k}", float(v)) for k, v in enumerate(rng.random(200)) for _ in range(3 + k)]
+    d, want = spark.createDataFrame(rows, "g string, v double"), dict(rows)
+    for m in ("aggregate", "ranked"):
+        assert all(set(r["q"]) == {want[r["g"]]} for r in ranks.quantiles(d, "v", [0.2, 0.4, 0.6, 0.8], ("g",), m).collect()), m
+
+
 def test_bounded(spark, monkeypatch):
     monkeypatch.setattr(cuts, "BROADCAST_ROWS", 3)
     assert "hint" in cuts.bounded(spark.range(3))._jdf.queryExecution().logical().toString().lower() or "broadcast" in cuts.bounded(spark.range(3))._jdf.queryExecution().logical().toString().lower()
