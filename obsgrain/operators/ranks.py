@@ -11,23 +11,29 @@ from obsgrain.operators.cuts import bounded, cut
 RANKED_FROM = 1 << 22
 
 
-def ranked(df: DataFrame, order: list, by: tuple[str, ...] = (), name: str = "k") -> DataFrame:
+#: Rows of a range where the number of rows is known.
+RANGE_ROWS = 1 << 18
+
+
+def ranked(df: DataFrame, order: list, by: tuple[str, ...] = (), name: str = "k", rows: int | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds the rank from 1 in the given order, within each group of `by` (nulls are a group). Ties are ranked in any order.
 
-    What lies before a range is one row a range and group that goes on from one range to the next, and is broadcast.
+    A range is sorted once and lies as it was sorted, so a rank is a difference of row numbers and what lies before: one row a
+    range and group, broadcast if their number allows it. rows: how many df has, if that is known; the ranges then hold about
+    RANGE_ROWS each, whatever df's size. drop: columns that only order.
     """
     sort = [*by, *order]
-    d = cut(df.repartitionByRange(*sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")))
-    per = d.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    dealt = df.repartitionByRange(*([] if rows is None else [max(1, -(-rows // RANGE_ROWS))]), *sort).sortWithinPartitions(*sort)
+    d = cut(dealt.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")).drop(*drop))
+    per = d.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = per.withColumn("__b", F.sum("__n").over(earlier)).where("__b is not null")
+    before = per.withColumn("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")) - F.col("__first"))
     before = bounded(cut(before.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__p").alias("__of"), "__b")))
-    own = F.row_number().over(Window.partitionBy("__p", *by).orderBy("__i")) if by else F.col("__i").bitwiseAND((1 << 33) - 1) + 1
     same = F.col("__p") == F.col("__of")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-    out = d.withColumn("__own", own).join(before, same, "left")
-    return out.withColumn(name, (F.col("__own") + F.coalesce("__b", F.lit(0).cast("long"))).cast("long")).drop("__p", "__i", "__own", "__of", "__b", *[f"__by_{c}" for c in by])
+    out = d.join(before, same)
+    return out.withColumn(name, F.col("__i") + F.col("__b") + 1).drop("__p", "__i", "__of", "__b", *[f"__by_{c}" for c in by])
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...] = (), method: str = "auto") -> DataFrame:
@@ -40,7 +46,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...]
     if method == "aggregate" or (method == "auto" and rows.limit(RANKED_FROM + 1).count() <= RANKED_FROM):
         return rows.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     sizes = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
-    d = ranked(rows, ["__v"], by, "__k")
+    d = ranked(rows, ["__v"], by, "__k", rows=sizes.agg(F.sum("__n").alias("n")).first()["n"])
     d = d.join(bounded(sizes.select(*[F.col(c).alias(f"__g_{c}") for c in by], "__n")), _all_same(by)) if by else d.crossJoin(F.broadcast(sizes))
     at = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
     ends = [e for k, a in enumerate(at) for e in (F.max(F.when(F.col("__k") - 1 == F.floor(a), F.col("__v"))).alias(f"__l{k}"), F.max(F.when(F.col("__k") - 1 == F.ceil(a), F.col("__v"))).alias(f"__h{k}"))]

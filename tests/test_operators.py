@@ -257,6 +257,16 @@ def test_quantiles_by_ranks_are_the_aggregates(spark):
         assert a.keys() == b.keys() and all(b[g] == pytest.approx(a[g], abs=1e-12) for g in a)
 
 
+def test_ranges_stay_small_where_the_number_of_rows_is_known(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100)
+    d = spark.range(2000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 2000).alias("v"))
+    r = ranks.ranked(d, ["v"], ("g",), rows=2000).withColumn("p", F.spark_partition_id()).collect()
+    sizes = [sum(x["p"] == p for x in r) for p in {x["p"] for x in r}]
+    assert len(sizes) >= 15 and max(sizes) < 400
+    for g in range(3):
+        assert [x["k"] for x in sorted((x for x in r if x["g"] == g), key=lambda x: x["v"])] == list(range(1, sum(x["g"] == g for x in r) + 1))
+
+
 def test_quantiles_of_equal_values_are_that_value(spark):
     """Both methods, bit for bit: a sum of two shares of one value may be off by its last bit."""
     rng = np.random.default_rng(0)
