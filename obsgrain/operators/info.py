@@ -60,14 +60,43 @@ def mutual_information(binned: DataFrame, entities: DataFrame, by: tuple[str, ..
 
 
 def hashed_null(binned: DataFrame, entities: DataFrame, n_perm: int, by: tuple[str, ...] = ("feature",), seed: int = 0) -> DataFrame:
-    """Mean i_raw over label permutations: labels by rank of obs_id meet rows by rank of a hash of (seed, permutation, obs_id)."""
-    keys = [*by]
-    perms = binned.select(*keys, "obs_id", "bin", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    a = ranked(perms.withColumn("__o", hash_order(F.lit(seed), F.col("perm"), F.col("obs_id"))), ["__o", "obs_id"], (*keys, "perm")).drop("__o")
-    b = ranked(binned.select(*keys, "entity", "obs_id"), ["obs_id"], by).drop("obs_id")
-    mixed = a.join(b, [*keys, "k"])
+    """Mean i_raw over label permutations: labels by rank of obs_id meet rows by rank of a hash of (seed, permutation, obs_id).
+
+    The order does not depend on the group. So groups that are measured on the same rows are dealt once, and a dealt row is an id
+    and a label; the bins of all groups of a row meet it afterwards and are counted before they are shuffled.
+    """
+    group = F.struct(*by)
+    cells = binned.select(group.alias("g"), "obs_id", "entity", "bin").repartition("obs_id")
+    # rows that share an id are told apart, so each is dealt its own label
+    cells = cells.withColumn("copy", F.row_number().over(Window.partitionBy("obs_id", "g").orderBy("entity", "bin")))
+    wide = cells.groupBy("obs_id", "copy", "entity").agg(F.array_sort(F.collect_list(F.struct("g", "bin"))).alias("c"))
+    wide = cut(wide.withColumn("id", F.monotonically_increasing_id()))
+    same = cut(_measured_together(wide.select(F.transform("c", lambda x: x["g"]).alias("m"))))
+    of = bounded(same)
+    parts = wide.select("id", "obs_id", "copy", "entity", F.explode("c").alias("x")).join(of, F.col("x.g") == F.col("g"))
+    rows = cut(parts.groupBy("id", "cls").agg(F.first("obs_id").alias("obs_id"), F.first("copy").alias("copy"), F.first("entity").alias("entity"), F.collect_list("x").alias("c")))
+    n = rows.count()
+    own = ranked(rows.select("cls", "obs_id", "copy", "entity"), ["obs_id", "copy"], ("cls",), rows=n, drop=("obs_id", "copy"))
+    perms = rows.select("cls", "id", "obs_id", "copy", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    perms = perms.withColumn("__o", F.unhex(hash_order(F.lit(seed), F.col("perm"), F.col("obs_id"))))
+    dealt = ranked(perms, ["__o", "obs_id", "copy"], ("cls", "perm"), rows=n * n_perm, drop=("__o", "obs_id", "copy")).join(own, ["cls", "k"])
+    mixed = dealt.select("cls", "id", "perm", "entity").join(rows.select("cls", "id", "c"), ["cls", "id"]).select("perm", "entity", F.explode("c").alias("x")).select("perm", "entity", "x.g.*", "x.bin")
     one = conditional_entropy(mixed, (*by, "perm")).crossJoin(F.broadcast(entities))
-    return one.groupBy(*keys).agg(F.avg(F.log2("s") - F.col("h_cond")).alias("i_null"))
+    return one.groupBy(*by).agg(F.avg(F.log2("s") - F.col("h_cond")).alias("i_null"))
+
+
+def _measured_together(masks: DataFrame) -> DataFrame:
+    """(g, cls) of rows that each list the groups measured on them: groups measured on exactly the same rows are one class.
+
+    Two groups are, if as many rows have both as have either; counted over the distinct lists.
+    """
+    lists = masks.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lists.select("n", F.explode("m").alias("a"), "m").select("n", "a", F.explode("m").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    alone = pairs.where("a = b")
+    both = pairs.join(alone.select("a", F.col("n").alias("na")), "a").join(alone.select("b", F.col("n").alias("nb")), "b").where("n = na and n = nb")
+    least = both.groupBy("a").agg(F.min("b").alias("first"))
+    classes = least.select("first").distinct().withColumn("cls", F.monotonically_increasing_id())
+    return least.join(cut(classes), "first").select(F.col("a").alias("g"), "cls")
 
 
 def sampled_null(binned: DataFrame, entities: DataFrame, n_perm: int, by: tuple[str, ...] = ("feature",), seed: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
 """Closed-form identities and edge cases of operators."""
 
+import collections
+import hashlib
 import math
 
 import numpy as np
@@ -537,3 +539,23 @@ def test_pitch_and_voice_quality_of_a_regular_voice(f0):
     assert kernels.perturbation(rough, f0, 16000)[1] > shimmer
     noise = np.random.default_rng(1).normal(0, 0.1, 16000)
     assert np.nanmean(kernels.cepstral_peak(x, 16000)) > np.nanmean(kernels.cepstral_peak(noise, 16000))
+
+
+def test_hashed_null_deals_groups_measured_together_once(spark, monkeypatch):
+    """Against plain Python, with rows missing in one feature and an id that two rows share."""
+    dealt, ranked = [], ranks.ranked
+    monkeypatch.setattr(info, "ranked", lambda df, *a, **k: dealt.append(df.count()) or ranked(df, *a, **k))
+    rows = [(f"e{k % 3}", k, f, (k * 7 + j * 5) % 4) for k in range(60) for j, f in enumerate("abc") if f != "c" or k % 2]
+    b = spark.createDataFrame(rows, "entity string, obs_id long, feature string, bin int")
+    got = {r["feature"]: r["i_null"] for r in info.hashed_null(b, info.entity_count(b), 4).collect()}
+    assert dealt == [60 + 30, 4 * (60 + 30)]
+    for f in "abc":
+        own, total = sorted((k, e, x) for e, k, g, x in rows if g == f), 0.0
+        for p in range(4):
+            order = sorted(own, key=lambda r: hashlib.md5(f"0:{p}:{r[0]}".encode()).hexdigest())
+            both = collections.Counter((o[2], r[1]) for o, r in zip(order, own, strict=True))
+            bins = collections.Counter(o[2] for o in order)
+            total += math.log2(3) + sum(c * math.log2(c / bins[x]) for (x, _), c in both.items()) / len(own)
+        assert got[f] == pytest.approx(total / 4, abs=1e-9)
+    twice = b.unionByName(b.where("obs_id = 0"))
+    assert {r["feature"] for r in info.hashed_null(twice, info.entity_count(b), 2).collect()} == set("abc") and dealt[2] == 61 + 30
