@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 
 import numpy as np
@@ -559,3 +560,18 @@ def test_hashed_null_deals_groups_measured_together_once(spark, monkeypatch):
         assert got[f] == pytest.approx(total / 4, abs=1e-9)
     twice = b.unionByName(b.where("obs_id = 0"))
     assert {r["feature"] for r in info.hashed_null(twice, info.entity_count(b), 2).collect()} == set("abc") and dealt[2] == 61 + 30
+
+
+def test_folds_are_fitted_on_all_rows_a_block_at_a_time(monkeypatch):
+    assert inspect.signature(classify.run_folds).parameters["most_train"].default is None
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 500)
+    x = rng.normal(0, 1, (500, 4)) + y[:, None]
+    whole = [f(x, y, 3) for f in (classify.softmax_regression, classify.discriminant)]
+    monkeypatch.setattr(classify, "BLOCK_CELLS", 100)
+    for a, b in zip(whole, (classify.softmax_regression(x, y, 3), classify.discriminant(x, y, 3)), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+    means = np.stack([x[y == k].mean(0) for k in range(3)])
+    r = x - means[y]
+    coef = np.linalg.solve(classify.shrunk_covariance(r / r.std(0)) * np.outer(r.std(0), r.std(0)), means.T)
+    assert np.allclose(whole[1][:-1], coef)
