@@ -64,3 +64,13 @@ def test_formants_and_creak_from_outside(spark):
     q = extract.recording_quality(d).collect()
     assert len(q) == 2 and all(r["clip_pct"] == 0 and r["bandwidth_hz"] > 100 for r in q)
     assert extract.recording_quality(d.withColumn("samples", F.lit(None).cast("array<double>"))).first()["snr_db"] is None
+
+
+def test_utterances_of_one_file_are_dealt_over_tasks(spark, sf):
+    from obsgrain.plans import data_queries
+    from obsgrain.plans.tables import signals
+
+    n = signals(spark, sf).count()
+    d = data_queries._utterances(spark, sf)
+    assert d.rdd.getNumPartitions() == -(-n // data_queries._TASK_UTTERANCES) > 1
+    assert d.select("utt_id").distinct().count() == n
