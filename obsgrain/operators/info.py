@@ -139,6 +139,15 @@ def ln_factorial(x: Column) -> Column:
     return F.when(x < 16, table[F.greatest(F.least(x, F.lit(15.0)), F.lit(0.0)).cast("int")]).otherwise(series)
 
 
+def overlaps(a: Column, c: Column, n: Column) -> tuple[Column, Column]:
+    """Least and most m of a hypergeometric sum that weigh anything in a double.
+
+    P(|m - ac/n| >= t) <= 2 exp(-2 t^2 / min(a, c)) (Hoeffding): all beyond t = 8 sqrt(min(a, c)) together weighs below 1e-54.
+    """
+    mid, reach = a.cast("double") * c / n, 8 * F.sqrt(F.least(a, c).cast("double"))
+    return F.greatest(F.lit(1).cast("long"), a + c - n, F.floor(mid - reach).cast("long")), F.least(a, c, F.ceil(mid + reach).cast("long"))
+
+
 def exact_null(binned: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """The expectation of i_raw over all label permutations, by the hypergeometric distribution.
 
@@ -149,7 +158,7 @@ def exact_null(binned: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("f
     a = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("a")).groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("na"))
     c = binned.groupBy(*keys, "entity").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("nc"))
     n = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
-    low, high = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("c") - F.col("N")), F.least("a", "c")
+    low, high = overlaps(F.col("a"), F.col("c"), F.col("N"))
     m = a.join(c, keys).join(n, keys).where(high >= low).withColumn("m", F.explode(F.sequence(low, high)))
     N, A, C, M = (F.col(x).cast("double") for x in ("N", "a", "c", "m"))
     lf = ln_factorial

@@ -575,3 +575,14 @@ def test_folds_are_fitted_on_all_rows_a_block_at_a_time(monkeypatch):
     r = x - means[y]
     coef = np.linalg.solve(classify.shrunk_covariance(r / r.std(0)) * np.outer(r.std(0), r.std(0)), means.T)
     assert np.allclose(whole[1][:-1], coef)
+
+
+def test_exact_null_lists_only_overlaps_that_weigh_something(spark):
+    """Against the sum over all overlaps; 40,000 rows in two bins of half, one label on a half."""
+    b = spark.range(40000).select((F.col("id") % 2).cast("string").alias("entity"), F.lit("f").alias("feature"), (F.col("id") % 4 > 1).cast("int").alias("bin"))
+    n, half = 40000, 20000
+    lf = math.lgamma
+    want = 4 * math.fsum(m / n * math.log2(n * m / half**2) * math.exp(4 * lf(half + 1) - lf(n + 1) - 2 * lf(m + 1) - 2 * lf(half - m + 1)) for m in range(1, half + 1))
+    assert info.exact_null(b, info.entity_count(b)).first()["i_null"] == pytest.approx(want, rel=1e-6)
+    low, high = spark.range(1).select(*info.overlaps(*[F.lit(x).cast("long") for x in (half, half, n)])).first()
+    assert 8500 < low < half // 2 < high < 11500
