@@ -32,11 +32,12 @@ def complete(means: DataFrame) -> DataFrame:
 
 def pairwise_covariance(means: DataFrame, ddof: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, cov) for i <= j: over entities with both means; the diagonal over each feature's own. Fewer than two give 0.
+    Means without an entity (NULL) belong to none and are left out.
 
     Each entity's cells are gathered into one row and its pairs made there: the join on entity that a self-join would need
     is spared, and sums are made on the map side.
     """
-    cells = means.where("x is not null").groupBy(*by, "entity").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("c"))
+    cells = means.where("x is not null and entity is not null").groupBy(*by, "entity").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("c"))
     pairs = F.flatten(F.transform("c", lambda a, k: F.transform(F.slice("c", k + 1, F.size("c") - k), lambda b: F.struct(a["feature"].alias("i"), b["feature"].alias("j"), a["x"].alias("a"), b["x"].alias("b")))))
     p = cells.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*")
     cov = F.covar_pop("a", "b") if ddof == 0 else F.covar_samp("a", "b")

@@ -45,6 +45,30 @@ def test_against_duckdb(spark, duck, sf, name):
     assert cells([tuple(r) for r in got.collect()], got.columns) == cells(want.fetchall(), want.columns)
 
 
+@pytest.fixture(scope="module")
+def gaps(sf, tmp_path_factory):
+    """Documents without a language, an id, a text or letters, and some that share an id."""
+    d = tmp_path_factory.mktemp("gaps")
+    c = duckdb.connect()
+    c.execute(
+        "COPY (SELECT CASE doc_id WHEN 77 THEN NULL WHEN 20 THEN 10 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 41 = 3 THEN NULL WHEN doc_id % 43 = 5 THEN '' ELSE text END AS text, CASE doc_id WHEN 10 THEN 'en' WHEN 20 THEN 'en' ELSE CASE WHEN doc_id % 23 <> 4 THEN lang END END AS lang, "
+        f"source, CASE WHEN doc_id % 41 <> 3 THEN n_chars END AS n_chars FROM '{sf}/documents.parquet') TO '{d}/documents.parquet' (FORMAT parquet)"
+    )
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    return c, str(d)
+
+
+def _same_with_gaps(spark, gaps, name):
+    c, d = gaps
+    got, want = catalogue.QUERIES[name](spark, d), c.sql(catalogue.ORACLE_SQL[name])
+    assert cells([tuple(r) for r in got.collect()], got.columns) == cells(want.fetchall(), want.columns)
+
+
+@pytest.mark.parametrize("name", "fisher_components fisher_table_long hurdle_cov speaker_means pairwise_cov participation_ratio pr_exclude pr_incremental pr_option_b".split())
+def test_missing_language_or_id_is_no_entity(spark, gaps, name):
+    _same_with_gaps(spark, gaps, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
