@@ -52,8 +52,14 @@ def natural_key(name: Column) -> list[Column]:
 
 
 def hash_order(*parts: Column) -> Column:
-    """An order that depends on its parts alone, the same in any engine."""
-    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    """An order that depends on its parts alone, the same in any engine; NULL if a part is."""
+    first, *rest = (p.cast("string") for p in parts)
+    return F.md5(F.concat(first, *[c for p in rest for c in (F.lit(":"), p)]))
+
+
+def ascending(*columns: Column | str) -> list[Column]:
+    """Ascending sort keys, NULLs last (Spark's own default is first)."""
+    return [F.asc_nulls_last(c) for c in columns]
 
 
 def rescale_seconds(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsgrain.functions.scalars import ascending
 from obsgrain.operators.cuts import bounded, cut
 
 #: Rows from which quantiles are found by ranks instead of an aggregate that holds a group's distinct values.
@@ -16,13 +17,13 @@ RANGE_ROWS = 1 << 18
 
 
 def ranked(df: DataFrame, order: list, by: tuple[str, ...] = (), name: str = "k", rows: int | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the rank from 1 in the given order, within each group of `by` (nulls are a group). Ties are ranked in any order.
+    """Adds the rank from 1 in the given order, within each group of `by` (nulls are a group). Ties are ranked in any order, nulls of a named column last.
 
     A range is sorted once and lies as it was sorted, so a rank is a difference of row numbers and what lies before: one row a
     range and group, broadcast if their number allows it. rows: how many df has, if that is known; the ranges then hold about
     RANGE_ROWS each, whatever df's size. drop: columns that only order.
     """
-    sort = [*by, *order]
+    sort = [*by, *[ascending(c)[0] if isinstance(c, str) else c for c in order]]
     dealt = df.repartitionByRange(*([] if rows is None else [max(1, -(-rows // RANGE_ROWS))]), *sort).sortWithinPartitions(*sort)
     d = cut(dealt.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")).drop(*drop))
     per = d.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsgrain.functions.scalars import hash_order
+from obsgrain.functions.scalars import ascending, hash_order
 from obsgrain.operators.cuts import cut
 from obsgrain.operators.ranks import quantiles, ranked
 from obsgrain.operators.spectrum import feature_names, incremental, pr_by
@@ -23,8 +23,8 @@ def entity_order(obs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, m: int) -> DataFrame:
-    """First m rows of each group. Spark prunes groups before the shuffle (WindowGroupLimit)."""
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= m).drop("__k")
+    """First m rows of each group, nulls of a named column last. Spark prunes groups before the shuffle (WindowGroupLimit)."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*[ascending(c)[0] if isinstance(c, str) else c for c in order]))).where(F.col("__k") <= m).drop("__k")
 
 
 def nested_subset(obs: DataFrame, n: int, m: int, seed: int = 0) -> DataFrame:
@@ -35,7 +35,7 @@ def nested_subset(obs: DataFrame, n: int, m: int, seed: int = 0) -> DataFrame:
 
 def folds(rows: DataFrame, k: int, label: str = "entity", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds fold: stratified by label (within each group of by), in hash order of obs_id."""
-    w = Window.partitionBy(*by, label).orderBy(hash_order(F.lit(seed), F.col("obs_id")), "obs_id")
+    w = Window.partitionBy(*by, label).orderBy(*ascending(hash_order(F.lit(seed), F.col("obs_id")), "obs_id"))
     return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("long"))
 
 
@@ -52,11 +52,14 @@ def dealt(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def permuted_means(obs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(replicate, entity, feature, x): entity means after labels are dealt anew; an observation's features travel in one row."""
+    """(replicate, entity, feature, x): entity means after labels are dealt anew; an observation's features travel in one row.
+
+    Rows that share an id get the same label and all count.
+    """
     names = feature_names(obs)
-    wide = obs.groupBy("obs_id").pivot("feature", names).agg(F.first("x"))
-    wide = wide.select("obs_id", *[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(names)])
-    means = dealt(obs, n, seed).join(wide, "obs_id").groupBy("replicate", "entity").agg(*[F.avg(f"x{k}").alias(f"x{k}") for k in range(len(names))])
+    wide = obs.where("obs_id is not null").groupBy("obs_id").pivot("feature", names).agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    wide = wide.select("obs_id", *[F.col(f"`{c}_{a}`").alias(f"{a}{k}") for k, c in enumerate(names) for a in "sn"])
+    means = dealt(obs, n, seed).join(wide, "obs_id").groupBy("replicate", "entity").agg(*[F.try_divide(F.sum(f"s{k}"), F.sum(f"n{k}")).alias(f"x{k}") for k in range(len(names))])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"x{k}").alias("x")) for k, c in enumerate(names)])
     return means.select("replicate", "entity", F.explode(cells).alias("c")).select("replicate", "entity", "c.feature", "c.x")
 
@@ -97,7 +100,7 @@ def poisson_weight(*parts: Column) -> Column:
 
 
 def pr_bootstrap(means: DataFrame, n: int = 200, seed: int = 0, tasks: int = 256) -> DataFrame:
-    """PR of n resamples of entities with replacement: (replicate, pr), over pairs of measured means.
+    """PR of n resamples of entities with replacement: (replicate, pr), over pairs of measured means; what has no entity (NULL) is none.
 
     Each entity is taken Poisson(1) times in a replicate, which needs no count of all entities and no entity-by-feature matrix
     in one place: each of at most `tasks` tasks sums weighted moments of its entities, replicates by pairs, and one row a
@@ -105,7 +108,7 @@ def pr_bootstrap(means: DataFrame, n: int = 200, seed: int = 0, tasks: int = 256
     """
     names = feature_names(means)
     p = len(names)
-    wide = means.groupBy("entity").pivot("feature", names).agg(F.first("x"))
+    wide = means.where("entity is not null").groupBy("entity").pivot("feature", names).agg(F.first("x"))
     weights = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: poisson_weight(F.lit(seed), b, F.col("entity")).cast("int"))
     rows = wide.select("entity", F.array(*[F.col(f"`{c}`") for c in names]).alias("x")).repartition(min(tasks, max(1, wide.rdd.getNumPartitions())), "entity").select("x", weights.alias("w"))
 

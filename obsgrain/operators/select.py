@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsgrain.functions.scalars import hash_order
+from obsgrain.functions.scalars import ascending, hash_order
 from obsgrain.operators.ranks import quantiles, ranked
 
 
@@ -22,7 +22,7 @@ def select_entities(df: DataFrame, n: int, m: int, least_duration: float, seed:
     df: entity, stratum, obs_id, duration.
     """
     kept = having(df, "entity", f"duration >= {least_duration}", m)
-    order = kept.select("stratum", "entity").distinct().withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(F.lit(seed), F.col("entity")), "entity")))
+    order = kept.select("stratum", "entity").distinct().withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy(*ascending(hash_order(F.lit(seed), F.col("entity")), "entity"))))
     chosen = kept.join(order.where(F.col("k") <= n).select("stratum", "entity"), ["stratum", "entity"], "left_semi")
     return chosen.withColumn("k", F.row_number().over(Window.partitionBy("stratum", "entity").orderBy("obs_id"))).where(F.col("k") <= m).drop("k")
 

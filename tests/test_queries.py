@@ -69,6 +69,11 @@ def test_missing_language_or_id_is_no_entity(spark, gaps, name):
     _same_with_gaps(spark, gaps, name)
 
 
+@pytest.mark.parametrize("name", ["fstar_null", "pr_bootstrap", "pr_null"])
+def test_what_has_no_id_is_dealt_last_and_shared_ids_count(spark, gaps, name):
+    _same_with_gaps(spark, gaps, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
