@@ -586,3 +586,11 @@ def test_exact_null_lists_only_overlaps_that_weigh_something(spark):
     assert info.exact_null(b, info.entity_count(b)).first()["i_null"] == pytest.approx(want, rel=1e-6)
     low, high = spark.range(1).select(*info.overlaps(*[F.lit(x).cast("long") for x in (half, half, n)])).first()
     assert 8500 < low < half // 2 < high < 11500
+
+
+def test_only_the_folds_asked_for_are_fitted(spark):
+    rows = [(f"e{k % 3}", k, f, float((k % 3) * (j + 1) + (k * 7 % 11) / 5)) for k in range(60) for j, f in enumerate("ab")]
+    o = spark.createDataFrame(rows, "entity string, obs_id long, feature string, x double")
+    every = classify.run_folds(o, 4, ("lda",), shuffled=True).where("fold = 2")
+    one = classify.run_folds(o, 4, ("lda",), shuffled=True, only=(2,))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, every.collect())) and one.count() == 15
