@@ -594,3 +594,49 @@ def test_only_the_folds_asked_for_are_fitted(spark):
     every = classify.run_folds(o, 4, ("lda",), shuffled=True).where("fold = 2")
     one = classify.run_folds(o, 4, ("lda",), shuffled=True, only=(2,))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, every.collect())) and one.count() == 15
+
+
+def plain_network(x, y, s, epochs):
+    """The steps of classify.network as the formulas have them, by one process."""
+    rng = np.random.default_rng(0)
+    params = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], 128)), np.zeros((1, 128)), rng.normal(0, np.sqrt(1 / 128), (128, s)), np.zeros((1, s))]
+    m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    for _ in range(epochs):
+        for pick in np.array_split(rng.permutation(len(x)), max(1, len(x) // 200)):
+            a = np.maximum(x[pick] @ params[0] + params[1], 0)
+            z = a @ params[2] + params[3]
+            e = np.exp(z - z.max(1, keepdims=True))
+            d = (e / e.sum(1, keepdims=True) - np.eye(s)[y[pick]]) / len(pick)
+            h = (d @ params[2].T) * (a > 0)
+            t += 1
+            for k, g in enumerate([x[pick].T @ h + 1e-3 * params[0] / len(x), h.sum(0, keepdims=True), a.T @ d + 1e-3 * params[2] / len(x), d.sum(0, keepdims=True)]):
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                params[k] -= 1e-3 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return params
+
+
+@pytest.mark.parametrize("n", [1, 3, 399, 5077])
+def test_a_network_is_the_same_by_one_process_or_several(n):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(n, 5)), rng.integers(0, 7, n).astype(np.int32)
+    one, two, plain = classify.network(x, y, 7, epochs=4), classify.network(x, y, 7, epochs=4, processes=2), plain_network(x, y, 7, 4)
+    assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
+    assert all(a.shape == b.shape and np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(one, plain, strict=True))
+
+
+def test_a_network_fails_when_a_process_of_it_does():
+    def work(i, alive):
+        if i:
+            raise ValueError
+        while True:
+            alive()
+
+    with pytest.raises(RuntimeError, match="ended early"):
+        classify._together(work, 2)
+
+
+def test_a_design_moves_one_row_an_observation(spark):
+    o = obs(spark, [(str(k % 3), k, f, None if f == "b" and k % 2 else float(k)) for k in range(12) for f in "abc"])
+    wide, names = classify.design(o)
+    assert names == ["a", "b", "c"] and "pivot" not in wide._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["obs_id"]: (r["entity"], r["a"], r["b"], r["c"]) for r in wide.collect()} == {k: (str(k % 3), k, None if k % 2 else k, k) for k in range(12)}
